@@ -7,8 +7,8 @@ shard. A node of k shards splits at floor(k/2)/k of its bytes.
 
 What is split are groups of equal text, weighed with all their copies and placed by the
 smallest of each metadata value; ties of a dimension are ordered by text hash, so a group is
-never cut by a tie. Only a group that outweighs the tolerance is dealt to pieces of bounded
-bytes, which may go to different shards.
+never cut by a tie. Only a group heavier than ``GROUP_SHARE`` of a shard, and than the largest
+text, is dealt to pieces of that weight, which may go to different shards.
 
 A weighted median is found by counting: bytes are summed in a fixed number of ranges of the
 ordering key, the range that holds the median is cut again, until that range weighs no more
@@ -26,6 +26,8 @@ from .common import gapless_rank, materialize, parallelism
 RANGES = 1024
 #: Share of a shard's bytes by which one split may miss the median.
 TOLERANCE = 1 / 2048
+#: Share of a shard's bytes up to which a group of equal texts stays whole.
+GROUP_SHARE = 1 / 64
 SPAN = 2**31 - 1
 DIMENSIONS = ("by_size", "by_lang", "by_source", "by_id")
 
@@ -48,18 +50,19 @@ def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None
         F.coalesce(F.crc32(F.col("source").cast("binary")), F.lit(0)).alias("source_key"),
     )
     meta = materialize(meta, "metadata")
-    total, first, last = meta.agg(F.sum("size"), F.min("doc_id"), F.max("doc_id")).first()
+    total, largest, first, last = meta.agg(F.sum("size"), F.max("size"), F.min("doc_id"), F.max("doc_id")).first()
     if target_bytes:
         shards = max(1, -(-(total or 0) // target_bytes))
     limit = max(1, int((total or 0) / shards * TOLERANCE))
+    whole = max(largest or 1, int((total or 0) / shards * GROUP_SHARE))  # no split can be finer than the largest text
 
-    # Groups above the limit: at most total / limit = shards / TOLERANCE of them, so the table is small by proof.
+    # Groups heavier than ``whole`` are at most shards / GROUP_SHARE, so the table is small by proof.
     groups = meta.groupBy("text_key", "size").agg(
         F.count(F.lit(1)).alias("n"), F.min("lang_key").alias("lang_key"), F.min("source_key").alias("source_key"), F.min("doc_id").alias("least_id")
     )
     groups = materialize(groups, "groups")
-    heavy = groups.where((F.col("n") > 1) & (F.col("n") * F.col("size") > limit)).select(
-        "text_key", "size", F.least(F.col("n"), F.ceil(F.col("n") * F.col("size") / F.lit(limit))).cast("long").alias("pieces")
+    heavy = groups.where((F.col("n") > 1) & (F.col("n") * F.col("size") > whole)).select(
+        "text_key", "size", F.least(F.col("n"), F.ceil(F.col("n") * F.col("size") / F.lit(whole))).cast("long").alias("pieces")
     )
     pieces = F.coalesce(F.col("pieces"), F.lit(1))
     rows = meta.join(F.broadcast(heavy), ["text_key", "size"], "left").select(

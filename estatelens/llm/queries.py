@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, kd_sharding, mixing, packing, quality, secret_scan, simhash_dedup, token_store, toxicity, winnowing
-from .common import let_workers_import, read
+from .common import read
 from .labels import remainder
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
@@ -21,7 +20,6 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), bits=3)
 
 
@@ -32,7 +30,6 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
     docs = read(spark, sf_dir, "documents")
     grammar = toxicity.train(docs, read(spark, sf_dir, "labels"), remainder(5) != 0)
     scored = docs.select("doc_id", (remainder(5) == 0).alias("held_out"), toxicity.scores(grammar)("text").alias("score"))
@@ -40,13 +37,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
     path = token_store.write_token_files(read(spark, sf_dir, "documents"))
     return token_store.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
     pieces = packing.stored_pieces(read(spark, sf_dir, "documents"))
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")  # the ids themselves need not move
     return packing.place(digests)
@@ -58,7 +53,6 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
     docs = read(spark, sf_dir, "documents")
     model = quality.train(docs, read(spark, sf_dir, "labels"), remainder(4) != 2)
     scored = docs.select("doc_id", (remainder(4) == 2).alias("held_out"), quality.scores(model)("text").alias("score"))
@@ -66,7 +60,6 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    let_workers_import(spark)
     return winnowing.compare_with_edits(read(spark, sf_dir, "documents"))
 
 

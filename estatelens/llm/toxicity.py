@@ -136,6 +136,35 @@ def _counted(only: frozenset[str] | None):
     return run
 
 
+def _owned(only: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted(features(t) & only) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["features"])
+
+    return run
+
+
+def _covering(strong: dict[str, float], texts: list[list[str]], least: int) -> dict[str, float]:
+    """The features that explain toxic texts which stronger ones do not.
+
+    Words that copies of a toxic text share have high odds too; what attacks in those texts is
+    also in others, so such words explain nothing new.
+    """
+    holders: dict[str, list[int]] = {}
+    for k, own in enumerate(texts):
+        for w in own:
+            holders.setdefault(w, []).append(k)
+    open_texts = set(range(len(texts)))
+    chosen = {}
+    for w in sorted(holders, key=lambda w: (-round(strong[w], 1), -len(w.rstrip("*")), w)):
+        new = open_texts.intersection(holders[w])
+        if len(new) >= least:
+            chosen[w] = strong[w]
+            open_texts -= new
+    return chosen
+
+
 def _strongest(grammar: Grammar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, int]] = Counter()
@@ -168,9 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, most: int = M
     seen = {r["feature"]: r["n"] for r in total(rows.where("label = 1").select("text").mapInArrow(_counted(None), shape)).where(F.col("n") >= frequent).collect()}
     against = {r["feature"]: r["n"] for r in total(rows.where("label = 0").select("text").mapInArrow(_counted(frozenset(seen)), shape)).collect()}
     odds = {w: (n + 0.5) / (toxic + 1) / ((against.get(w, 0) + 0.5) / (other + 1)) for w, n in seen.items()}
-    # a feature must also be toxic mostly: odds alone favour words that a few texts have
-    lexicon = {w: math.log(x) for w, x in odds.items() if x >= LEAST_ODDS or (against.get(w, 0) == 0 and x >= LEAST_ODDS / 2 and seen[w] >= 2 * frequent)}
-    grammar = Grammar(lexicon)
+    strong = {w: math.log(x) for w, x in odds.items() if x >= LEAST_ODDS}
+    # the toxic texts' strong features, MOST_ROWS rows at most
+    owned = rows.where("label = 1").select("text").mapInArrow(_owned(frozenset(strong)), "features array<string>").collect()
+    grammar = Grammar(_covering(strong, [r["features"] for r in owned], max(2, int(LEAST_SHARE / 2 * toxic))))
     hits: Counter[tuple[str, int]] = Counter()
     for r in rows.mapInArrow(_strongest(grammar), "kind string, label int, n long").groupBy("kind", "label").agg(F.sum("n").alias("n")).collect():
         hits[r["kind"], r["label"]] = r["n"]
