@@ -23,10 +23,12 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import materialize
 from .labels import MOST_ROWS, training_rows
@@ -47,9 +49,12 @@ CATEGORIES = {"insult": 0.9, "insult at target": 0.97, "negated insult": 0.3, "r
 #: Weight of a prior factor, in labelled texts.
 PRIOR_TEXTS = 8.0
 #: Least share of the toxic training texts (and least number) with a word of the lexicon.
-LEAST_SHARE, LEAST_TEXTS = 0.004, 4
+LEAST_SHARE, LEAST_TEXTS = 0.004, 3
+#: Share of the toxic training texts from which a strong word needs no further evidence.
+AMPLE_SHARE = 0.03
 #: Least odds, toxic to other, of a word of the lexicon.
 LEAST_ODDS = 40.0
+SKETCHES = 4
 
 
 def features(text: str) -> set[str]:
@@ -119,6 +124,21 @@ class Grammar:
         return any(not {w[:n] + "*" for w in words if len(w) > n}.isdisjoint(self.lexicon.keys()) for n in STEMS)
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest hashes of each text's word triples under ``SKETCHES`` functions."""
+    multipliers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)[:SKETCHES]
+    for batch in batches:
+        sketches = []
+        for text in batch.column("text").to_pylist():
+            words = WORD.findall(text.lower()) or [text]
+            triples = {" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
+            hashes = np.fromiter((xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in triples), np.uint64, len(triples))
+            with np.errstate(over="ignore"):
+                mixed = hashes[:, None] * multipliers
+                sketches.append((mixed ^ (mixed >> np.uint64(32))).min(axis=0).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), pa.array(sketches, pa.list_(pa.int64()))], ["text", "label", "sketch"])
+
+
 def _counted(only: frozenset[str] | None):
     """Texts with each feature, counted per task; ``only``: no others."""
 
@@ -145,11 +165,12 @@ def _owned(only: frozenset[str]):
     return run
 
 
-def _covering(strong: dict[str, float], texts: list[list[str]], least: int) -> dict[str, float]:
+def _covering(strong: dict[str, float], texts: list[list[str]], least: int, ample: float) -> dict[str, float]:
     """The features that explain toxic texts which stronger ones do not.
 
     Words that copies of a toxic text share have high odds too; what attacks in those texts is
-    also in others, so such words explain nothing new.
+    also in others, so such words explain nothing new. A word in ample texts is taken as it is,
+    unless a chosen word that it is the stem of accounts for nearly all of them.
     """
     holders: dict[str, list[int]] = {}
     for k, own in enumerate(texts):
@@ -159,7 +180,8 @@ def _covering(strong: dict[str, float], texts: list[list[str]], least: int) -> d
     chosen = {}
     for w in sorted(holders, key=lambda w: (-round(strong[w], 1), -len(w.rstrip("*")), w)):
         new = open_texts.intersection(holders[w])
-        if len(new) >= least:
+        longer = max((len(holders[c]) for c in chosen if w[-1] == "*" and c.startswith(w[:-1])), default=0)
+        if len(new) >= least or len(holders[w]) >= ample and longer < 0.8 * len(holders[w]):
             chosen[w] = strong[w]
             open_texts -= new
     return chosen
@@ -182,11 +204,14 @@ def _strongest(grammar: Grammar):
 def train(docs: DataFrame, labels: DataFrame, in_training: Column, most: int = MOST_ROWS) -> Grammar:
     """Learn lexicon and factors from about ``most`` labelled texts of each class.
 
-    Near copies count once: of the texts that start with the same forty words one is used.
+    Near copies count once: of the texts of a class that share the smallest hash of their word
+    triples, under any of a few hash functions, one is used.
     """
     rows = training_rows(docs, labels, "toxic", in_training, most)
-    start = F.array_join(F.slice(F.split("text", r"\s+"), 1, 40), " ")
-    rows = materialize(rows.withColumn("start", F.xxhash64(start, "label")).dropDuplicates(["start"]).select("text", "label"), "toxic-sample")
+    rows = materialize(rows.mapInArrow(_sketched, "text string, label int, sketch array<long>"), "toxic-sample")
+    for k in range(SKETCHES):
+        rows = rows.dropDuplicates(["label", f"sketch_{k}"]) if k else rows.select("text", "label", *[F.col("sketch")[n].alias(f"sketch_{n}") for n in range(SKETCHES)]).dropDuplicates(["label", "sketch_0"])
+    rows = materialize(rows.select("text", "label"), "toxic-sample")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
@@ -200,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, most: int = M
     strong = {w: math.log(x) for w, x in odds.items() if x >= LEAST_ODDS}
     # the toxic texts' strong features, MOST_ROWS rows at most
     owned = rows.where("label = 1").select("text").mapInArrow(_owned(frozenset(strong)), "features array<string>").collect()
-    grammar = Grammar(_covering(strong, [r["features"] for r in owned], max(2, int(LEAST_SHARE / 2 * toxic))))
+    grammar = Grammar(_covering(strong, [r["features"] for r in owned], max(2, int(LEAST_SHARE / 2 * toxic)), max(8.0, AMPLE_SHARE * toxic)))
     hits: Counter[tuple[str, int]] = Counter()
     for r in rows.mapInArrow(_strongest(grammar), "kind string, label int, n long").groupBy("kind", "label").agg(F.sum("n").alias("n")).collect():
         hits[r["kind"], r["label"]] = r["n"]
