@@ -13,15 +13,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .common import materialize
 
 K, WINDOW = 20, 50
+#: Parts that a task sorts, on average: ids are dealt to tasks by hash of their part.
+PARTS_PER_TASK = 4
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 COLUMNS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -109,68 +108,67 @@ def _row(doc: int | None, codes: np.ndarray, own: tuple, following: np.ndarray,
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in descending doc_id order; the first and the last text of the task go out as edges."""
-    part = TaskContext.get().partitionId()
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
-    names = [*COLUMNS, "part", "edge", "text"]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    """Rows in order of part, then head, then descending doc_id: each text meets the one after it.
 
-    before = None  # doc, text, codes, fingerprint
+    The head of the next part stands at the end of each part, for its last text.
+    """
+    part = before = None  # before: doc, codes, fingerprint
     for batch in batches:
         rows = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for own_part, head, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "head", "doc_id", "text")), strict=True):
+            if own_part != part:
+                part, before = own_part, None
+            elif before is None:
+                continue  # the part ended with the first of its heads
             codes = code_points(text)
             own = fingerprint(codes)
-            if before is None:
-                rows.append((doc, *[None] * 6, part, "first", text))
-            else:
-                rows.append((*_row(before[0], before[2], before[3], codes, own[0]), part, None, None))
-            before = doc, text, codes, own
-        if rows:
-            yield batch_of(rows)
-    if before is not None:
-        yield batch_of([(before[0], *[None] * 6, part, "last", before[1])])
-
-
-def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc, text, following in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True):
-            codes, after = code_points(text), code_points(following)
-            rows.append(_row(doc, codes, fingerprint(codes), after, fingerprint(after)[0]))
-        if rows:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(COLUMNS))
+            if before is not None:
+                rows.append(_row(*before, codes, own[0]))
+            before = None if head else (doc, codes, own)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(COLUMNS))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text of ``docs`` (doc_id, text, ...) and of its edited text, and their likeness.
 
-    The next document is the one of the next lower doc_id, after the last the first. Texts are
-    sorted once by range; each task compares neighbours, and the first and last texts of the
-    tasks (two a task) meet in a small second step. A null text is the empty text. Equal ids
-    follow one another by text hash, null ids come last; a lone document is its own next. Other
-    columns are dropped; an empty table gives an empty result.
+    The next document is the one of the next lower doc_id, after the last the first. Ids taken from
+    the table cut it into parts of about equal counts; each part is sorted in one task, and the
+    row that heads a part is also sent to the part before, so texts move once. The ids of the
+    cuts, a few for each task, are all that the driver sees. A null text is the empty text. Equal
+    ids follow one another by text hash, null ids come last; a lone document is its own next.
+    Other columns are dropped; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    compared = materialize(ranged.mapInArrow(_compare, f"{RESULT}, part int, edge string, text string"), "winnowed")
-    inner = compared.where("edge IS NULL").select(*COLUMNS)
-
-    # a row per task that had documents: which task comes next
-    ring = compared.where("edge = 'first'").select("part")
-    by_part = Window.orderBy("part")
-    first_part = F.first("part").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ring = ring.select("part", F.coalesce(F.lead("part").over(by_part), first_part).alias("next_part"))
-    last = compared.where("edge = 'last'").select("part", "doc_id", "text")
-    first = compared.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    edges = last.join(ring, "part").join(first, "next_part").select("doc_id", "text", "next_text")
-    return inner.unionByName(edges.mapInArrow(_join_edges, RESULT))
+    parts = PARTS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [(k + 1) / parts for k in range(parts)]
+    cuts = rows.agg(F.percentile_approx("doc_id", shares, 20 * parts).alias("ids"), F.max("doc_id").alias("top")).first()
+    heads = np.array(sorted({*(cuts["ids"] or []), *([] if cuts["top"] is None else [cuts["top"]])}), np.int64)
+    n = max(1, heads.size)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        """Parts count from the largest ids; part k has the ids from its head down to the next head."""
+        known = ids.notna().to_numpy()
+        at = np.full(len(ids), n - 1, np.int32)
+        at[known] = n - 1 - np.searchsorted(heads, ids[known].astype("int64"), side="left")
+        return pd.Series(at)
+
+    @F.pandas_udf("boolean")
+    def is_head(ids: pd.Series) -> pd.Series:
+        if not heads.size:
+            return pd.Series(np.ones(len(ids), bool))
+        return ids.notna() & ids.isin(heads)
+
+    placed = rows.select("doc_id", "text", part_of("doc_id").alias("own"), is_head("doc_id").alias("heads_part"))
+    own = F.struct(F.col("own").alias("part"), F.lit(False).alias("head"))
+    before = F.struct(F.pmod(F.col("own") - 1, F.lit(n)).alias("part"), F.lit(True).alias("head"))
+    sent = placed.select("doc_id", "text", F.explode(F.when(F.col("heads_part"), F.array(own, before)).otherwise(F.array(own))).alias("to"))
+    sent = sent.select("to.part", "to.head", "doc_id", "text").repartition(parts // PARTS_PER_TASK, "part")
+    ordered = sent.sortWithinPartitions("part", "head", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    return ordered.mapInArrow(_compare, RESULT)
 
 
 def shared_passages(a: str, b: str, k: int = K, window: int = WINDOW) -> list[tuple[int, int]]:
