@@ -25,6 +25,8 @@ from .tokens import encoder, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
+#: Bytes of ids that a task gives back at a time.
+BATCH_BYTES = 8 << 20
 
 
 def fill(counts: np.ndarray) -> list[tuple[list[int], int]]:
@@ -77,18 +79,26 @@ def _tightest_pair(take: np.ndarray, least: int, room: int) -> list[int] | None:
     return [int(first[best]), int(second[best])] if first[best] + second[best] > least else None
 
 
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            docs, numbers, starts, lengths, ids = [], [], [], [], []
             for doc, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 own = np.append(own, np.uint16(end_id)).astype("<u4")
-                for n, k in enumerate(range(0, own.size, capacity)):
-                    part = own[k : k + capacity]
-                    docs.append(doc), numbers.append(n), starts.append(k), lengths.append(part.size), ids.append(part.tobytes())
-            columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
+                rows += [(doc, n, k, min(capacity, own.size - k), own[k : k + capacity].tobytes()) for n, k in enumerate(range(0, own.size, capacity))]
+                held += own.nbytes
+                if held >= BATCH_BYTES:
+                    yield _piece_batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _piece_batch(rows)
 
     return run
 

@@ -9,13 +9,15 @@ Texts that may hold a special token are encoded whole.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Bytes of text that are cut into chunks at a time.
+TEXT_BYTES = 1 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -38,20 +40,25 @@ class ChunkEncoder:
         self._older: dict[bytes, bytes] = {}
         self._remembered = remembered
 
-    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        """16-bit ids of each text, null as empty, without special tokens added."""
-        out, split, ids = [], [], []
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """16-bit ids of each text in turn, null as empty, without special tokens added."""
+        part: list[tuple[str, list[bytes] | None]] = []
+        held = 0
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass")
-            split.append(None if b"<|" in data else data.lower().split())
-            out.append(text or "")
-        for k in range(0, len(split), 256):
-            if len(self._known) > self._remembered:
-                self._known, self._older = {}, self._known
-            part = split[k : k + 256]
-            self._learn(part)
-            ids += [self._whole(t) if chunks is None else self._joined(chunks) for t, chunks in zip(out[k : k + 256], part, strict=True)]
-        return ids
+            part.append((text or "", None if b"<|" in data else data.lower().split()))
+            held += len(data)
+            if held >= TEXT_BYTES:  # the chunks of a few texts at a time are in memory
+                yield from self._ids(part)
+                part, held = [], 0
+        yield from self._ids(part)
+
+    def _ids(self, part: list[tuple[str, list[bytes] | None]]) -> Iterator[np.ndarray]:
+        if len(self._known) > self._remembered:
+            self._known, self._older = {}, self._known
+        self._learn([chunks for _, chunks in part])
+        for text, chunks in part:
+            yield self._whole(text) if chunks is None else self._joined(chunks)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
