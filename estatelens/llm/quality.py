@@ -165,6 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, most: int = M
     """Fit on about ``most`` labelled rows of each class, the bound of what the one task holds."""
     rows = training_rows(docs, labels, "quality", in_training, most).withColumn("place", F.xxhash64("text", "label"))
     r = rows.repartition(1).mapInArrow(_fit_task, "ratio binary, weights binary, rest binary").first()
+    if r is None:  # no labelled row at all
+        return fit([], np.empty(0, np.int64))
     bias, slope, offset = np.frombuffer(r["rest"])
     return Model(np.frombuffer(r["ratio"], np.float32), np.frombuffer(r["weights"], np.float32), float(bias), (float(slope), float(offset)))
 

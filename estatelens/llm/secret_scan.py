@@ -37,6 +37,8 @@ SAMPLE_DOCS = 800
 SAMPLE_STRINGS = 4000
 #: Log-likelihood ratio from which a token is a secret.
 THRESHOLD = 12.0
+#: Weight, in pairs, of a character's frequency alone in what follows another.
+BACK_OFF = 5.0
 SPAN = "array<struct<start:bigint,ord:int,end:bigint,value:string>>"
 
 
@@ -92,13 +94,16 @@ def train(docs: DataFrame, found: DataFrame) -> list[float]:
     held = found.where(chosen(SAMPLE_STRINGS * 4)).select(F.explode("base.value").alias("s"))
     words = docs.where(chosen(SAMPLE_DOCS)).select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[A-Za-z0-9_-]{3,}"), F.lit(0))).alias("s"))
     clean = words.where(~F.col("s").rlike("^(?:[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}|(?=.*[0-9])(?=.*[A-Za-z]).{12,})$"))
+    clean = clean.unionByName(clean.select(F.upper("s").alias("s")))  # names in capitals are as ordinary
     size = len(ALPHABET)
     table = []
     for strings in (made.unionByName(held), clean):
-        counts = [[0.5] * size for _ in range(size)]
+        counts = [[0.0] * size for _ in range(size)]
         for a, b, k in _pairs(strings, "s").collect():  # a row per pair of characters
             counts[a - 1][b - 1] += k
-        table.append([[math.log(x / sum(row)) for x in row] for row in counts])
+        seen = [sum(row[b] for row in counts) + 0.5 for b in range(size)]
+        alone = [x / sum(seen) for x in seen]  # what follows a character that was rarely met
+        table.append([[math.log((k + BACK_OFF * p) / (sum(row) + BACK_OFF)) for k, p in zip(row, alone, strict=True)] for row in counts])
     return [r - w for row_r, row_w in zip(*table, strict=True) for r, w in zip(row_r, row_w, strict=True)]
 
 
