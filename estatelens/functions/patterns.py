@@ -1,0 +1,57 @@
+"""Pattern tests that look for a plain substring before they run a regular expression."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_SPECIAL = re.compile(r"[\\.^$*+?{}\[\]|()]")
+_LITERAL_RUN = re.compile(r"(?:[A-Za-z0-9_/@<:=#\"' ,;-]|\\[.(){}/?&])+")
+
+
+@lru_cache(maxsize=None)
+def required_text(pattern: str) -> tuple[str, bool]:
+    """(text that every match holds, whether in any case); empty where none is plain to see.
+
+    Only top-level runs of plain characters count, and only in patterns without alternatives.
+    """
+    body = pattern
+    folded = False
+    while m := re.match(r"\(\?([im]+)\)", body):
+        folded, body = folded or "i" in m[1], body[m.end() :]
+    if "|" in body or "(?" in body:
+        return "", folded
+    body = re.sub(r"\[(?:\\.|[^\]\\])*\]", "\0", body)  # classes
+    depth, flat = 0, []
+    for token in re.findall(r"\\.|.", body, re.S):  # groups may be optional: leave them out
+        if token == "(":
+            depth += 1
+            flat.append("\0")
+        elif token == ")":
+            depth -= 1
+        elif not depth:
+            flat.append(token)
+    body = "".join(flat)
+    body = re.sub(r"\\[bBwWsSdDzAZ]", "\0", body)
+    body = re.sub(r"(?:\\.|[^\\])(?:[*?]|\{\d*,?\d*\})[?+]?", "\0", body)  # what may be absent or repeated
+    runs = [re.sub(r"\\(.)", r"\1", m[0]) for m in _LITERAL_RUN.finditer(body.replace("+", "\0"))]
+    best = max(runs, key=len, default="")
+    return (best.lower() if folded else best, folded) if len(best) >= 2 else ("", folded)
+
+
+def found(content: Column, pattern: str) -> Column:
+    """Whether the pattern matches somewhere; the expression runs only where its plain text occurs."""
+    plain, folded = required_text(pattern)
+    if not plain:
+        return content.rlike(pattern)
+    there = (F.lower(content) if folded else content).contains(plain)
+    return there if plain == pattern and not _SPECIAL.search(pattern) else there & content.rlike(pattern)
+
+
+def may_match(content: Column, pattern: str) -> Column:
+    """A cheap necessary condition of a match."""
+    plain, folded = required_text(pattern)
+    return (F.lower(content) if folded else content).contains(plain) if plain else content.rlike(pattern)

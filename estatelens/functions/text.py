@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def lines_of_code(content: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import found
 from ..functions.text import trimmed
 from ..plans import rulepacks as packs
 
@@ -12,15 +15,16 @@ from ..plans import rulepacks as packs
 def hits(content: Column, patterns: list[str]) -> Column:
     total = F.lit(0)
     for p in patterns:
-        total = total + content.rlike(p).cast("int")
+        total = total + found(content, p).cast("int")
     return total
 
 
 def _language_score(content: Column, filename: Column, language: str) -> Column:
     signals = packs.LANGUAGES[language]
     n = {kind: hits(content, patterns) for kind, patterns in signals.items()}
-    part = lambda weight, base, step, h: F.when(h > 0, weight * F.least(F.lit(1.0), base + h * step)).otherwise(0.0)
-    score = part(30.0, 0.4, 0.2, n["syntax"]) + part(20.0, 0.0, 0.5, n["imports"]) + part(10.0, 0.0, 0.3, n["apis"]) - 15.0 * n["negative"]
+    # scores by number of hits, as tables: each number of hits is worked out once
+    by_hits = lambda kind, weight, base, step: F.element_at(F.array(*[F.lit(weight * min(1.0, base + h * step) if h else 0.0) for h in range(len(signals[kind]) + 1)]), n[kind] + 1)
+    score = by_hits("syntax", 30.0, 0.4, 0.2) + by_hits("imports", 20.0, 0.0, 0.5) + by_hits("apis", 10.0, 0.0, 0.3) - 15.0 * n["negative"]
     extension = F.regexp_extract(filename, r"(\.[^.]*)\z", 1)
     own = F.lit(False)
     for e, lang in packs.EXTENSIONS.items():
@@ -67,8 +71,8 @@ def module_scores(scripts: DataFrame) -> DataFrame:
 def _module_rows() -> list[Column]:
     rows = []
     for k, (module, (weight, patterns)) in enumerate(packs.MODULES.items(), 1):
-        n = hits(F.col("content"), patterns)
-        score = F.when(n == 0, 0.0).otherwise(F.floor(weight * F.least(F.lit(3.0), 1.0 + (n - 1) * 0.3) * 10 + 0.5 + 1e-9) / 10)
+        table = [math.floor(weight * min(3.0, 1.0 + (h - 1) * 0.3) * 10 + 0.5 + 1e-9) / 10 if h else 0.0 for h in range(len(patterns) + 1)]
+        score = F.element_at(F.array(*map(F.lit, table)), hits(F.col("content"), patterns) + 1)
         rows.append(F.struct(F.lit(k).alias("ord"), F.lit(module).alias("label"), score.alias("score")))
     return rows
 

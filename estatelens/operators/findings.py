@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.patterns import may_match
 from ..plans import rulepacks as packs
 
+HITS = "array<struct<family:string,rule_ord:int,pos:int,raw:string,entity:string,attr:string>>"
+
 
 def explode_lines(scripts: DataFrame, key: str = "script_id") -> DataFrame:
     lines = scripts.select(key, F.posexplode(F.split("content", "\n", -1)).alias("at", "line"))
@@ -20,7 +23,7 @@ def _family_hits(family: str, line: Column) -> Column:
     for ord_, (pattern, group, attr) in enumerate(packs.FAMILIES[family], 1):
         raw = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
         zipped = F.arrays_zip(raw.alias("raw"), F.regexp_extract_all(line, F.lit(pattern), F.lit(group)).alias("entity")) if group else F.transform(raw, lambda r: F.struct(r.alias("raw"), r.alias("entity")))
-        found.append(F.transform(zipped, _hit(family, ord_, attr)))
+        found.append(F.when(may_match(line, pattern), F.transform(zipped, _hit(family, ord_, attr))).otherwise(F.array().cast(HITS)))
     return F.concat(*found)
 
 
@@ -35,8 +38,7 @@ def scan(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
     """Every finding in (script_id, line_no, family, rule_ord, pos) order columns, overlaps kept."""
     families = families or list(packs.FAMILIES)
     line = F.col("line")
-    unions = {f: "|".join(f"(?:{p})" for p, _, _ in packs.FAMILIES[f]) for f in families}
-    hits = F.concat(*[F.when(line.rlike(unions[f]), _family_hits(f, line)).otherwise(F.slice(_family_hits(f, F.lit("")), 1, 0)) for f in families])
+    hits = F.concat(*[_family_hits(f, line) for f in families])
     found = explode_lines(scripts).select("script_id", "line_no", "line", F.explode(hits).alias("h")).select("script_id", "line_no", "line", "h.*")
     http = F.col("family") == "http"
     local = F.col("entity").rlike("(?i)/rest/api/") | F.col("entity").rlike(r"localhost|127\.0\.0\.1")

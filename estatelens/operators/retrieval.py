@@ -74,7 +74,7 @@ def _partial(sent, k: int, threshold: float, by_category: bool):
     return run
 
 
-def ann_topk(queries: DataFrame, docs: DataFrame, k: int = 4, lists: int = 16, probes: int = 8, threshold: float = -1.0) -> DataFrame:
+def ann_topk(queries: DataFrame, docs: DataFrame, k: int = 4, lists: int = 16, probes: int = 12, threshold: float = -1.0) -> DataFrame:
     """Approximate top-k over cells of k-means; a query looks into its ``probes`` nearest cells only."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

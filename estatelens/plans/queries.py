@@ -457,7 +457,7 @@ RATE = "CASE model " + " ".join(f"WHEN '{m}' THEN {p}" for m, p in packs.MODEL_P
 USAGE = ["user_id AS job_id", "CASE event_id % 4 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'claude-sonnet-4-6' WHEN 2 THEN 'other-small' ELSE 'other-large' END AS model", "CASE WHEN event_id % 2 = 0 THEN 'cheap' ELSE 'expensive' END AS tier", "100 + event_id % 5000 AS tokens"]
 
 
-@query(f"SELECT job_id, floor(sum(tokens * ({RATE})::DOUBLE) / 1000000 * 10000 + 0.5) / 10000 AS cost, count(DISTINCT model) AS n_models, sum(tokens) AS tokens FROM (SELECT {', '.join(USAGE)} FROM events) GROUP BY job_id")
+@query(f"SELECT job_id, floor(sum(tokens * ({RATE})::DOUBLE) / 1000000 * 10000 + 0.5) / 10000 AS cost, count(DISTINCT model) AS n_models, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT {', '.join(USAGE)} FROM events) GROUP BY job_id")
 def cost_rollup(spark, d):
     return telemetry.cost_rollup(table(spark, d, "events").selectExpr(*USAGE))
 

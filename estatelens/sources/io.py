@@ -12,7 +12,7 @@ PARSER_CHARS = 50_000
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: script_id (path hash), filename, content, ingested_at."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     name = F.regexp_extract("_metadata.file_path", r"([^/]+)\z", 1)
     return raw.select(F.xxhash64("_metadata.file_path").alias("script_id"), name.alias("filename"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("ingested_at"))
 
