@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,7 +62,7 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str | Column], name
     Rows are dealt to ``buckets`` by a hash of ``order``; a row's number is the count of its
     key's rows in lower buckets plus its place in its own bucket. Buckets hold about
     ``rows / buckets`` rows of a key, however large the key. Rows that are equal in ``order``
-    share a bucket and take numbers in any order. ``df`` must give the same rows each time it
+    share a bucket and take numbers in any order. No key may be null, and ``df`` must give the same rows each time it
     is read (materialise it first when it does not).
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
@@ -73,6 +72,6 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str | Column], name
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     place = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     placed = dealt.withColumn("_place", F.row_number().over(place) - 1)
-    same = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(offsets[k]) for k in [*keys, "_bucket"]])
-    joined = placed.join(offsets, same, "left")
+    # the same keys as the window's, so the join moves the rows no second time
+    joined = placed.join(offsets.withColumnsRenamed({k: f"_{k}" for k in [*keys, "_bucket"]}), [placed[k] == F.col(f"_{k}") for k in [*keys, "_bucket"]], "left")
     return joined.select(*[placed[c] for c in df.columns], (F.col("_offset") + F.col("_place")).cast("long").alias(name))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,18 +87,19 @@ SCHEDULE = T.StructType([
 ])
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.7, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.7, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, size: Column | None = None) -> DataFrame:
     """(doc, block, place, release, deadline, slot): every row of ``docs`` as a struct, with its place; (slot, place) is the order.
 
     ``weights`` are target shares by source; without them a source's share is its bytes to the
-    power ``exponent``, and a source that ``weights`` leaves out weighs as the smallest given.
+    power ``exponent`` (``size`` is the column of a row's bytes, else its text's), and a source that ``weights`` leaves out weighs as the smallest given.
     A null source counts as the empty name. Repeated rows are kept. ``docs`` must be stored (it is
     read more than once). More than ``MOST_SOURCES`` sources are refused. Release and deadline are
     slots of the block's window in its phase. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     name = F.coalesce(F.col("source"), F.lit(""))
-    sizes = docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("bytes"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1 if size is None else size
+    sizes = docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
     found = sizes.limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, kd_sharding, mixing, packing, quality, secret_scan, simhash_dedup, token_store, toxicity, winnowing
-from .common import read
+from .common import materialize, read
 from .labels import remainder
 
 
@@ -48,7 +48,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("bytes"))  # the order needs no texts
+    mixed = mixing.mix(materialize(rows, "sizes"), size=F.col("bytes"))
     return mixed.select("doc.doc_id", "doc.source", "block", "place", "release", "deadline", "slot")
 
 

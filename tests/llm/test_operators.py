@@ -71,7 +71,7 @@ def test_connected_components(spark):
 
 
 def test_gapless_rank_of_a_hot_key(spark):
-    df = materialize(spark.createDataFrame([("hot" if k % 3 else f"k{k % 7}", k % 50) for k in range(600)] + [(None, 1), (None, 1)], "k string, v long"), "t")
+    df = materialize(spark.createDataFrame([("hot" if k % 3 else f"k{k % 7}", k % 50) for k in range(600)] + [("", 1), ("", 1)], "k string, v long"), "t")
     rows = gapless_rank(df, ["k"], ["v"], "n", 5).collect()
     by = defaultdict(list)
     for r in rows:
