@@ -1,0 +1,39 @@
+"""The plain-text guard never hides a match."""
+
+import re
+
+import pytest
+
+from estatelens.functions.patterns import required_text
+from estatelens.plans import rulepacks as packs
+
+CASES = [
+    (r"\bcustomfield_(\d{4,6})\b", "customfield_", False), (r"(?i)getUser\s*\(", "getuser", True), (r"new\s+File\s*\(", "File", False), (r"ab?cde", "cde", False),
+    (r"(?:static\s+)?foo", "", False), (r"abc|def", "", False), (r"[xyz]abc*d", "ab", False), (r"log\.info\(", "log.info(", False), (r"a+bc{0,3}", "", False),
+]
+
+
+@pytest.mark.parametrize("pattern, plain, folded", CASES)
+def test_required_text(pattern, plain, folded):
+    assert required_text(pattern) == (plain, folded)
+
+
+SAMPLES = [
+    'def cf = cfm.getCustomFieldObject("customfield_10001")', 'userManager.GETUSERBYNAME("bob")', "groupManager.getGroup('g')", 'isUserInGroup( u , "g")', 'Unirest.post ("https://x.y/z")',
+    "new  URL('http://a.b')", 'HttpRequest.newBuilder().uri(URI.create("https://a"))', "/rest/agile/1.0/board/5", "ComponentAccessor.getX", "new File (x)", "Files.write(p)", 'userKey = "k"', "x.setHidden(true)",
+    "lfHide(x)", "ldapSearch (q)", "sql (q)", 'require("a.groovy")', 'include "b.sil"', "import static a.b.C ;", "def x = [1]", "[1].each {", "// SIL thing", "return false;", "return true", "@Foo (x)",
+    "#set ($x)", "issue was created", "EscalationService", "inline my script", "y.search (jql)", 'runAs("a.b", x)', "publisher.vm'", "public static void main(", "getFieldValue( \"a-b\" )",
+]
+
+
+def test_guard_holds_for_every_rule():
+    rules = [p for f in packs.FAMILIES.values() for p, _, _ in f] + [p for s in packs.LANGUAGES.values() for k in s.values() for p in k]
+    rules += [p for _, k in packs.MODULES.values() for p in k] + [p for k in packs.TRIGGERS.values() for p in k]
+    met = 0
+    for pattern in rules:
+        plain, folded = required_text(pattern)
+        for s in SAMPLES:
+            if re.search(pattern, s):
+                met += 1
+                assert plain in (s.lower() if folded else s), (pattern, s)
+    assert met >= 50  # the samples reach that many rules
