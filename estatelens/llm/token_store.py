@@ -121,7 +121,7 @@ def _write_segments(path: str, end_id: int):
             return pa.RecordBatch.from_arrays(columns, ["part", "piece", "n_ids", "image", "doc_ids", "lengths"])
 
         for batch in batches:
-            for doc, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+            for doc, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 if held >= SEGMENT_IDS:
                     yield segment()
                     ids, docs, held, piece = [], [], 0, piece + 1

@@ -1,23 +1,30 @@
 """Token ids of whole texts, through the ``tokenizers`` library.
 
 The tokenizer at hand drops white space and never joins text across it, so a text's ids are
-the ids of its blank-separated chunks in turn. Each Python worker keeps the ids of chunks it
-has met, in a store of bounded size, and lets the library encode the others in one call.
-Texts that may hold a special token are encoded whole.
+the ids of its blank-separated chunks in turn. Arrow splits the texts of a batch and numbers
+their distinct chunks; each Python worker keeps the ids of chunks it has met, in a store of
+bounded size, and lets the library encode the others in one call. Texts that may hold a special
+token are encoded whole.
 """
 
 from __future__ import annotations
 
 import functools
+import operator
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers at most.
 REMEMBERED = 300_000
+#: A control character between the chunks that the library encodes together: its id occurs for nothing else.
+MARK = "\x01"
 #: Bytes of text that are cut into chunks at a time.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 2 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -36,62 +43,77 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         if self._tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self._known: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}
+        (self._mark,) = self._whole(MARK).tolist()
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._remembered = remembered
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: pa.Array | Iterable[str | None]) -> Iterator[np.ndarray]:
         """16-bit ids of each text in turn, null as empty, without special tokens added."""
-        part: list[tuple[str, list[bytes] | None]] = []
-        held = 0
-        for text in texts:
-            data = (text or "").encode("utf-8", "surrogatepass")
-            part.append((text or "", None if b"<|" in data else data.lower().split()))
-            held += len(data)
-            if held >= TEXT_BYTES:  # the chunks of a few texts at a time are in memory
-                yield from self._ids(part)
-                part, held = [], 0
-        yield from self._ids(part)
-
-    def _ids(self, part: list[tuple[str, list[bytes] | None]]) -> Iterator[np.ndarray]:
-        if len(self._known) > self._remembered:
-            self._known, self._older = {}, self._known
-        self._learn([chunks for _, chunks in part])
-        for text, chunks in part:
-            yield self._whole(text) if chunks is None else self._joined(chunks)
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        sizes = np.asarray(pc.binary_length(column), np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(column):  # the chunks of a few texts at a time are in memory
+            before = int(ends[at] - sizes[at])
+            end = max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right")))
+            yield from self._ids(column.slice(at, end - at))
+            at = end
+
+    def _ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        special = np.asarray(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False), bool)
+        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        bounds = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+        numbered = lists.flatten().dictionary_encode()
+        ids, lengths = self._distinct(numbered.dictionary)
+        codes = np.asarray(numbered.indices, np.int64)
+        own = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        firsts = np.cumsum(lengths) - lengths
+        places = np.repeat(firsts[codes] - ends[:-1], own) + np.arange(ends[-1])
+        flat, cuts = ids[places], ends[bounds]
+        for k in range(len(texts)):
+            yield self._whole(texts[k].as_py()) if special[k] else flat[cuts[k] : cuts[k + 1]]
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def _joined(self, chunks: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._known.__getitem__, chunks)), np.uint16)
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks, one after the other, and how many each has.
 
-    def _learn(self, texts: list[list[bytes] | None]) -> None:
-        new: set[bytes] = set()
-        for chunks in texts:
-            if chunks:
-                new.update(chunks)
-        new.difference_update(self._known)
+        Punctuation after a letter or digit at the end of a chunk is a word of its own.
+        """
+        if len(self._known) > self._remembered:
+            self._known, self._older = {}, self._known
+        trimmed = pc.ascii_rtrim(chunks, characters=string.punctuation)
+        stems = pc.if_else(pc.match_substring_regex(trimmed, r"[\p{L}\p{N}]$"), trimmed, chunks).to_numpy(zero_copy_only=False)  # far faster than to_pylist
+        tails = [c[len(s) :] for c, s in zip(chunks.to_numpy(zero_copy_only=False), stems, strict=True)]
+        known = self._known
+        new = {s for s, i in zip(stems, map(known.get, stems), strict=True) if i is None}
+        new |= set(tails) - known.keys()
+        if new:
+            self._learn(new)
+        own = list(map(operator.add, map(known.__getitem__, stems), map(known.__getitem__, tails)))
+        return np.frombuffer(b"".join(own), np.uint16), np.fromiter(map(len, own), np.int64, len(own)) // 2
+
+    def _learn(self, new: set[str]) -> None:
         if self._older:  # met before the last turnover: move over instead of encoding again
             met = new & self._older.keys()
             self._known.update((c, self._older[c]) for c in met)
-            new -= met
-        # a lone full stop or comma after an ASCII letter is a word of its own: encode the stem once
-        ends = {c: c[:-1] for c in new if len(c) > 1 and c[-1] in b".," and 97 <= c[-2] <= 122}
-        stems = (new - ends.keys()) | {s for s in ends.values() if s not in self._known} | ({b".", b","} if ends else set())
-        stems = [s for s in stems if s not in self._known]
-        # one blank-separated line costs the library far less than many short texts
-        for k in range(0, len(stems), 2000):
-            part = [s.decode("utf-8", "surrogatepass") for s in stems[k : k + 2000]]
-            encoding = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(p) + 1 for p in part])
-            firsts = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(encoding.ids))
-            cuts = np.searchsorted(firsts, starts)
-            ids = np.array(encoding.ids, np.uint16).tobytes()
-            for n, stem in enumerate(stems[k : k + 2000]):
-                self._known[stem] = ids[2 * cuts[n] : 2 * cuts[n + 1]]
-        for whole, stem in ends.items():
-            self._known[whole] = self._known[stem] + self._known[whole[-1:]]
+            new = new - met
+        alone = [c for c in new if MARK in c]
+        self._known.update((c, self._whole(c).tobytes()) for c in alone)
+        others = list(new.difference(alone))
+        # one line with marks between costs the library far less than many short texts
+        for k in range(0, len(others), 2000):
+            part = others[k : k + 2000]
+            line = f" {MARK} ".join(part)
+            ids = np.array(self._tokenizer.encode_batch_fast([f"{line} {MARK}"], add_special_tokens=False)[0].ids, np.uint16)
+            ends = np.flatnonzero(ids == self._mark)
+            firsts = np.concatenate([[0], ends[:-1] + 1])
+            flat = ids.tobytes()
+            self._known.update((c, flat[2 * a : 2 * b]) for c, a, b in zip(part, firsts.tolist(), ends.tolist(), strict=True))
 
 
 @functools.lru_cache(maxsize=2)
