@@ -9,10 +9,15 @@ in the cells one step up in one dimension, then pairs that meet are verified exa
 Equal fingerprints are folded before the join. Cells are worked through in sorted runs and
 give back a spanning forest of their links; a cell of many fingerprints is dealt to pairs of
 blocks, which different tasks take.
+
+The pipeline links texts by the similarity of their shingles instead (``similar_components``):
+near copies differ in more bits than the grid covers, so candidates come from cells of minima,
+within a wide radius of their fingerprints, and are verified on the shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +34,21 @@ EVEN_BITS = 0x55555555
 #: Members of a cell beyond which it is dealt to pairs of blocks of about this size.
 CELL_ROWS = 8192
 PAIRS_AT_ONCE = 1 << 21
-
-
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """SimHash over word shingles, repeats included, as a signed 64-bit number."""
+#: Similar texts: words of a shingle, bands of minima and minima in each (a pair at 0.8 misses all bands with 0.672**24 < 1e-4).
+WORDS, BANDS, BAND_ROWS = 5, 24, 5
+#: Hamming radius of candidates.
+SIMILAR_BITS = 24
+#: Members of a group beyond which it is verified in blocks of about this size.
+GROUP_ROWS = 512
+#: A shingle's place in an order: (hash ^ first) * second, second odd.
+ORDERS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of all word shingles, repeats included; a text of fewer words is one shingle."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and the six ASCII blanks
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     if len(found) <= words:
@@ -43,7 +56,13 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     else:
         starts = [0, *(ends[:-words] + 1).tolist()]
         stops = ends[words - 1 :].tolist()
-    hashes = np.array([xxh64_intdigest(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([xxh64_intdigest(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)], np.uint64)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed 64-bit number."""
+    if not hashes.size:
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, hashes.size, 4096):
         bits = np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -51,6 +70,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > hashes.size, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """SimHash over word shingles, repeats included, as a signed 64-bit number."""
+    return simhash(shingle_hashes(text, words))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = [fingerprint(t) for t in batch.column("text").to_pylist()]
@@ -135,7 +159,11 @@ def _cell_links(bits: int):
 
 def linked(classes: DataFrame, bits: int = 3) -> DataFrame:
     """(a, b) rep pairs: a spanning forest of the links among distinct fingerprints."""
-    cells = grid_cells(classes)
+    return links_in_cells(grid_cells(classes), bits)
+
+
+def links_in_cells(cells: DataFrame, bits: int) -> DataFrame:
+    """(a, b) rep pairs: a spanning forest of the links among rows (cell, moved, fp, rep) that meet in a cell."""
     crowded = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS)
     crowded = materialize(crowded.select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("blocks")), "crowded")
     dealt = cells.join(crowded, "cell", "left")
@@ -168,11 +196,121 @@ def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all columns.
+def band_cells(distinct: np.ndarray) -> np.ndarray:
+    """One cell a band: the minima of ``BAND_ROWS`` orders of the shingles, mixed into one number."""
+    with np.errstate(over="ignore"):
+        least = np.full(ORDERS.shape[1], np.iinfo(np.uint64).max)
+        for k in range(0, distinct.size, 1024):
+            least = np.minimum(least, ((distinct[k : k + 1024, None] ^ ORDERS[0]) * ORDERS[1]).min(axis=0))
+        cell = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for column in least.reshape(BANDS, BAND_ROWS).T:
+            cell = (cell ^ column) * ORDERS[1, 0]
+            cell ^= cell >> np.uint64(29)
+    return cell.view(np.int64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, fps, cells = [], [], []
+        for text in batch.column("text").to_pylist():
+            found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            keys.append(hashlib.blake2b(b" ".join(found), digest_size=16).digest())
+            distinct = np.unique(shingle_hashes(text, WORDS))
+            fps.append(simhash(distinct))
+            cells.append(band_cells(distinct))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "cells"])
+
+
+def verified_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (sorted, distinct) with Jaccard similarity of ``least`` or more."""
+    sizes, labels, out = np.array([s.size for s in sets]), np.arange(len(sets)), []
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for i, own in enumerate(sets):
+        apart = labels != labels[i]
+        if not apart.any():
+            continue
+        low = np.searchsorted(flat, own, "left")
+        n = np.searchsorted(flat, own, "right") - low
+        common = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        for j in np.flatnonzero(apart & (common > 0) & (common >= least * (sizes + own.size - common) - 1e-9)).tolist():
+            if labels[j] != labels[i]:
+                out.append((i, j))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def _verify(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, reps, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            found = verified_links(sets, least) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([reps[p[k]] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for sub, rep, text in zip(*(batch.column(c).to_pylist() for c in ("sub", "rep", "text")), strict=True):
+                if sub != group:
+                    if len(sets) > 1:
+                        yield links()
+                    group, reps, sets = sub, [], []
+                reps.append(rep)
+                sets.append(np.unique(shingle_hashes(text, WORDS)))
+        yield links()
+
+    return run
+
+
+def _linked_texts(texts: DataFrame, dealt: DataFrame, least: float) -> DataFrame:
+    """(a, b): verified links of the texts that ``dealt`` (rep, subs) sends to the same sub."""
+    sent = texts.join(dealt, texts["doc_id"] == dealt["rep"]).select(F.explode("subs").alias("sub"), "rep", "text")
+    return materialize(sent.repartition("sub").sortWithinPartitions("sub").mapInArrow(_verify(least), "a long, b long"), "verified")
+
+
+def similar_components(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row with a doc_id: texts whose five-word shingles have Jaccard similarity ``least`` or more link.
+
+    Candidates share a cell of minima and differ in at most ``SIMILAR_BITS`` bits of their SimHash
+    over distinct shingles. What candidates connect is a group, and inside a group every pair is
+    verified on the shingles themselves (pairs already connected need not be). A group of more
+    than ``GROUP_ROWS`` texts is first dealt to blocks, which all get the group's smallest id;
+    what then stands apart from the group's largest component meets all its blocks.
+    """
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = materialize(texts.mapInArrow(_sketches, "doc_id long, key binary, fp long, cells array<long>"), "sketches")
+    classes = materialize(own.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    heads = own.join(classes, (own["key"] == classes["key"]) & (own["doc_id"] == classes["rep"]), "left_semi")
+    cells = heads.select(F.explode("cells").alias("cell"), F.lit(0).cast("byte").alias("moved"), "fp", F.col("doc_id").alias("rep"))
+    groups = connected_components(links_in_cells(cells, SIMILAR_BITS)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks"))
+    groups = materialize(groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "groups")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    # names of subs are hashes and may meet by chance, which only adds checks
+    first = F.when(F.col("rep") == F.col("grp"), upto(F.col("blocks"))).otherwise(F.array("block"))
+    links = _linked_texts(texts, groups.select("rep", F.transform(first, lambda b: F.xxhash64("grp", b)).alias("subs")), least)
+    # groups of several blocks: whoever is not in the largest component meets everyone
+    known = connected_components(links).withColumnRenamed("node", "rep")
+    parts = materialize(groups.where("blocks > 1").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "parts")
+    counts = parts.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("grp").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    largest = largest.select("grp", F.col("top.component").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / GROUP_ROWS).cast("int").alias("sides")).where("sides > 0")
+    open_ = parts.join(largest, "grp")
+    side = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("sides")).cast("int")
+    as_all = F.transform(upto(F.col("sides")), lambda s: F.xxhash64("grp", "block", s))
+    as_side = F.transform(upto(F.col("blocks")), lambda b: F.xxhash64("grp", b, side))
+    subs = F.when(F.col("component") != F.col("top"), F.array_union(as_all, as_side)).otherwise(as_all)
+    more = _linked_texts(texts, open_.select("rep", subs.alias("subs")), least)
+    named = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    told = classes.join(named, "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    return own.join(told, "key").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component of similar texts, with all columns.
 
     Repeated rows of that doc_id leave one row; rows with a null doc_id are kept as they are.
     """
-    keep = near_duplicates(docs, bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    keep = similar_components(docs, least).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     with_id = docs.where("doc_id IS NOT NULL").join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi")
     return with_id.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

@@ -220,6 +220,37 @@ def test_drop_near_duplicates_keeps_columns_and_one_of_each(spark):
     assert len(set(ids)) == len(ids) and 6 in ids and 7 not in ids and 1 in ids and 2 not in ids and None in ids
 
 
+def near_copies(rng, n):
+    """Texts of 5 to 250 words, each with two copies that have a few words replaced, inserted or left out."""
+    out = []
+    for _ in range(n):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([5, 8, 20, 40, 80, 150, 250]))]
+        out.append(text)
+        for _ in range(2):
+            copy = list(text)
+            for _ in range(rng.randint(1, max(1, len(text) // 40))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = rng.choice([[], ["new"], [f"w{rng.randrange(5000)}"]])
+            out.append(copy)
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize("rows", [512, 7])
+def test_near_copies_link_from_four_fifths_on(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash_dedup, "GROUP_ROWS", rows)
+    rng = random.Random(8)
+    texts = near_copies(rng, 120)
+    base = [f"w{k}" for k in range(200)]
+    texts += [" ".join([*base[:at], f"x{at}", *base[at + 1 :]]) for at in range(5, 195, 5)]  # one large group
+    sets = [set(simhash_dedup.shingle_hashes(t, 5).tolist()) for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(texts[i] != texts[j] for i, j in edges) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_components(docs).collect()}
+    assert got == components_by_hand(range(len(texts)), edges)
+    assert {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(docs).collect()} == set(got.values())
+
+
 # --- 4
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
