@@ -446,6 +446,30 @@ def test_schedule_places_every_block_once():
     assert sorted(taken) == list(range(163)) and Counter(s for s, _ in taken.values()) == Counter(blocks)
 
 
+@pytest.mark.parametrize("blocks, weights", [
+    ([20_000, 9_000, 1, 700], [0.7, 0.29998, 1e-5, 0.01]), ([3_000, 5_000, 800], [1 / 3, 2 ** 0.7, 7.3]),
+    ([k % 7 for k in range(400)], [(k + 1) ** 0.7 for k in range(400)]), ([5, 3, 4], [0.0, 2.0, 1.0]), ([], []),
+])
+def test_blocks_stay_within_one_of_the_exact_weights(blocks, weights):
+    placed = mixing.place_blocks(blocks, weights)
+    slots = [np.array(p[2]) for p in placed]
+    assert sorted(x for p in slots for x in p.tolist()) == list(range(sum(blocks)))
+    for releases, deadlines, own in placed:
+        assert all(a <= x < b for a, b, x in zip(releases, deadlines, own, strict=True))
+    # the fluid mix, worked out anew: sources end in the order of blocks / weight
+    given, left, at = np.zeros(len(blocks)), {s for s, n in enumerate(blocks) if n}, 0.0
+    while left and min(weights[s] for s in left) > 0:
+        total = sum(weights[s] for s in left)
+        length = min((blocks[s] - given[s]) * total / weights[s] for s in left)
+        for t in np.arange(np.ceil(at), np.floor(at + length) + 1):
+            for s in left if len(left) < 10 or t % 97 == 0 else ():
+                assert abs(np.searchsorted(slots[s], t) - (given[s] + (t - at) * weights[s] / total)) < 1 + 1e-6
+        at += length
+        for s in left:
+            given[s] += length * weights[s] / total
+        left = {s for s in left if blocks[s] - given[s] > 1e-6}
+
+
 def test_mixing_keeps_all_rows_in_order(spark):
     docs = materialize(odd_documents(spark), "docs")
     rows = mixing.mix(docs, block_rows=4).collect()
