@@ -484,6 +484,15 @@ def test_mixing_keeps_all_rows_in_order(spark):
     assert mixing.mixed_documents(materialize(odd_documents(spark, empty=True), "docs")).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    docs = materialize(spark.range(4000).selectExpr("id AS doc_id", "concat('site', CAST(floor(sqrt(id) * 20) AS STRING)) AS source", "repeat('x', CAST(id % 90 AS INT)) AS text"), "docs")
+    rows = mixing.mix(docs, block_rows=2).select("doc.doc_id", "doc.source", "block", "release", "deadline", "slot").collect()
+    assert len({r["source"] for r in rows}) > 1024 and sorted(r["doc_id"] for r in rows) == list(range(4000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    slots = {(r["source"], r["block"]): r["slot"] for r in rows}
+    assert sorted(slots.values()) == list(range(len(slots)))
+
+
 # --- 9
 
 
