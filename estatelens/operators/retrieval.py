@@ -60,16 +60,16 @@ def _partial(sent, k: int, threshold: float, by_category: bool):
             if by_category:
                 own = np.array(batch.column("category").to_pylist(), dtype=object)
                 s[np.array(cats, dtype=object)[:, None] != own[None, :]] = -2.0
-            s[s < threshold - 1e-9] = -2.0
-            most = min(k + 1, s.shape[1])  # one more, as ties are settled later by rounded value
-            top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-            row = np.repeat(np.arange(len(ids)), most)
-            col = top.ravel()
-            good = s[row, col] > -2.0
-            row, col = row[good], col[good]
-            value = np.round(s[row, col], 6)
-            keep = value >= threshold
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row][keep], pa.int64()), pa.array(docs[col][keep], pa.int64()), pa.array(value[keep])], ["query_id", "doc_id", "similarity"])
+            s = np.round(s, 6)
+            most = min(k, s.shape[1])
+            # all rows at or above the k-th rounded value, as ties are settled by doc_id
+            kth = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
+            row, col = np.nonzero((s >= kth[:, None]) & (s >= threshold) & (s > -2.0))
+            order = np.lexsort((docs[col], -s[row, col], row))
+            row, col = row[order], col[order]
+            keep = np.arange(row.size) - np.searchsorted(row, row) < k
+            row, col = row[keep], col[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(docs[col], pa.int64()), pa.array(s[row, col])], ["query_id", "doc_id", "similarity"])
 
     return run
 

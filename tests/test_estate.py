@@ -250,6 +250,21 @@ def test_retrieval(spark):
     assert hits >= 0.9 * exact.count() - 2
 
 
+@pytest.mark.parametrize("batch", [10_000, 64])
+def test_equal_vectors_are_taken_in_order_of_id(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    rows = [((k * 389) % 1000, [1.0, 1e-8 * (k % 3), 0.0], f"c{k % 2}") for k in range(1000)] + [(2000 + k, [1.0, 1.0, float(k)], "c0") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, vector array<double>, category string").coalesce(1)
+    asked = spark.createDataFrame([(7, [2.0, 0.0, 0.0], "c1")], "query_id long, vector array<double>, category string")
+    try:
+        for by_category in (False, True):
+            ids = sorted(d for d, _, c in rows if d < 1000 and (c == "c1" or not by_category))[:4]
+            got = retrieval.cosine_topk(asked, docs, 4, 0.2, by_category=by_category).orderBy("rank").collect()
+            assert [(r.doc_id, r.similarity) for r in got] == [(d, 1.0) for d in ids]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_ann_recall_on_the_given_vectors(spark, sf):
     from estatelens.plans.queries import QUERIES, _query_sides
 
