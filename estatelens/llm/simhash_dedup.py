@@ -40,6 +40,8 @@ WORDS, BANDS, BAND_ROWS = 5, 24, 5
 SIMILAR_BITS = 24
 #: Members of a group beyond which it is verified in blocks of about this size.
 GROUP_ROWS = 512
+#: Rows whose texts a task sketches or verifies between two batches it gives back.
+ROWS_AT_ONCE = 256
 #: A shingle's place in an order: (hash ^ first) * second, second odd.
 ORDERS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
@@ -200,8 +202,8 @@ def band_cells(distinct: np.ndarray) -> np.ndarray:
     """One cell a band: the minima of ``BAND_ROWS`` orders of the shingles, mixed into one number."""
     with np.errstate(over="ignore"):
         least = np.full(ORDERS.shape[1], np.iinfo(np.uint64).max)
-        for k in range(0, distinct.size, 1024):
-            least = np.minimum(least, ((distinct[k : k + 1024, None] ^ ORDERS[0]) * ORDERS[1]).min(axis=0))
+        for k in range(0, distinct.size, 128):
+            least = np.minimum(least, ((distinct[k : k + 128, None] ^ ORDERS[0]) * ORDERS[1]).min(axis=0))
         cell = np.arange(1, BANDS + 1, dtype=np.uint64)
         for column in least.reshape(BANDS, BAND_ROWS).T:
             cell = (cell ^ column) * ORDERS[1, 0]
@@ -209,8 +211,15 @@ def band_cells(distinct: np.ndarray) -> np.ndarray:
     return cell.view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``ROWS_AT_ONCE`` at a time: so few texts are Python objects at once."""
     for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(k, ROWS_AT_ONCE)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _few_rows(batches):
         keys, fps, cells = [], [], []
         for text in batch.column("text").to_pylist():
             found = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -249,7 +258,7 @@ def _verify(least: float):
             found = verified_links(sets, least) if len(sets) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([reps[p[k]] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for batch in batches:
+        for batch in _few_rows(batches):
             for sub, rep, text in zip(*(batch.column(c).to_pylist() for c in ("sub", "rep", "text")), strict=True):
                 if sub != group:
                     if len(sets) > 1:
