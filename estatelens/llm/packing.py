@@ -91,7 +91,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         held = 0
         for batch in batches:
             for doc, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
-                own = np.append(own, np.uint16(end_id)).astype("<u4")
+                own = np.append(own.astype("<u4"), np.array(end_id, "<u4"))
                 rows += [(doc, n, k, min(capacity, own.size - k), own[k : k + capacity].tobytes()) for n, k in enumerate(range(0, own.size, capacity))]
                 held += own.nbytes
                 if held >= BATCH_BYTES:

@@ -1,17 +1,19 @@
 """Token-id files with directly addressable codes.
 
-A segment holds the ids of consecutive documents. Each id is split into chunks of bits:
-level 0 keeps the lowest ``LEVEL_BITS[0]`` bits of every id, and a bitmap tells which ids go
-on; level 1 keeps the next bits of those only, and so on. A rank directory counts the set
-bits before each block of 512, so the place of an id in the next level is found in constant
-time: any token can be read without decoding its neighbours.
+A segment holds the ids of consecutive documents. Each id is split into bytes: level 0 keeps
+the lowest byte of every id, and a bitmap tells which ids go on; level 1 keeps the next byte
+of those only, and so on for as many levels as the largest id needs. A rank directory counts
+the set bits before each block of 512, so the place of an id in the next level is found in
+constant time: any token can be read without decoding its neighbours.
 
 Segment image, little-endian: magic ``DAC1``, u32 number of ids, u8 number of levels; for each
-level u8 chunk bits (8 or 16), u32 number of chunks, the chunks, and unless it is the last
-level the bitmap (bytes, lowest bit first) and the rank directory (u32 per 512 bits).
+level u32 number of chunks, the chunks (a byte each), and unless it is the last level the
+bitmap (bytes, lowest bit first) and the rank directory (u32 per 512 bits).
 
 Segments are the binary column of a Parquet table in the shared folder, which any store that
-Spark writes to can hold; a row has the segment's place, its documents and their lengths.
+Spark writes to can hold; a row has the segment's part and piece, the ids of its part before
+it, its documents and their lengths. Parquet is told not to compress or encode that column, so
+the images lie in the files byte for byte.
 """
 
 from __future__ import annotations
@@ -27,32 +29,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir
+from .common import parallelism, shared_dir
 from .tokens import encoder, vocabulary_path
 
 MAGIC = b"DAC1"
-#: Chunk widths of the levels: half of a text's ids fit the first.
-LEVEL_BITS = (8, 8)
 RANK_BLOCK = 512
 #: Ids of a segment beyond which the next document starts a new one.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 END_ID = 2
-SEGMENTS = "part int, piece int, n_ids long, image binary, doc_ids array<long>, lengths array<long>"
+#: Bytes of text that a part, which one task writes, has about.
+PART_BYTES = 64 << 20
+#: Parts whose sums one task adds up.
+PARTS_AT_ONCE = 1000
+SEGMENTS = "part int, piece int, part_start long, n_ids long, image binary, doc_ids array<long>, lengths array<long>"
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
     rest = np.asarray(ids, np.uint32)
-    out = [MAGIC, struct.pack("<IB", rest.size, len(LEVEL_BITS))]
-    for level, bits in enumerate(LEVEL_BITS):
-        chunks = (rest & ((1 << bits) - 1)).astype("<u1" if bits == 8 else "<u2")
-        out += [struct.pack("<BI", bits, chunks.size), chunks.tobytes()]
-        rest = rest >> bits
-        if level + 1 < len(LEVEL_BITS):
+    levels = max(1, -(-int(rest.max(initial=0)).bit_length() // 8))
+    out = [MAGIC, struct.pack("<IB", rest.size, levels)]
+    for level in range(levels):
+        out += [struct.pack("<I", rest.size), rest.astype(np.uint8).tobytes()]
+        rest = rest >> 8
+        if level + 1 < levels:
             more = rest > 0
             out += [np.packbits(more, bitorder="little").tobytes(), _ranks(more).tobytes()]
             rest = rest[more]
-    if rest.any():
-        raise ValueError("an id has more bits than the levels hold")
     return b"".join(out)
 
 
@@ -71,37 +73,37 @@ class SegmentReader:
         self.size, levels = struct.unpack_from("<IB", image, 4)
         at, self.levels = 9, []
         for level in range(levels):
-            bits, n = struct.unpack_from("<BI", image, at)
-            chunks = np.frombuffer(image, "<u1" if bits == 8 else "<u2", n, at + 5)
-            at += 5 + chunks.nbytes
+            (n,) = struct.unpack_from("<I", image, at)
+            chunks = np.frombuffer(image, np.uint8, n, at + 4)
+            at += 4 + n
             bitmap = ranks = None
             if level + 1 < levels:
                 bitmap = np.frombuffer(image, np.uint8, -(-n // 8), at)
                 ranks = np.frombuffer(image, "<u4", -(-n // RANK_BLOCK), at + bitmap.nbytes)
                 at += bitmap.nbytes + ranks.nbytes
-            self.levels.append((bits, chunks, bitmap, ranks))
+            self.levels.append((chunks, bitmap, ranks))
 
     def token(self, position: int) -> int:
         """One id: a chunk, a bit and a rank per level."""
         value = shift = 0
-        for bits, chunks, bitmap, ranks in self.levels:
+        for chunks, bitmap, ranks in self.levels:
             value |= int(chunks[position]) << shift
             if bitmap is None or not bitmap[position >> 3] >> (position & 7) & 1:
                 break
             block = position // RANK_BLOCK
             within = np.unpackbits(bitmap[block * RANK_BLOCK // 8 : (position >> 3) + 1], bitorder="little")
             position = int(ranks[block]) + int(within[: position - block * RANK_BLOCK].sum())
-            shift += bits
+            shift += 8
         return value
 
     def ids(self) -> np.ndarray:
         """All ids in order."""
         below = None
-        for bits, chunks, bitmap, _ in reversed(self.levels):
+        for chunks, bitmap, _ in reversed(self.levels):
             out = chunks.astype(np.uint32)
             if bitmap is not None:
                 more = np.unpackbits(bitmap, count=chunks.size, bitorder="little").astype(bool)
-                out[more] |= below << bits
+                out[more] |= below << np.uint32(8)
             below = out
         return below
 
@@ -112,20 +114,20 @@ def _write_segments(path: str, end_id: int):
         encode = encoder(path).encode
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
-        held = piece = 0
+        held = piece = before = 0
 
         def segment() -> pa.RecordBatch:
             image = encode_segment(np.concatenate(ids))
             lengths = [x.size for x in ids]
-            columns = [pa.array([part], pa.int32()), pa.array([piece], pa.int32()), pa.array([sum(lengths)], pa.int64()), pa.array([image], pa.binary()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["part", "piece", "n_ids", "image", "doc_ids", "lengths"])
+            columns = [pa.array([part], pa.int32()), pa.array([piece], pa.int32()), pa.array([before], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([image], pa.binary()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["part", "piece", "part_start", "n_ids", "image", "doc_ids", "lengths"])
 
         for batch in batches:
             for doc, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 if held >= SEGMENT_IDS:
                     yield segment()
-                    ids, docs, held, piece = [], [], 0, piece + 1
-                ids.append(np.append(own, np.uint16(end_id)))
+                    ids, docs, held, piece, before = [], [], 0, piece + 1, before + held
+                ids.append(np.append(own, np.array(end_id, own.dtype)))
                 docs.append(doc)
                 held += own.size + 1
         if docs:
@@ -145,24 +147,28 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
     path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = ["doc_id", F.xxhash64("text")]
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    ranged.mapInArrow(_write_segments(vocabulary or vocabulary_path(), end_id), SEGMENTS).write.parquet(path)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranged = rows.repartitionByRange(max(parallelism(spark), -(-size // PART_BYTES)), *order).sortWithinPartitions(*order)
+    segments = ranged.mapInArrow(_write_segments(vocabulary or vocabulary_path(), end_id), SEGMENTS)
+    segments.write.option("compression", "none").option("parquet.enable.dictionary#image", "false").parquet(path)
     return path
 
 
 def segments_with_starts(spark: SparkSession, path: str) -> DataFrame:
     """The segments with ``start``, the number of ids before each.
 
-    Sums run within a part first and then over the parts, of which there are as many as the
-    write had tasks.
+    A segment knows how many ids of its part stand before it; the ids of the parts before are
+    summed over a row for each task of the write, and sent to where the segments lie. Images
+    do not move.
     """
     table = spark.read.schema(SEGMENTS).parquet(path)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = table.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("part_start"))
-    within = Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    places = table.select("part", "piece", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("piece_start"))
-    starts = places.join(parts, "part").select("part", "piece", (F.col("part_start") + F.col("piece_start")).alias("start"))
-    return table.join(starts, ["part", "piece"])
+    totals = table.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    blocks = totals.select("part", "ids", F.floor(F.col("part") / PARTS_AT_ONCE).alias("block"))
+    within = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for a thousand parts
+    of_blocks = blocks.groupBy("block").agg(F.sum("ids").alias("ids")).select("block", F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("block_start"))
+    starts = blocks.join(F.broadcast(of_blocks), "block").select("part", (F.col("block_start") + F.coalesce(F.sum("ids").over(within), F.lit(0))).alias("before"))
+    return table.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
 
 
 def _read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
