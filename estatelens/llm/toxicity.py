@@ -1,22 +1,27 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Transducers rewrite the words of a clause one after the other:
-
-* insult: a word, or the stem of a word, from a lexicon learned from labels, with its weight;
-* threat: a modal or future word followed by a verb of harm;
-* target: a word for the person addressed or spoken of;
-* negation: a word that turns what follows in its clause;
-* reported speech: quotation marks, or a verb of saying before what it reports.
-
-Their composition is one automaton whose state is (negated, reported, modal, target seen); a
-clause that matches gives an attack with a category and a strength. A text's score is that of
-its strongest clause. The strength of a lexicon entry is its log-odds between labelled classes;
-a category's factor is the share of toxic texts among those in which it is the strongest,
-drawn towards a fixed prior where there is little evidence.
+Five transducers rewrite the words of a clause, each reading what the one before wrote:
+
+* insult: a word, or the stem of a word, that a lexicon learned from labels has, becomes an
+  insult of its weight; closed-class words become symbols of their role, others a plain word;
+* threat: a verb of harm after a modal or future word becomes a threat, else a plain word;
+* negation: insults and threats after a word that negates become negated ones. A comma ends the
+  negation only before a word of address or an insult ("not now, you fool"), so what stands in
+  apposition stays negated;
+* reported speech: inside quotation marks, or after a verb of saying, they become reported ones;
+* target: remembers whether the clause names the person addressed or spoken of.
+
+``compose`` joins transducers: states pair up, outputs feed inputs, weights add. The grammar is
+the composition of all five, worked out once; a text is read by that one automaton. A clause
+that matches gives an attack with a category and a strength, and a text's score is that of its
+strongest clause. The strength of a lexicon entry is its log-odds between labelled classes; a
+category's factor is the share of toxic texts among those in which it is the strongest, drawn
+towards a fixed prior where there is little evidence.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -63,6 +68,82 @@ def features(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs (state, input) -> (state, output, weight), one for each pair; a pair without an arc writes what it reads and stays."""
+
+    start: object
+    arcs: dict[tuple, tuple]
+
+    def step(self, state: object, symbol: str) -> tuple:
+        return self.arcs.get((state, symbol), (state, symbol, 0.0))
+
+    def run(self, symbols: Iterable[str]) -> list[tuple[str, float]]:
+        state, out = self.start, []
+        for symbol in symbols:
+            state, written, weight = self.step(state, symbol)
+            out.append((written, weight))
+        return out
+
+
+def compose(first: Transducer, second: Transducer, alphabet: Iterable[str]) -> Transducer:
+    """The transducer that writes what ``second`` writes on reading what ``first`` writes, over all states that can be reached."""
+    start = (first.start, second.start)
+    arcs, open_states, seen = {}, [start], {start}
+    while open_states:
+        a, b = open_states.pop()
+        for symbol in alphabet:
+            to_a, written, weight = first.step(a, symbol)
+            to_b, out, more = second.step(b, written)
+            arcs[(a, b), symbol] = ((to_a, to_b), out, weight + more)
+            if (to_a, to_b) not in seen:
+                seen.add((to_a, to_b))
+                open_states.append((to_a, to_b))
+    return Transducer(start, arcs)
+
+
+#: What the insult transducer writes: insult, harm, modal, target, negation, report, plain word, and marks.
+INSULT, HARM, MODAL, TARGET, NEGATION, REPORT, PLAIN, COMMA, OPEN, CLOSE, QUOTE, END = SYMBOLS = ("insult", "harm", "modal", "target", "negation", "report", "plain", "comma", "open", "close", "quote", "end")
+THREAT_WEIGHT = 6.0
+ATTACKS = ("insult", "threat")
+
+
+def threat_transducer() -> Transducer:
+    arcs = {("plain", MODAL): ("modal", PLAIN, 0.0), ("modal", MODAL): ("modal", PLAIN, 0.0), ("modal", HARM): ("modal", "threat", THREAT_WEIGHT), ("plain", HARM): ("plain", PLAIN, 0.0), ("modal", END): ("plain", END, 0.0)}
+    return Transducer("plain", arcs)
+
+
+def negation_transducer() -> Transducer:
+    arcs = {(s, NEGATION): ("negated", PLAIN, 0.0) for s in ("open", "negated", "comma")} | {(s, END): ("open", END, 0.0) for s in ("negated", "comma")}
+    arcs |= {("negated", COMMA): ("comma", COMMA, 0.0)} | {("negated", a): ("negated", f"negated {a}", 0.0) for a in ATTACKS}
+    arcs |= {("comma", s): ("negated", s, 0.0) for s in (PLAIN, REPORT, OPEN, CLOSE, QUOTE)} | {("comma", "threat"): ("negated", "negated threat", 0.0)}
+    arcs |= {("comma", s): ("open", s, 0.0) for s in (TARGET, INSULT)}
+    return Transducer("open", arcs)
+
+
+def report_transducer() -> Transducer:
+    """States: (inside quotation marks, after a verb of saying). Marks may enclose several clauses."""
+    arcs = {}
+    for quoted in (False, True):
+        for said in (False, True):
+            at = (quoted, said)
+            arcs |= {(at, REPORT): ((quoted, True), PLAIN, 0.0), (at, OPEN): ((True, said), PLAIN, 0.0), (at, CLOSE): ((False, said), PLAIN, 0.0), (at, QUOTE): ((not quoted, said), PLAIN, 0.0), (at, END): ((quoted, False), END, 0.0)}
+            if quoted or said:
+                arcs |= {(at, a): (at, f"reported {a}", 0.0) for a in ATTACKS}
+    return Transducer((False, False), arcs)
+
+
+def target_transducer() -> Transducer:
+    """Writes whether the clause that ends had a target."""
+    return Transducer(False, {(False, TARGET): (True, PLAIN, 0.0), (True, TARGET): (True, PLAIN, 0.0), (True, END): (False, "end at target", 0.0)})
+
+
+STAGES = (threat_transducer(), negation_transducer(), report_transducer(), target_transducer())
+AUTOMATON = functools.reduce(lambda a, b: compose(a, b, SYMBOLS), STAGES)
+MARKS = dict.fromkeys(ENDS, END) | dict.fromkeys(OPEN_QUOTES, OPEN) | dict.fromkeys(CLOSE_QUOTES, CLOSE) | {'"': QUOTE, ",": COMMA}
+ROLES = dict.fromkeys(REPORTERS, REPORT) | dict.fromkeys(MODALS, MODAL) | dict.fromkeys(HARMS, HARM) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET) | MARKS
+
+
 @dataclass
 class Grammar:
     lexicon: dict[str, float] = field(default_factory=dict)
@@ -76,40 +157,27 @@ class Grammar:
                 best = max(best, self.lexicon.get(word[:n] + "*", 0.0))
         return best
 
-    def attacks(self, text: str) -> list[tuple[str, float]]:
-        """(category, weight) of the attack of each clause that matches."""
-        out = []
-        quoted = negated = reported = modal = target = False
-        insult = threat = 0.0
-        turned = told = False  # the attack's own state: negated, reported
-
-        def close() -> None:
-            nonlocal negated, reported, modal, target, insult, threat, turned, told
-            for name, weight in (("insult", insult), ("threat", threat)):
-                if weight:
-                    kind = f"negated {name}" if turned else f"reported {name}" if told else f"{name} at target" if target else name
-                    out.append((kind, weight))
-            negated = reported = modal = target = turned = told = False
-            insult = threat = 0.0
-
+    def symbols(self, text: str) -> Iterator[tuple[str, float]]:
+        """The insult transducer's output for each word and mark of a text, and the end of its last clause."""
         for token in TOKEN.findall(text.lower()):
-            if token in ENDS:
-                close()
-            elif token in OPEN_QUOTES or token in CLOSE_QUOTES or token == '"':
-                quoted = not quoted if token == '"' else token in OPEN_QUOTES
-            elif token == ",":
-                negated = False
-            else:
-                target = target or token in TARGETS
-                negated = negated or token in NEGATIONS
-                reported = reported or token in REPORTERS
-                weight = self.insult(token)
-                harm = 6.0 if modal and token in HARMS else 0.0
-                if weight > insult or harm > threat:
-                    insult, threat = max(insult, weight), max(threat, harm)
-                    turned, told = negated, reported or quoted
-                modal = modal or token in MODALS
-        close()
+            role = ROLES.get(token)
+            weight = 0.0 if role else self.insult(token)
+            yield (INSULT if weight else role or PLAIN), weight
+        yield END, 0.0
+
+    def attacks(self, text: str) -> list[tuple[str, float]]:
+        """(category, weight) of the strongest insult and the strongest threat of each clause that matches."""
+        out, best, state, arcs = [], {}, AUTOMATON.start, AUTOMATON.arcs
+        for symbol, weight in self.symbols(text):
+            state, written, more = arcs[state, symbol]
+            if symbol == END:
+                for name, (strength, kind) in best.items():
+                    out.append((f"{kind} at target" if kind == name and written != END else kind, strength))
+                best = {}
+            elif written in CATEGORIES:
+                name = written.rsplit(" ", 1)[-1]
+                if weight + more > best.get(name, (0.0,))[0]:
+                    best[name] = (weight + more, written)
         return out
 
     def score(self, text: str | None) -> float:
@@ -205,7 +273,10 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, most: int = M
     """Learn lexicon and factors from about ``most`` labelled texts of each class.
 
     Near copies count once: of the texts of a class that share the smallest hash of their word
-    triples, under any of a few hash functions, one is used.
+    triples, under any of a few hash functions, one is used, so repeated rows weigh no more than
+    one. Null labels and ids are left out, null texts are empty ones; entries of equal strength are
+    chosen in the order of length, then letters. Without texts of both classes (an empty table
+    included) the lexicon is empty and the factors are the priors. Other columns are not read.
     """
     rows = training_rows(docs, labels, "toxic", in_training, most)
     rows = materialize(rows.mapInArrow(_sketched, "text string, label int, sketch array<long>"), "toxic-sample")
@@ -236,7 +307,10 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, most: int = M
 
 
 def scores(grammar: Grammar) -> Iterable:
-    """A column function: the score of a text; null and empty texts score as texts without an attack."""
+    """A column function: the score of a text, read whole; null and empty texts score as texts without an attack.
+
+    Repeated rows score alike; an empty table gives no rows.
+    """
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
