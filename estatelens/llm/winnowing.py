@@ -4,7 +4,8 @@ Every run of ``K`` code points has a rolling hash; of each window of ``WINDOW``
 hashes the smallest is chosen, the rightmost of equal ones, and kept with its position. Any
 passage of ``WINDOW + K - 1`` code points that two texts share is then guaranteed to have a
 fingerprint in both. Texts with fewer than ``WINDOW`` hashes are one window, texts shorter
-than ``K`` one hash; the empty text has no fingerprint.
+than ``K`` one hash; the empty text has no fingerprint. Hashes have 48 bits, so that chance
+hardly ever makes two grams of a large corpus alike.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, WINDOW = 20, 50
+K, WINDOW = 12, 12
+HASH_BITS = 48
+#: Code points whose rows a task gives back at a time.
+BATCH_CHARS = 1 << 20
 #: Parts that a task sorts, on average: ids are dealt to tasks by hash of their part.
 PARTS_PER_TASK = 4
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -32,10 +36,10 @@ def code_points(text: str) -> np.ndarray:
 
 
 def gram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
-    """32-bit hashes of all k-grams: a polynomial over doubling spans, then mixed."""
+    """Hashes of all k-grams: a polynomial over doubling spans, then mixed."""
     k = min(k, codes.size)
     if not k:
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.uint64)
     # hash(i, n) covers n code points from i; hash(i, a + b) = hash(i, a) * BASE**b + hash(i + a, b)
     with np.errstate(over="ignore"):
         spans, power, out, length = codes.astype(np.uint64) + np.uint64(1), BASE, None, 0
@@ -54,7 +58,7 @@ def gram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
                 spans = spans[:n] * power + spans[have : have + n]
                 power, have = power * power, have * 2
         out = (out ^ (out >> np.uint64(31))) * MIX
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return out >> np.uint64(64 - HASH_BITS)
 
 
 def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -62,15 +66,13 @@ def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     if not hashes.size:
         return np.empty(0, np.int64)
     window = min(window, hashes.size)
-    # smallest of (hash, -position): doubling spans as for the hashes
-    key = (hashes.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(hashes.size, dtype=np.uint64))
-    have = 1
-    while have * 2 <= window:
-        key = np.minimum(key[:-have], key[have:])
-        have *= 2
-    if have < window:
-        key = np.minimum(key[: hashes.size - window + 1], key[window - have :])
-    at = (np.uint64(0xFFFFFFFF) - (key & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    # doubling spans as for the hashes: the place of the smallest of each span, of equal ones the right one
+    at, have = np.arange(hashes.size), 1
+    while have < window:
+        step = min(have, window - have)
+        left, right = at[:-step], at[step:]
+        at = np.where(hashes[right] <= hashes[left], right, left)
+        have += step
     return at[np.r_[True, at[1:] != at[:-1]]]  # positions chosen never go back
 
 
@@ -82,8 +84,18 @@ def fingerprint(codes: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np
 
 
 def as_text(print_: tuple[np.ndarray, np.ndarray]) -> str:
-    """Sixteen hex digits a fingerprint: hash, then position."""
-    return np.stack([print_[0].astype(">u4"), print_[1].astype(">u4")], axis=1).astype(">u4").tobytes().hex()
+    """Sixteen hex digits a fingerprint: twelve of the hash, four of the steps from the position before, less one.
+
+    The steps are at most ``WINDOW``, or the first position.
+    """
+    hashes, at = print_
+    return ((hashes << np.uint64(16)) | (np.diff(at, prepend=-1) - 1).astype(np.uint64)).astype(">u8").tobytes().hex()
+
+
+def from_text(told: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of a fingerprint that ``as_text`` wrote."""
+    both = np.frombuffer(bytes.fromhex(told), ">u8").astype(np.uint64)
+    return both >> np.uint64(16), np.cumsum((both & np.uint64(0xFFFF)).astype(np.int64) + 1) - 1
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -107,27 +119,38 @@ def _row(doc: int | None, codes: np.ndarray, own: tuple, following: np.ndarray,
     return doc, codes.size, hashlib.sha256(told).hexdigest(), as_text(own), as_text(other), likeness(own[0], other[0]), likeness(own[0], next_hashes)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(COLUMNS))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of part, then head, then descending doc_id: each text meets the one after it.
 
-    The head of the next part stands at the end of each part, for its last text.
+    The head of the next part stands at the end of each part, for its last text. Rows are given
+    back ``BATCH_CHARS`` of text at a time.
     """
     part = before = None  # before: doc, codes, fingerprint
+    rows: list[tuple] = []
+    held = 0
     for batch in batches:
-        rows = []
-        for own_part, head, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "head", "doc_id", "text")), strict=True):
+        for own_part, head, doc, text in zip(*(batch.column(c) for c in ("part", "head", "doc_id", "text")), strict=True):
+            own_part = own_part.as_py()
             if own_part != part:
                 part, before = own_part, None
             elif before is None:
                 continue  # the part ended with the first of its heads
-            codes = code_points(text)
+            codes = code_points(text.as_py())
             own = fingerprint(codes)
             if before is not None:
                 rows.append(_row(*before, codes, own[0]))
-            before = None if head else (doc, codes, own)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(COLUMNS))
+                held += codes.size
+            if held >= BATCH_CHARS:
+                yield _batch(rows)
+                rows, held = [], 0
+            before = None if head.as_py() else (doc.as_py(), codes, own)
+    yield _batch(rows)
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:

@@ -540,6 +540,20 @@ def test_winnowing_picks_the_rightmost_minimum(hashes, window):
     assert winnowing.winnowed(np.array(hashes, np.uint32), window).tolist() == winnow_by_hand(hashes, window)
 
 
+@given(st.text(max_size=200))
+@settings(max_examples=100, deadline=None)
+def test_fingerprints_are_read_back(text):
+    own = winnowing.fingerprint(winnowing.code_points(text))
+    assert [x.tolist() for x in winnowing.from_text(winnowing.as_text(own))] == [x.tolist() for x in own]
+
+
+def test_short_near_copies_are_alike(spark):
+    """Given texts of 15 to 104 characters share two thirds with their edited text: few share no fingerprint."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("n_chars BETWEEN 15 AND 104 OR doc_id % 50 = 0")
+    rows = winnowing.compare_with_edits(docs).where("n_chars BETWEEN 15 AND 104").collect()
+    assert len(rows) > 150 and np.mean([r["near_edited"] == 0 for r in rows]) < 0.2
+
+
 def test_gram_hashes_depend_on_the_gram_only():
     text = "the quick brown fox jumps over the quick brown fox"
     h = winnowing.gram_hashes(winnowing.code_points(text), 9)
