@@ -56,22 +56,32 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[str | Column], name: str, buckets: int) -> DataFrame:
-    """Number the rows of each key 0, 1, 2, ... without gathering a key in one task.
+def tasks_for(spark: SparkSession, size: int | None, each: int = 64 << 20) -> int:
+    """Tasks for ``size`` bytes: no fewer than the session's, and so many that each has ``each`` bytes at most, about."""
+    return max(8, parallelism(spark), -(-(size or 0) // each))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], weight: Column, name: str, buckets: int) -> DataFrame:
+    """Add the sum of ``weight`` over the rows of the same key before each row, without gathering a key in one task.
 
-    Rows are dealt to ``buckets`` by a hash of ``order``; a row's number is the count of its
-    key's rows in lower buckets plus its place in its own bucket. Buckets hold about
+    Rows are dealt to ``buckets`` by a hash of ``order``; what stands before a row are its key's
+    rows in lower buckets, and those before it in its own bucket. Buckets hold about
     ``rows / buckets`` rows of a key, however large the key. Rows that are equal in ``order``
-    share a bucket and take numbers in any order. No key may be null, and ``df`` must give the same rows each time it
-    is read (materialise it first when it does not).
+    share a bucket and follow one another in any order. No key may be null, and ``df`` must give
+    the same rows each time it is read (materialise it first when it does not).
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = df.withColumns({"_bucket": F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"), "_weight": weight})
+    sums = dealt.groupBy(*keys, "_bucket").agg(F.sum("_weight").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    place = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    placed = dealt.withColumn("_place", F.row_number().over(place) - 1)
+    offsets = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_place", F.coalesce(F.sum("_weight").over(place), F.lit(0)))
     # the same keys as the window's, so the join moves the rows no second time
     joined = placed.join(offsets.withColumnsRenamed({k: f"_{k}" for k in [*keys, "_bucket"]}), [placed[k] == F.col(f"_{k}") for k in [*keys, "_bucket"]], "left")
     return joined.select(*[placed[c] for c in df.columns], (F.col("_offset") + F.col("_place")).cast("long").alias(name))
+
+
+def gapless_rank(df: DataFrame, keys: list[str], order: list[str | Column], name: str, buckets: int) -> DataFrame:
+    """Number the rows of each key 0, 1, 2, ... in buckets, as ``running_sum`` of ones."""
+    return running_sum(df, keys, order, F.lit(1), name, buckets)

@@ -1,6 +1,9 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source form blocks. In a fluid mix every source that lasts flows at its weight's
+The documents of a source form blocks of equal bytes: a document belongs to the block in which
+its first byte lies, so a block's slot stands for its bytes however long its documents are, and
+a long document covers several slots. Blocks have ``BLOCK_BYTES`` or, in a large corpus, one part
+in ``MOST_BLOCKS`` of its bytes; the driver orders that many at most. In a fluid mix every source that lasts flows at its weight's
 share of the sources that last, so of a source with weight w block j flows from virtual time
 j / w to (j + 1) / w, whatever ends in between. Its window are the slots that touch this stretch;
 in every slot the released block with the earliest deadline goes next. Such an order exists for
@@ -23,68 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialize, parallelism
+from .common import materialize, running_sum, tasks_for
 
-RESOLUTION = 1024
-BLOCK_ROWS = 32
+#: Bytes of a block, at least.
+BLOCK_BYTES = 16 << 10
+#: Blocks that the corpus is cut into, at most, beside one for each source; their order takes the driver about two seconds.
+MOST_BLOCKS = 1 << 20
 #: Blocks of a source that one row of the schedule has.
 RUN_BLOCKS = 1024
 
 
-def parts_of(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Whole parts of ``resolution``, one at least, by largest remainder; ties by name."""
-    total = sum(weights.values())
-    exact = {s: w / total * resolution for s, w in weights.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    spare = resolution - sum(parts.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, spare)]:
-        parts[s] += 1
-    while sum(parts.values()) > resolution:
-        parts[max(parts, key=lambda s: (parts[s], s))] -= 1
-    return parts
-
-
-def one_period(parts: dict[str, int], resolution: int) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first."""
-    window = lambda s, j: (j * resolution // parts[s], -(-(j + 1) * resolution // parts[s]))
-    waiting = [(window(s, 0)[0], s, 0) for s in parts]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    for slot in range(resolution):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(s, j)[1], s, j))
-        _, s, j = heapq.heappop(ready)
-        slots[s].append(slot)
-        if j + 1 < parts[s]:
-            heapq.heappush(waiting, (window(s, j + 1)[0], s, j + 1))
-    return slots
-
-
-def schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> list[tuple]:
-    """The rounded schedule in periods, which ``mix`` does not use: rows (source, first block, last block, first slot, parts, slots of a period), a phase for each source that ends."""
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    rows, base = [], 0
-    while left:
-        parts = parts_of({s: weights[s] for s in left}, resolution)
-        slots = one_period(parts, resolution)
-        slot_of = lambda s, j: j // parts[s] * resolution + slots[s][j % parts[s]]
-        length = min(slot_of(s, n - 1) for s, n in left.items()) + 1
-        whole, rest = divmod(length, resolution)
-        for s in list(left):
-            n = whole * parts[s] + sum(x < rest for x in slots[s])
-            if n:
-                rows.append((s, done[s], done[s] + n - 1, base, parts[s], slots[s]))
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        base += length
-    return rows
-
-
 def whole_weights(weights: list[float]) -> list[int]:
     """Whole numbers in exactly the ratio of ``weights``; what has no weight comes far behind the smallest."""
     least = min((w for w in weights if w > 0), default=1.0)
@@ -140,39 +91,46 @@ def _schedule_table(names: list[str], placed: list[tuple[array, array, array]])
     return pa.table([pa.array([names[s] for s, _ in at], pa.string()), pa.array([k // RUN_BLOCKS for _, k in at], pa.int64()), *lists], ["_source", "_run", "_releases", "_deadlines", "_slots"])
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.7, block_rows: int = BLOCK_ROWS, size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.7, block_bytes: int | None = None, size: Column | None = None) -> DataFrame:
     """(doc, block, place, release, deadline, slot): every row of ``docs`` as a struct, with its place; (slot, place) is the order.
 
-    ``weights`` are target shares by source; without them a source's share is its bytes to the
-    power ``exponent`` (``size`` is the column of a row's bytes, else its text's), and a source that ``weights`` leaves out weighs as the smallest given.
-    A null source counts as the empty name. Repeated rows are kept. ``docs`` must be stored (it is
-    read more than once). The driver orders blocks, one for each ``block_rows`` rows of a source; rows
-    find theirs by a join. Release and deadline are the slots of the block's window. An empty
-    table gives an empty result.
+    ``weights`` are target shares of bytes by source; without them a source's share is its bytes to the
+    power ``exponent`` (``size`` is the column of a row's bytes, else its text's, null as empty, plus
+    one), and a source that ``weights`` leaves out weighs as the smallest given. A null source counts
+    as the empty name. Repeated rows, null ids and columns of any name are kept; rows of equal id
+    follow one another in any order. ``docs`` must be stored (it is read more than once). The driver
+    orders blocks; rows find theirs by a join. Release and deadline are the slots of the block's
+    window. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     name = F.coalesce(F.col("source"), F.lit(""))
-    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1 if size is None else size
-    sizes = docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1 if size is None else size).cast("long")
+    sizes = docs.groupBy(name.alias("s")).agg(F.sum(size).alias("bytes"))
     found = sizes.toArrow().sort_by("s")
-    names, counts = found["s"].to_pylist(), found["n"].to_pylist()
+    names, held = found["s"].to_pylist(), found["bytes"].to_pylist()
     if weights is None:
-        share = [float(b) ** exponent for b in found["bytes"].to_pylist()]
+        share = [float(b) ** exponent for b in held]
     else:
         share = [weights.get(s, min(weights.values())) for s in names]
-    table = _schedule_table(names, place_blocks([-(-n // block_rows) for n in counts], share))
+    total = sum(held)
+    block_bytes = block_bytes or max(BLOCK_BYTES, -(-total // MOST_BLOCKS))
+    table = _schedule_table(names, place_blocks([-(-n // block_bytes) for n in held], share))
     table = materialize(spark.createDataFrame(table), "schedule")
     # the row travels as one struct, so no name of its columns can clash
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), name.alias("_source"), F.col("doc_id").alias("_id"))
-    ranked = gapless_rank(keyed, ["_source"], [F.xxhash64("_id"), F.col("_id")], "_rank", max(8, parallelism(spark)))
-    ranked = ranked.withColumn("block", F.expr(f"_rank div {block_rows}")).withColumn("place", F.expr(f"_rank % {block_rows}"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), name.alias("_source"), F.col("doc_id").alias("_id"), size.alias("_size"))
+    ranked = running_sum(keyed, ["_source"], [F.xxhash64("_id"), F.col("_id")], F.col("_size"), "_before", tasks_for(spark, total))
+    ranked = ranked.withColumn("block", F.expr(f"_before div {block_bytes}")).withColumn("place", F.expr(f"_before % {block_bytes}"))
     dealt = ranked.alias("d").join(table.alias("t"), F.expr(f"d._source = t._source AND d.block div {RUN_BLOCKS} = t._run"))
     of_block = lambda c: F.element_at(f"t.{c}", F.expr(f"CAST(d.block % {RUN_BLOCKS} AS INT) + 1"))
     return dealt.select("d.doc", "d.block", "d.place", of_block("_releases").alias("release"), of_block("_deadlines").alias("deadline"), of_block("_slots").alias("slot"))
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, unchanged, in the order of the mix: partitions and rows follow one another."""
-    parts = max(1, parallelism(docs.sparkSession))
-    ordered = mix(docs, weights).repartitionByRange(parts, "slot", "place").sortWithinPartitions("slot", "place")
+    """The rows of ``docs``, unchanged, in the order of the mix: partitions and rows follow one another.
+
+    Null, empty and very long texts, null sources, ties, repeated rows, clashing names and an empty
+    table are as in ``mix``.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    ordered = mix(docs, weights).repartitionByRange(tasks_for(docs.sparkSession, size), "slot", "place").sortWithinPartitions("slot", "place")
     return ordered.select("doc.*")

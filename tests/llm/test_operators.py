@@ -5,11 +5,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from estatelens.llm import components, embedding_dedup, kd_sharding, mixing, packing, quality, secret_scan, simhash_dedup, token_store, tokens, toxicity, winnowing
 from estatelens.llm.common import gapless_rank, materialize
@@ -419,33 +421,6 @@ def test_packing(spark):
 # --- 8
 
 
-def test_pfair_stays_within_a_block():
-    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
-    parts = mixing.parts_of(weights, 100)
-    slots = mixing.one_period(parts, 100)
-    assert sorted(s for v in slots.values() for s in v) == list(range(100))
-    owner = {s: k for k, v in slots.items() for s in v}
-    seen = Counter()
-    for t in range(100):
-        seen[owner[t]] += 1
-        assert all(abs(seen[k] - parts[k] / 100 * (t + 1)) < 1 for k in parts)
-    for k, v in slots.items():
-        assert all(j * 100 // parts[k] <= s < -(-(j + 1) * 100 // parts[k]) for j, s in enumerate(v))
-
-
-def test_schedule_places_every_block_once():
-    blocks = {"a": 37, "b": 5, "c": 120, "": 1}
-    rows = mixing.schedule(blocks, {"a": 3.0, "b": 2.0, "c": 1.0, "": 0.5}, 64)
-    taken = {}
-    for source, first, last, base, parts, slots in rows:
-        for j in range(first, last + 1):
-            k = j - first
-            slot = base + k // parts * 64 + slots[k % parts]
-            assert slot not in taken
-            taken[slot] = (source, j)
-    assert sorted(taken) == list(range(163)) and Counter(s for s, _ in taken.values()) == Counter(blocks)
-
-
 @pytest.mark.parametrize("blocks, weights", [
     ([20_000, 9_000, 1, 700], [0.7, 0.29998, 1e-5, 0.01]), ([3_000, 5_000, 800], [1 / 3, 2 ** 0.7, 7.3]),
     ([k % 7 for k in range(400)], [(k + 1) ** 0.7 for k in range(400)]), ([5, 3, 4], [0.0, 2.0, 1.0]), ([], []),
@@ -472,7 +447,7 @@ def test_blocks_stay_within_one_of_the_exact_weights(blocks, weights):
 
 def test_mixing_keeps_all_rows_in_order(spark):
     docs = materialize(odd_documents(spark), "docs")
-    rows = mixing.mix(docs, block_rows=4).collect()
+    rows = mixing.mix(docs, block_bytes=300).collect()
     assert Counter(r["doc"]["doc_id"] for r in rows) == Counter(d for d, _ in texts_of(docs))
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
     by_slot = defaultdict(set)
@@ -486,11 +461,49 @@ def test_mixing_keeps_all_rows_in_order(spark):
 
 def test_mixing_of_many_sources(spark):
     docs = materialize(spark.range(4000).selectExpr("id AS doc_id", "concat('site', CAST(floor(sqrt(id) * 20) AS STRING)) AS source", "repeat('x', CAST(id % 90 AS INT)) AS text"), "docs")
-    rows = mixing.mix(docs, block_rows=2).select("doc.doc_id", "doc.source", "block", "release", "deadline", "slot").collect()
+    rows = mixing.mix(docs, block_bytes=90).select("doc.doc_id", "doc.source", "block", "release", "deadline", "slot").collect()
     assert len({r["source"] for r in rows}) > 1024 and sorted(r["doc_id"] for r in rows) == list(range(4000))
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
     slots = {(r["source"], r["block"]): r["slot"] for r in rows}
-    assert sorted(slots.values()) == list(range(len(slots)))
+    assert len(set(slots.values())) == len(slots)
+
+
+def test_byte_shares_of_the_mix(spark):
+    """In every prefix a source's bytes are within a block and a document of its share, though documents differ widely in length."""
+    rng = random.Random(3)
+    rows = [(k, f"s{k % 3}", "x" * int(rng.paretovariate(0.8) * 20) * (1 + 3 * (k % 3))) for k in range(3000)]
+    rows = [(d, s, t[:20_000]) for d, s, t in rows]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, source string, text string"), "docs")
+    weights = {"s0": 0.2, "s1": 0.7001, "s2": 0.0999}
+    got = mixing.mix(docs, weights, block_bytes=2000).select("doc.source", F.length("doc.text").alias("n"), "slot", "place").collect()
+    total, longest = Counter(), max(len(t) for *_, t in rows)
+    for r in got:
+        total[r["source"]] += r["n"] + 1
+    first_end = min(total[s] / w for s, w in weights.items())  # fluid bytes until a source ends
+    given = Counter()
+    for r in sorted(got, key=lambda r: (r["slot"], r["place"])):
+        reached = r["slot"] * 2000
+        if reached < first_end:
+            assert all(abs(given[s] - w * reached) < 2 * 2000 + longest for s, w in weights.items())
+        given[r["source"]] += r["n"] + 1
+
+
+@pytest.mark.parametrize("weights", [[0.9999, 0.0001], [0.5, 0.25, 0.125, 0.125]])
+def test_order_of_many_blocks_is_that_of_plain_earliest_deadline_first(weights):
+    total = 100_000
+    blocks = [int(total * w) for w in weights]
+    placed = mixing.place_blocks(blocks, weights)
+    slots = [np.array(p[2]) for p in placed]
+    for s, w in enumerate(weights):
+        seen = np.searchsorted(slots[s], np.arange(sum(blocks)))
+        assert np.abs(seen - np.arange(sum(blocks)) * (blocks[s] / sum(blocks))).max() < 1 + 1e-6
+    exact = [Fraction(b, sum(blocks)) for b in blocks]
+    if exact == [Fraction(w).limit_denominator(10**6) for w in weights]:
+        ready = [0] * len(weights)
+        for t in range(3000):  # one slot after the other: released blocks, earliest deadline, then source
+            k = min((s for s in range(len(weights)) if ready[s] < blocks[s] and ready[s] // exact[s] <= t), key=lambda s: (-(-(ready[s] + 1) // exact[s]), s))
+            assert slots[k][ready[k]] == t
+            ready[k] += 1
 
 
 # --- 9
