@@ -5,40 +5,46 @@ and id. The tree starts with all documents and splits a node across its widest d
 extent there over the root's extent) at the weighted median of bytes, until a leaf is one
 shard. A node of k shards splits at floor(k/2)/k of its bytes.
 
-What is split are groups of equal text, weighed with all their copies and placed by the
-smallest of each metadata value; ties of a dimension are ordered by text hash, so a group is
-never cut by a tie. Only a group heavier than ``GROUP_SHARE`` of a shard, and than the largest
-text, is dealt to pieces of that weight, which may go to different shards.
-
-A weighted median is found by counting: bytes are summed in a fixed number of ranges of the
-ordering key, the range that holds the median is cut again, until that range weighs no more
-than the tolerance or is one key. The driver sees at most ``RANGES`` sums per node and pass.
-All steps are DataFrame operations.
+One rule holds for groups of equal text at every size. A group stands where the smallest of
+each of its metadata values puts it, and ties of a dimension are ordered by text hash. It is
+dealt to pieces no heavier than the tolerance of a split (or than one of its texts), which lie
+side by side in every order. So a group lighter than the tolerance is never cut, and a heavier
+one only where a median falls inside it.
+
+A weighted median is found by counting: bytes are summed in ``RANGES`` ranges of the ordering
+key, the range that holds the median is cut again, until it weighs no more than the tolerance
+or is one key. All nodes of a level are searched together. What a node is looking for stands
+in a table of one row a node, as many as there are shards at most, which is joined to the
+points; the driver sees no sums and builds no plan that grows with the number of shards. All
+steps are DataFrame operations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import gapless_rank, materialize, parallelism
+from .common import gapless_rank, materialize, tasks_for
 
-RANGES = 1024
-#: Share of a shard's bytes by which one split may miss the median.
-TOLERANCE = 1 / 2048
-#: Share of a shard's bytes up to which a group of equal texts stays whole.
-GROUP_SHARE = 1 / 64
-SPAN = 2**31 - 1
+RANGES = 4096
+#: Share of a shard's bytes that a split may weigh more or less than the median asks for, both ways together.
+TOLERANCE = 1 / 512
+#: Bits of a dimension, of the text hash and of the piece in an ordering key.
+DIMENSION_BITS, HASH_BITS, PIECE_BITS = 20, 23, 20
+SPAN = 2**DIMENSION_BITS - 1
 DIMENSIONS = ("by_size", "by_lang", "by_source", "by_id")
 
 
 def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None) -> DataFrame:
-    """Add size, text_crc32, shard and slot to the rows' doc_id.
+    """(doc_id, size, text_crc32, shard, slot) for every row of ``docs`` (doc_id, text, lang, source, ...).
 
     With ``target_bytes`` the number of shards is the least that keeps the mean leaf within it.
-    A null text counts as the empty text (size 1, crc 0); null metadata is a value like another;
-    repeated rows and null ids are kept as rows of their own. Slots number the rows of a shard
-    without gaps from 0. An empty table gives an empty result. Other columns are dropped.
+    A null text counts as the empty text (size 1, crc 0), a text of any length is one point; null
+    metadata is a value like another; ties of a dimension go by text hash; repeated rows and null
+    ids are kept as rows of their own. Slots number the rows of a shard without gaps from 0.
+    Shards may stay empty where there are fewer pieces than shards. Other columns, whatever their
+    names, are dropped. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     meta = docs.select(
@@ -50,106 +56,90 @@ def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None
         F.coalesce(F.crc32(F.col("source").cast("binary")), F.lit(0)).alias("source_key"),
     )
     meta = materialize(meta, "metadata")
-    total, largest, first, last = meta.agg(F.sum("size"), F.max("size"), F.min("doc_id"), F.max("doc_id")).first()
+    total, first, last = meta.agg(F.sum("size"), F.min("doc_id"), F.max("doc_id")).first()
     if target_bytes:
         shards = max(1, -(-(total or 0) // target_bytes))
     limit = max(1, int((total or 0) / shards * TOLERANCE))
-    whole = max(largest or 1, int((total or 0) / shards * GROUP_SHARE))  # no split can be finer than the largest text
 
-    # Groups heavier than ``whole`` are at most shards / GROUP_SHARE, so the table is small by proof.
     groups = meta.groupBy("text_key", "size").agg(
         F.count(F.lit(1)).alias("n"), F.min("lang_key").alias("lang_key"), F.min("source_key").alias("source_key"), F.min("doc_id").alias("least_id")
     )
     groups = materialize(groups, "groups")
-    heavy = groups.where((F.col("n") > 1) & (F.col("n") * F.col("size") > whole)).select(
-        "text_key", "size", F.least(F.col("n"), F.ceil(F.col("n") * F.col("size") / F.lit(whole))).cast("long").alias("pieces")
+    pieces = F.least(F.col("n"), F.ceil(F.col("n") * F.col("size") / F.lit(limit)), F.lit(2**PIECE_BITS)).cast("long")
+    heavy = materialize(groups.where((F.col("n") > 1) & (F.col("n") * F.col("size") > limit)).select("text_key", "size", pieces.alias("pieces")), "heavy")
+    # no hint: heavy groups are few as a rule, and Spark sends them to all tasks only when their table is small
+    rows = meta.join(heavy, ["text_key", "size"], "left").select(
+        "doc_id", "size", "text_crc32", "text_key", F.pmod(F.xxhash64("doc_id", "lang_key", "source_key"), F.coalesce("pieces", F.lit(1))).alias("piece")
     )
-    pieces = F.coalesce(F.col("pieces"), F.lit(1))
-    rows = meta.join(F.broadcast(heavy), ["text_key", "size"], "left").select(
-        "doc_id", "size", "text_crc32", "text_key",
-        F.pmod(F.xxhash64("doc_id", "lang_key", "source_key"), pieces).alias("piece"),
-    )
-    scaled_id = (
-        F.floor((F.col("least_id") - F.lit(first)) / F.lit(max(1, last - first)) * SPAN) if first is not None else F.lit(0)
-    )
-    points = rows.groupBy("text_key", "size", "piece").agg(F.sum("size").alias("bytes")).join(
-        groups.drop("n"), ["text_key", "size"]
-    ).select(
+    scaled_id = F.floor((F.col("least_id") - F.lit(first)) / F.lit(max(1, last - first)) * SPAN) if first is not None else F.lit(0)
+    cut = 32 - DIMENSION_BITS
+    points = rows.groupBy("text_key", "size", "piece").agg(F.sum("size").alias("bytes")).join(groups.drop("n"), ["text_key", "size"]).select(
         "text_key", "size", "piece", "bytes",
-        F.least(F.floor(F.log2(F.col("size").cast("double")) * 2**25), F.lit(SPAN)).cast("long").alias("by_size"),
-        F.shiftright("lang_key", 1).alias("by_lang"),
-        F.shiftright("source_key", 1).alias("by_source"),
+        F.least(F.floor(F.log2(F.col("size").cast("double")) * 2 ** (DIMENSION_BITS - 6)), F.lit(SPAN)).cast("long").alias("by_size"),
+        F.shiftright("lang_key", cut).alias("by_lang"),
+        F.shiftright("source_key", cut).alias("by_source"),
         F.coalesce(scaled_id.cast("long"), F.lit(0)).alias("by_id"),
-        F.pmod(F.xxhash64("text_key", "piece"), F.lit(2**31)).alias("tie"),
+        (F.pmod(F.xxhash64("text_key"), F.lit(2**HASH_BITS)) * 2**PIECE_BITS + F.col("piece")).alias("tie"),
     )
-    points = materialize(points, "points")
-    placed = _grow(points, shards, limit)
+    placed = grown(materialize(points, "points"), shards, limit).select("text_key", "size", "piece", "shard")
     rows = rows.join(placed, ["text_key", "size", "piece"]).select("doc_id", "size", "text_crc32", "shard")
     rows = materialize(rows, "placed")
-    buckets = max(parallelism(docs.sparkSession), 8)
-    return gapless_rank(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", buckets)
+    n = rows.count()
+    return gapless_rank(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", tasks_for(docs.sparkSession, 40 * n))
 
 
-def _grow(points: DataFrame, shards: int, limit: int) -> DataFrame:
-    """(text_key, size, piece, shard). All nodes of a level are split together, in a few passes."""
+def grown(points: DataFrame, shards: int, limit: int) -> DataFrame:
+    """``points`` (bytes, by_size, by_lang, by_source, by_id, tie, any others) with their shard. All nodes of a level are split together."""
     extents = [f(c).alias(f"{c}_{f.__name__}") for c in DIMENSIONS for f in (F.min, F.max)]
     root = points.agg(*extents).first()
     span = {d: (root[f"{d}_max"] or 0) - (root[f"{d}_min"] or 0) for d in DIMENSIONS}
-    points = points.withColumn("shard", F.lit(0))
-    open_nodes = {0: shards}  # a node is named by its first shard; its number of shards
-    while live := {k: n for k, n in open_nodes.items() if n > 1}:
-        at = points.where(F.col("shard").isin(list(live)))
-        widest = {}
-        for r in at.groupBy("shard").agg(*extents).collect():  # a row per node
-            wide = [(r[f"{d}_max"] - r[f"{d}_min"]) / span[d] if span[d] else 0.0 for d in DIMENSIONS]
-            widest[r["shard"]] = DIMENSIONS[wide.index(max(wide))]
-        key = _case({k: F.col(d) for k, d in widest.items()}) * F.lit(2**31) + F.col("tie") if widest else F.lit(0)
-        keyed = at.select("shard", "bytes", key.cast("long").alias("key"))
-        cuts = weighted_quantiles(keyed, {k: (live[k] // 2) / live[k] for k in widest}, limit) if widest else {}
-        if cuts:
-            above = _case({k: F.when(key > F.lit(cut), F.lit(k + live[k] // 2)) for k, cut in cuts.items()})
-            points = materialize(points.withColumn("shard", F.coalesce(above, F.col("shard"))), "points")
-        for k, n in live.items():  # a node without points ends here
-            open_nodes |= {k: n // 2, k + n // 2: n - n // 2} if k in cuts else {k: 1}
-    return points.select("text_key", "size", "piece", "shard")
-
-
-def _case(branches: dict[int, Column]) -> Column:
-    out = F
-    for k, value in branches.items():
-        out = out.when(F.col("shard") == k, value)
-    return out
-
-
-def weighted_quantiles(keyed: DataFrame, share: dict[int, float], limit: int) -> dict[int, int]:
-    """For each node (column shard) the key up to which its ``share`` of bytes lies.
-
-    Off by half of ``limit`` at most, or by half of the bytes of one key.
-    """
-    ends = keyed.groupBy("shard").agg(F.min("key"), F.max("key"), F.sum("bytes")).collect()  # a row per node
-    search = {r[0]: [r[1], r[2], 0, share[r[0]] * r[3]] for r in ends}  # low, high, bytes below low, wanted
-    cuts: dict[int, int] = {}
-    while search:
-        low = _case({k: F.lit(v[0]) for k, v in search.items()})
-        step = {k: (v[1] - v[0]) // RANGES + 1 for k, v in search.items()}
-        within = _case({k: F.col("key").between(v[0], v[1]) for k, v in search.items()})
-        placed = keyed.where(within).select(
-            "shard", "bytes", (F.col("key") - low).alias("_from"), _case({k: F.lit(n) for k, n in step.items()}).alias("_step")
+    share = F.array(*[(F.col(f"{d}_max") - F.col(f"{d}_min")) / F.lit(float(span[d] or 1)) for d in DIMENSIONS])
+    # a node is named by its first shard and knows its number of shards
+    points = points.withColumns({"shard": F.lit(0).cast("int"), "k": F.lit(shards).cast("int")})
+    for _ in range((shards - 1).bit_length()):
+        nodes = points.where("k > 1").groupBy("shard", "k").agg(F.sum("bytes").alias("weight"), *extents).withColumn("dim", F.array_position(share, F.array_max(share)).cast("int"))
+        low, high = (F.element_at(F.array(*[F.col(f"{d}_{end}") for d in DIMENSIONS]), F.col("dim")) for end in ("min", "max"))
+        base = 2 ** (HASH_BITS + PIECE_BITS)
+        nodes = nodes.select(
+            "shard", "dim", (low * base).alias("low"), (high * base + (base - 1)).alias("high"), F.lit(0).cast("long").alias("below"),
+            (F.expr("k div 2") / F.col("k") * F.col("weight")).alias("wanted"), F.lit(None).cast("long").alias("cut"),
         )
-        sums = placed.groupBy("shard", F.expr("_from div _step").alias("range")).agg(F.sum("bytes").alias("bytes"))
-        ranges: dict[int, list] = {k: [] for k in search}
-        for r in sums.collect():  # RANGES rows per node at most
-            ranges[r["shard"]].append((r["range"], r["bytes"]))
-        for k, found in ranges.items():
-            lo, hi, below, wanted = search[k]
-            for at, weight in sorted(found):
-                if below + weight >= wanted:
-                    break
-                below += weight
-            start, end = lo + at * step[k], lo + (at + 1) * step[k] - 1
-            if step[k] == 1 or weight <= limit:
-                cuts[k] = end if below + weight - wanted <= wanted - below else start - 1
-                del search[k]
-            else:
-                search[k] = [start, min(end, hi), below, wanted]
-    return cuts
+        nodes = materialize(nodes, "nodes")
+        # one row a node, ``shards`` rows at most: small enough for every task
+        keyed = points.join(F.broadcast(nodes.select(F.col("shard").alias("node"), "dim")), F.col("shard") == F.col("node"))
+        keyed = keyed.select("node", "bytes", (F.element_at(F.array(*DIMENSIONS), F.col("dim")) * base + F.col("tie")).alias("key"))
+        cuts = weighted_quantiles(keyed, nodes.drop("dim"), limit).join(nodes.select("shard", "dim"), "shard")
+        cuts = cuts.select(F.col("shard").alias("node"), "dim", "cut")
+        half = F.expr("CAST(k div 2 AS INT)")
+        key = F.element_at(F.array(*DIMENSIONS), F.col("dim")) * base + F.col("tie")
+        above = F.coalesce(key > F.col("cut"), F.lit(False))
+        names = [c for c in points.columns if c not in ("shard", "k")]
+        told = points.join(F.broadcast(cuts), F.col("shard") == F.col("node"), "left")
+        points = materialize(told.select(*names, F.when(above, F.col("shard") + half).otherwise(F.col("shard")).alias("shard"), F.when(F.col("k") <= 1, F.col("k")).when(above, F.col("k") - half).otherwise(half).alias("k")), "points")
+    return points.drop("k")
+
+
+def weighted_quantiles(keyed: DataFrame, search: DataFrame, limit: int) -> DataFrame:
+    """(shard, cut): for each row of ``search`` (shard, low, high, below, wanted, cut) the key up to which ``wanted`` bytes of its node lie.
+
+    ``keyed`` has (node, bytes, key). Off by half of ``limit`` at most, or by half of the bytes of
+    one key. A node's keys lie between low and high; below is what weighs less than low.
+    """
+    done = search.where("cut IS NOT NULL").select("shard", "cut")
+    while not search.isEmpty():
+        step = search.withColumn("step", F.expr(f"(high - low) div {RANGES} + 1"))
+        within = keyed.join(F.broadcast(step), (F.col("node") == F.col("shard")) & F.col("key").between(F.col("low"), F.col("high")))
+        sums = within.groupBy("shard", "low", "high", "below", "wanted", "step", F.expr("(key - low) div step").alias("range")).agg(F.sum("bytes").alias("bytes"))
+        upto = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # RANGES rows a node at most
+        reached = sums.withColumn("upto", F.col("below") + F.sum("bytes").over(upto))
+        last = Window.partitionBy("shard").orderBy(F.col("hit").desc(), F.when(F.col("hit"), F.col("range")).otherwise(-F.col("range")))
+        found = reached.withColumn("hit", F.col("upto") >= F.col("wanted")).withColumn("rn", F.row_number().over(last)).where("rn = 1")
+        start = F.col("low") + F.col("range") * F.col("step")
+        end = F.least(F.col("high"), start + F.col("step") - 1)
+        under = F.col("upto") - F.col("bytes")
+        nearest = F.when(F.col("upto") - F.col("wanted") <= F.col("wanted") - under, end).otherwise(start - 1)
+        cut = F.when((F.col("step") == 1) | (F.col("bytes") <= limit), nearest)
+        search = materialize(found.select("shard", start.alias("low"), end.alias("high"), under.alias("below"), "wanted", cut.alias("cut")), "search")
+        done = done.unionByName(search.where("cut IS NOT NULL").select("shard", "cut"))
+        search = search.where("cut IS NULL")
+    return done
