@@ -42,16 +42,21 @@ def required_text(pattern: str) -> tuple[str, bool]:
     return (best.lower() if folded else best, folded) if len(best) >= 2 else ("", folded)
 
 
-def found(content: Column, pattern: str) -> Column:
-    """Whether the pattern matches somewhere; the expression runs only where its plain text occurs."""
+def found(content: Column, pattern: str, lowered: Column | None = None) -> Column:
+    """Whether the pattern matches somewhere; the expression runs only where its plain text occurs.
+
+    ``lowered`` is the content in lower case, worked out once for all patterns that need it.
+    """
     plain, folded = required_text(pattern)
     if not plain:
         return content.rlike(pattern)
-    there = (F.lower(content) if folded else content).contains(plain)
+    there = may_match(content, pattern, lowered)
     return there if plain == pattern and not _SPECIAL.search(pattern) else there & content.rlike(pattern)
 
 
-def may_match(content: Column, pattern: str) -> Column:
+def may_match(content: Column, pattern: str, lowered: Column | None = None) -> Column:
     """A cheap necessary condition of a match."""
     plain, folded = required_text(pattern)
-    return (F.lower(content) if folded else content).contains(plain) if plain else content.rlike(pattern)
+    if not plain:
+        return content.rlike(pattern)
+    return ((F.lower(content) if lowered is None else lowered) if folded else content).contains(plain)

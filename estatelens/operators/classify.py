@@ -1,4 +1,9 @@
-"""Classification of scripts by constant-pattern hit counts."""
+"""Classification of scripts by constant-pattern hit counts.
+
+Scores are plain columns, worked out in one pass before anything looks at them: no pattern
+test stands below a lambda, where Spark would evaluate it without generated code. Verdicts
+compare those columns.
+"""
 
 from __future__ import annotations
 
@@ -11,92 +16,117 @@ from ..functions.patterns import found
 from ..functions.text import trimmed
 from ..plans import rulepacks as packs
 
+LOWERED, BODY, LOWERED_BODY = "_content_lower", "_body", "_body_lower"
+LANGUAGE_SCORES = {language: f"_language_{k}" for k, language in enumerate(packs.LANGUAGES)}
+MODULE_SCORES = {module: f"_module_{k}" for k, module in enumerate(packs.MODULES)}
+TRIGGER_SCORES = {trigger: f"_trigger_{k}" for k, trigger in enumerate(packs.TRIGGERS)}
+
 
-def hits(content: Column, patterns: list[str]) -> Column:
+def hits(content: Column, patterns: list[str], lowered: Column | None = None) -> Column:
     total = F.lit(0)
     for p in patterns:
-        total = total + found(content, p).cast("int")
+        total = total + found(content, p, lowered).cast("int")
     return total
 
 
-def _language_score(content: Column, filename: Column, language: str) -> Column:
+def bound(scripts: DataFrame) -> DataFrame:
+    """``scripts`` with the forms of the content that the patterns look at."""
+    body = trimmed(F.col("content"))
+    return scripts.withColumns({LOWERED: F.lower("content"), BODY: body, LOWERED_BODY: F.lower(body)})
+
+
+def _language_score(language: str) -> Column:
     signals = packs.LANGUAGES[language]
-    n = {kind: hits(content, patterns) for kind, patterns in signals.items()}
+    n = {kind: hits(F.col(BODY), patterns, F.col(LOWERED_BODY)) for kind, patterns in signals.items()}
     # scores by number of hits, as tables: each number of hits is worked out once
     by_hits = lambda kind, weight, base, step: F.element_at(F.array(*[F.lit(weight * min(1.0, base + h * step) if h else 0.0) for h in range(len(signals[kind]) + 1)]), n[kind] + 1)
     score = by_hits("syntax", 30.0, 0.4, 0.2) + by_hits("imports", 20.0, 0.0, 0.5) + by_hits("apis", 10.0, 0.0, 0.3) - 15.0 * n["negative"]
-    extension = F.regexp_extract(filename, r"(\.[^.]*)\z", 1)
-    own = F.lit(False)
-    for e, lang in packs.EXTENSIONS.items():
-        if lang == language:
-            own = own | (extension == e)
+    own = F.regexp_extract("filename", r"(\.[^.]*)\z", 1).isin([e for e, lang in packs.EXTENSIONS.items() if lang == language])
     return F.round(F.greatest(F.lit(0.0), score) + F.when(own, 40.0).otherwise(0.0), 6)
 
 
-def language_scores(scripts: DataFrame) -> DataFrame:
-    """(script_id, ord, language, score), a row per script and language."""
-    content = trimmed(F.col("content"))
-    rows = [F.struct(F.lit(k).alias("ord"), F.lit(lang).alias("language"), _language_score(content, F.col("filename"), lang).alias("score")) for k, lang in enumerate(packs.LANGUAGES, 1)]
-    return scripts.select("script_id", F.explode(F.array(*rows)).alias("s")).select("script_id", "s.*")
+def _module_score(module: str) -> Column:
+    weight, patterns = packs.MODULES[module]
+    table = [math.floor(weight * min(3.0, 1.0 + (h - 1) * 0.3) * 10 + 0.5 + 1e-9) / 10 if h else 0.0 for h in range(len(patterns) + 1)]
+    return F.element_at(F.array(*map(F.lit, table)), hits(F.col("content"), patterns, F.col(LOWERED)) + 1)
 
 
-def _ranked(rows: list[Column]) -> Column:
-    """Descending score, ties in the order given."""
-    return F.array_sort(F.array(*rows), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["ord"] - b["ord"]))
+def language_columns() -> dict[str, Column]:
+    return {column: _language_score(language) for language, column in LANGUAGE_SCORES.items()}
 
 
-def language_of() -> Column:
-    """Struct of language, confidence and score, from columns content and filename."""
-    content = trimmed(F.col("content"))
-    rows = [F.struct(F.lit(k).alias("ord"), F.lit(lang).alias("language"), _language_score(content, F.col("filename"), lang).alias("score")) for k, lang in enumerate(packs.LANGUAGES, 1)]
+def module_columns() -> dict[str, Column]:
+    return {column: _module_score(module) for module, column in MODULE_SCORES.items()}
 
-    def verdict(r: Column) -> Column:
-        top, margin = r[0]["score"], r[0]["score"] - r[1]["score"]
-        known = top >= 5
-        confidence = F.when(~known, "low").when((top >= 70) & (margin >= 20), "high").when((top >= 40) & (margin >= 10), "medium").otherwise("low")
-        return F.struct(F.when(known, r[0]["language"]).otherwise("unknown").alias("language"), confidence.alias("language_confidence"), F.when(known, top).otherwise(0.0).alias("language_score"))
 
-    return F.transform(F.array(_ranked(rows)), verdict)[0]  # the ranking is worked out once a row
+def trigger_columns() -> dict[str, Column]:
+    return {column: hits(F.col("content"), packs.TRIGGERS[trigger], F.col(LOWERED)) for trigger, column in TRIGGER_SCORES.items()}
 
 
-def classify_language(scripts: DataFrame) -> DataFrame:
-    return scripts.select("script_id", language_of().alias("l")).select("script_id", "l.*")
+def operation_columns() -> dict[str, Column]:
+    number = lambda patterns: hits(F.col("content"), patterns, F.col(LOWERED)).cast("long")
+    return {"n_mappable": number([p for p, _, _ in packs.MAPPABLE]), "n_unmappable": number([p for p, _ in packs.UNMAPPABLE])}
 
 
-def module_scores(scripts: DataFrame) -> DataFrame:
-    rows = _module_rows()
-    return scripts.select("script_id", F.explode(F.array(*rows)).alias("s")).select("script_id", "s.ord", F.col("s.label").alias("module"), "s.score").where("score > 0")
+def _first_best(columns: dict[str, str]) -> Column:
+    """The name whose column is largest, the first of equal ones; 'unknown' where none is above 0."""
+    scores = list(columns.values())
+    best = F.greatest(*scores)
+    return F.when(best > 0, F.element_at(F.array(*map(F.lit, columns)), F.array_position(F.array(*scores), best).cast("int"))).otherwise("unknown")
+
+
+def language_verdict() -> dict[str, Column]:
+    """Columns language, language_confidence, language_score and language_margin from the score columns."""
+    ranked = F.sort_array(F.array(*LANGUAGE_SCORES.values()), asc=False)
+    top, margin = ranked[0], ranked[0] - ranked[1]
+    known = top >= 5
+    confidence = F.when(~known, "low").when((top >= 70) & (margin >= 20), "high").when((top >= 40) & (margin >= 10), "medium").otherwise("low")
+    return {
+        "language": F.when(known, _first_best(LANGUAGE_SCORES)).otherwise("unknown"), "language_confidence": confidence,
+        "language_score": F.when(known, top).otherwise(0.0), "language_margin": margin,
+    }
 
 
-def _module_rows() -> list[Column]:
-    rows = []
-    for k, (module, (weight, patterns)) in enumerate(packs.MODULES.items(), 1):
-        table = [math.floor(weight * min(3.0, 1.0 + (h - 1) * 0.3) * 10 + 0.5 + 1e-9) / 10 if h else 0.0 for h in range(len(patterns) + 1)]
-        score = F.element_at(F.array(*map(F.lit, table)), hits(F.col("content"), patterns) + 1)
-        rows.append(F.struct(F.lit(k).alias("ord"), F.lit(module).alias("label"), score.alias("score")))
-    return rows
+def _scored(scripts: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return bound(scripts).withColumns(columns)
 
 
-def _top(rows: list[Column]) -> Column:
-    best = F.array_max(F.transform(F.array(*rows), lambda r: F.struct(r["score"].alias("score"), (-r["ord"]).alias("ord"), r["label"].alias("label"))))
-    return F.transform(F.array(best), lambda b: F.when(b["score"] > 0, b["label"]).otherwise("unknown"))[0]
+def _told(scripts: DataFrame, columns: dict[str, Column], names: dict[str, str], label: str) -> DataFrame:
+    """A row per script and name."""
+    rows = [F.struct(F.lit(k).alias("ord"), F.lit(name).alias(label), F.col(c).alias("score")) for k, (name, c) in enumerate(names.items(), 1)]
+    return _scored(scripts, columns).select("script_id", F.explode(F.array(*rows)).alias("s")).select("script_id", "s.*")
+
+
+def language_scores(scripts: DataFrame) -> DataFrame:
+    """(script_id, ord, language, score), a row per script and language."""
+    return _told(scripts, language_columns(), LANGUAGE_SCORES, "language")
+
+
+def classify_language(scripts: DataFrame) -> DataFrame:
+    told = language_verdict()
+    told.pop("language_margin")
+    return _scored(scripts, language_columns()).select("script_id", *[c.alias(name) for name, c in told.items()])
+
+
+def module_scores(scripts: DataFrame) -> DataFrame:
+    return _told(scripts, module_columns(), MODULE_SCORES, "module").where("score > 0")
 
 
 def module_of() -> Column:
-    return _top(_module_rows())
+    return _first_best(MODULE_SCORES)
 
 
 def trigger_of() -> Column:
-    return _top([F.struct(F.lit(k).alias("ord"), F.lit(t).alias("label"), hits(F.col("content"), p).alias("score")) for k, (t, p) in enumerate(packs.TRIGGERS.items(), 1)])
+    return _first_best(TRIGGER_SCORES)
 
 
 def classify_module(scripts: DataFrame) -> DataFrame:
-    return scripts.select("script_id", module_of().alias("module"), trigger_of().alias("trigger"))
+    return _scored(scripts, module_columns() | trigger_columns()).select("script_id", module_of().alias("module"), trigger_of().alias("trigger"))
 
 
 def metaprogramming(scripts: DataFrame) -> DataFrame:
     """Scripts with the strategy that their language and dynamic code ask for."""
-    flagged = scripts.select("script_id", language_of()["language"].alias("language"), F.col("content").rlike(packs.METAPROGRAMMING).alias("dynamic"))
+    flagged = _scored(scripts, language_columns()).select("script_id", language_verdict()["language"].alias("language"), F.col("content").rlike(packs.METAPROGRAMMING).alias("dynamic"))
     strategy = F.when(F.col("language") == "java", "static").when((F.col("language") == "groovy") & ~F.col("dynamic"), "static").when(F.col("language") == "groovy", "hybrid").otherwise("semantic")
     return flagged.withColumn("strategy", strategy)
 

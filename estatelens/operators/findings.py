@@ -17,13 +17,13 @@ def explode_lines(scripts: DataFrame, key: str = "script_id") -> DataFrame:
     return lines.select(key, (F.col("at") + 1).alias("line_no"), "line")
 
 
-def _family_hits(family: str, line: Column) -> Column:
+def _family_hits(family: str, line: Column, lowered: Column) -> Column:
     """All matches of a family's patterns on a line; the patterns are constants, compiled once a task."""
     found = []
     for ord_, (pattern, group, attr) in enumerate(packs.FAMILIES[family], 1):
         raw = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
         zipped = F.arrays_zip(raw.alias("raw"), F.regexp_extract_all(line, F.lit(pattern), F.lit(group)).alias("entity")) if group else F.transform(raw, lambda r: F.struct(r.alias("raw"), r.alias("entity")))
-        found.append(F.when(may_match(line, pattern), F.transform(zipped, _hit(family, ord_, attr))).otherwise(F.array().cast(HITS)))
+        found.append(F.when(may_match(line, pattern, lowered), F.transform(zipped, _hit(family, ord_, attr))).otherwise(F.array().cast(HITS)))
     return F.concat(*found)
 
 
@@ -38,8 +38,9 @@ def scan(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
     """Every finding in (script_id, line_no, family, rule_ord, pos) order columns, overlaps kept."""
     families = families or list(packs.FAMILIES)
     line = F.col("line")
-    hits = F.concat(*[_family_hits(f, line) for f in families])
-    found = explode_lines(scripts).select("script_id", "line_no", "line", F.explode(hits).alias("h")).select("script_id", "line_no", "line", "h.*")
+    hits = F.concat(*[_family_hits(f, line, F.col("lowered")) for f in families])
+    lines = explode_lines(scripts).withColumn("lowered", F.lower("line"))
+    found = lines.select("script_id", "line_no", "line", F.explode(hits).alias("h")).select("script_id", "line_no", "line", "h.*")
     http = F.col("family") == "http"
     local = F.col("entity").rlike("(?i)/rest/api/") | F.col("entity").rlike(r"localhost|127\.0\.0\.1")
     found = found.where(~(http & local))

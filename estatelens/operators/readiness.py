@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines_of_code
 from ..plans import rulepacks as packs
-from .classify import hits, language_of, module_of, trigger_of
+from . import classify
 from .findings import dedupe_first, scan
 
 
@@ -46,10 +46,10 @@ def profile(scripts: DataFrame) -> DataFrame:
     """
     counts = dependency_counts(dedupe_first(scan(scripts).repartition("script_id")))
     zero = {c: 0 for c in counts.columns if c != "script_id"}
-    base = scripts.select(
-        "script_id", lines_of_code(F.col("content")).alias("loc"), language_of().alias("l"), module_of().alias("module"), trigger_of().alias("trigger"),
-        hits(F.col("content"), [p for p, _, _ in packs.MAPPABLE]).cast("long").alias("n_mappable"), hits(F.col("content"), [p for p, _ in packs.UNMAPPABLE]).cast("long").alias("n_unmappable"),
-    ).select("*", "l.*").drop("l")
+    scored = classify.bound(scripts).withColumns(
+        {"loc": lines_of_code(F.col("content"))} | classify.language_columns() | classify.module_columns() | classify.trigger_columns() | classify.operation_columns()
+    )
+    base = scored.select("script_id", "loc", classify.module_of().alias("module"), classify.trigger_of().alias("trigger"), "n_mappable", "n_unmappable", *[c.alias(n) for n, c in classify.language_verdict().items()])
     out = base.join(counts, "script_id", "left").fillna(zero)
     points = F.floor(F.col("loc") / 50)
     for f, weight in packs.COMPLEXITY.items():
