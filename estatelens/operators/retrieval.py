@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries whose vectors are sent to all tasks at once; more go in turns.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that one block holds; a task meets a block at a time.
+BLOCK_BYTES = 2 << 20
+#: Rows on which the cells of ``ann_topk`` are fitted, about, at most.
+FIT_ROWS = 100_000
+#: Bytes of document vectors that a task holds, about.
+GROUP_BYTES = 32 << 20
+#: Similarities that a task works out at a time.
+PAIRS_AT_ONCE = 1 << 20
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -27,64 +33,80 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 4, threshold: float = 0.7, by_category: bool = False) -> DataFrame:
     """(query_id, doc_id, similarity, rank) of (query_id, vector) against (doc_id, vector, category).
 
-    Queries go to the tasks in blocks of ``QUERY_BLOCK``; a task multiplies matrices, keeps its own
-    best k a query and category, and a window takes the best of those.
+    Queries form blocks of ``BLOCK_BYTES`` by hash, documents groups of ``GROUP_BYTES``;
+    a block meets every group as one task's work (``applyInArrow`` on the pair), which multiplies
+    matrices a slice at a time and keeps the block's own best k a query and category. What is
+    shuffled besides is k rows a query and group. Vectors must be of one width; null ones are left out.
     """
     spark = docs.sparkSession
-    numbered = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *(["category"] if by_category else []))
-    parts, seen = [], 0
-    rows = numbered.toLocalIterator()
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows, strict=False)]:
-        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), np.array([r["vector"] for r in block]), [r["category"] if by_category else None for r in block]))
-        own = docs.where("vector IS NOT NULL").select("doc_id", F.col("vector").cast("array<double>").alias("vector"), *(["category"] if by_category else []))
-        parts.append(own.mapInArrow(_partial(sent, k, threshold, by_category), "query_id long, doc_id long, similarity double"))
-        seen += len(block)
-    if not parts:
-        return spark.createDataFrame([], "query_id long, doc_id long, similarity double, rank int")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    kept = ["category"] if by_category else []
+    vectors = lambda d, name: d.where("vector IS NOT NULL").select(F.col(name).alias("id"), F.col("vector").cast("array<double>").alias("vector"), *kept)
+    asked, given = vectors(queries, "query_id"), vectors(docs, "doc_id")
+    sizes = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    width = 8 * (sizes[1] or 1)
+    blocks = max(1, -(-(sizes[0] * width) // BLOCK_BYTES))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(given.count() * width) // GROUP_BYTES))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(own(blocks).alias("block"), every(groups).alias("grp"), "id", "vector", *kept)
+    right = given.select(every(blocks).alias("block"), own(groups).alias("grp"), "id", "vector", *kept)
+    hits = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInArrow(_partial(k, threshold, by_category), "query_id long, doc_id long, similarity double")
     return _best(hits, k)
 
 
-def _partial(sent, k: int, threshold: float, by_category: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, cats = sent.value
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = batch.column("doc_id").to_numpy()
-            v = np.stack(batch.column("vector").to_pylist())
-            s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            if by_category:
-                own = np.array(batch.column("category").to_pylist(), dtype=object)
-                s[np.array(cats, dtype=object)[:, None] != own[None, :]] = -2.0
-            s = np.round(s, 6)
-            most = min(k, s.shape[1])
-            # all rows at or above the k-th rounded value, as ties are settled by doc_id
-            kth = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
-            row, col = np.nonzero((s >= kth[:, None]) & (s >= threshold) & (s > -2.0))
-            order = np.lexsort((docs[col], -s[row, col], row))
-            row, col = row[order], col[order]
-            keep = np.arange(row.size) - np.searchsorted(row, row) < k
-            row, col = row[keep], col[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(docs[col], pa.int64()), pa.array(s[row, col])], ["query_id", "doc_id", "similarity"])
+def _matrix(table: pa.Table) -> np.ndarray:
+    column = table.column("vector").combine_chunks()
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _partial(k: int, threshold: float, by_category: bool):
+    def run(asked: pa.Table, given: pa.Table) -> pa.Table:
+        ids, found = [np.empty(0, np.int64)] * 2 + [np.empty(0)], []
+        if asked.num_rows and given.num_rows:
+            q, v = _matrix(asked), _matrix(given)
+            names, docs = asked.column("id").to_numpy(), given.column("id").to_numpy()
+            step = max(1, PAIRS_AT_ONCE // len(docs))
+            own = [np.array(t.column("category").to_pylist(), dtype=object) for t in (asked, given)] if by_category else None
+            for at in range(0, len(names), step):
+                s = q[at : at + step] @ v.T
+                if by_category:
+                    s[own[0][at : at + step, None] != own[1][None, :]] = -2.0
+                s = np.round(s, 6)
+                most = min(k, s.shape[1])
+                # all rows at or above the k-th rounded value, as ties are settled by doc_id
+                kth = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
+                row, col = np.nonzero((s >= kth[:, None]) & (s >= threshold) & (s > -2.0))
+                order = np.lexsort((docs[col], -s[row, col], row))
+                row, col = row[order], col[order]
+                best = np.arange(row.size) - np.searchsorted(row, row) < k
+                row, col = row[best], col[best]
+                found.append((names[at + row], docs[col], s[row, col]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else ids
+        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "doc_id": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
 
     return run
 
 
 def ann_topk(queries: DataFrame, docs: DataFrame, k: int = 4, lists: int = 16, probes: int = 12, threshold: float = -1.0) -> DataFrame:
-    """Approximate top-k over cells of k-means; a query looks into its ``probes`` nearest cells only."""
+    """Approximate top-k over cells of k-means; a query looks into its ``probes`` nearest cells only.
+
+    The cells are fitted on a bounded sample (``FIT_ROWS``); every row is indexed. Vectors that form
+    clusters need few probes; the default suits vectors without any structure. Cells are joined by
+    key, and Spark's skew join splits a hot one.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     unit = lambda d: d.withColumn("vector", F.col("vector").cast("array<double>")).withColumn("feature", array_to_vector(F.transform("vector", lambda x: x / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)))))
     placed = unit(docs.where("vector IS NOT NULL"))
-    model = KMeans(k=lists, seed=1, maxIter=10, featuresCol="feature", predictionCol="cell").fit(placed)
+    share = min(1.0, FIT_ROWS / max(1, placed.count()))
+    sample = placed.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    model = KMeans(k=lists, seed=1, maxIter=10, featuresCol="feature", predictionCol="cell").fit(sample)
     centres = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("centre")) for i, c in enumerate(model.clusterCenters())])
-    near = F.slice(F.array_sort(F.transform(centres, lambda c: F.struct((-cosine(F.col("vector"), c["centre"])).alias("d"), c["cell"].alias("cell")))), 1, probes)
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).select("query_id", F.col("vector").alias("query"), F.explode(near).alias("n")).select("query_id", "query", "n.cell")
+    near = F.slice(F.array_sort(F.transform(centres, lambda c: F.struct((-cosine(F.col("query"), c["centre"])).alias("d"), c["cell"].alias("cell")))), 1, probes)
+    asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("query"))
+    asked = asked.select("query_id", "query", F.explode(near).alias("n")).select("query_id", "query", "n.cell")
     cells = model.transform(placed).select("doc_id", "vector", "cell")
     hits = asked.join(cells, "cell").select("query_id", "doc_id", F.round(cosine(F.col("query"), F.col("vector")), 6).alias("similarity"))
     return _best(hits.where(F.col("similarity") >= threshold), k)
@@ -104,13 +126,23 @@ def stalest(hits: DataFrame) -> DataFrame:
 def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 4) -> DataFrame:
     """(query_id, doc_id, similarity, rank): share of a query's distinct terms that a text holds.
 
-    Queries (query_id, text) are a stated set, sent in one piece per block; texts stay in place.
+    A text holds a term where the term stands in one of its blank-separated tokens, so texts become
+    distinct tokens, the distinct tokens of all texts are matched with the terms once, by an
+    equi-join on three-character pieces and a check (terms of one or two characters meet by
+    pieces of their length), and what matches is joined back by token.
     """
-    terms = queries.select("query_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+", -1), lambda t: t != "")).alias("terms"))
-    body = F.lower(F.coalesce("text", F.lit("")))
-    pairs = docs.select("doc_id", body.alias("body")).join(F.broadcast(terms), F.exists("terms", lambda t: F.contains(F.col("body"), t)))
-    share = F.size(F.filter("terms", lambda t: F.contains(F.col("body"), t))) / F.size("terms")
-    return _best(pairs.select("query_id", "doc_id", F.round(share, 6).alias("similarity")), k)
+    terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+", -1), lambda t: t != ""))).alias("term"))
+    sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+", -1), lambda t: t != ""))).alias("token"))
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(n)))
+    first = terms.select("term").distinct().withColumn("piece", F.substring("term", 1, 3))
+    every = F.array_union(F.array_union(pieces("token", 3), pieces("token", 2)), pieces("token", 1))
+    vocabulary = tokens.select("token").distinct().select("token", F.explode(every).alias("piece"))
+    matched = vocabulary.join(first, "piece").where(F.contains("token", "term")).groupBy("token").agg(F.collect_set("term").alias("terms"))
+    # a text's terms first, each once: far fewer than its tokens
+    held = tokens.join(matched, "token").select("doc_id", F.explode("terms").alias("term")).distinct().join(terms, "term")
+    share = held.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "query_id")
+    return _best(share.select("query_id", "doc_id", F.round(F.col("n") / F.col("size"), 6).alias("similarity")), k)
 
 
 # Query texts by target and module, and for what a script needs.

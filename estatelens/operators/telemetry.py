@@ -20,8 +20,8 @@ def cost_rollup(usage: DataFrame) -> DataFrame:
 
 
 def stage_timings(events: DataFrame) -> DataFrame:
-    """Per stage: number, mean and 95th percentile of milliseconds."""
-    return events.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.percentile("ms", 0.95), 6).alias("p95_ms"))
+    """Per stage: number, mean and 95th percentile of milliseconds (a value that occurs, off by 1e-5 of the ranks at most, in bounded memory)."""
+    return events.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.percentile_approx("ms", 0.95, 100_000), 6).alias("p95_ms"))
 
 
 def timings_of_maps(jobs: DataFrame) -> DataFrame:
