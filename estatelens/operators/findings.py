@@ -68,6 +68,13 @@ def findings(scripts: DataFrame, families: list[str] | None = None) -> DataFrame
     return dedupe_first(scan(scripts, families))
 
 
+def deprecated_uses(found: DataFrame) -> DataFrame:
+    """Findings of deprecated APIs with class, reason and what takes the class's place (a join with the 33 definitions)."""
+    uses = found.where("family = 'deprecated'").select("script_id", "line_no", "raw", F.split_part("attr", F.lit("|"), F.lit(1)).alias("api_class"), F.split_part("attr", F.lit("|"), F.lit(2)).alias("reason"))
+    told = found.sparkSession.createDataFrame(list(packs.ALTERNATIVES.items()), "api_class string, alternative string")
+    return uses.join(F.broadcast(told), "api_class").select("script_id", "line_no", "raw", "api_class", "reason", "alternative")
+
+
 def merge_sources(primary: DataFrame, other: DataFrame) -> DataFrame:
     """Findings of two sources: the primary wins per entity; the other adds fields, groups and users only."""
     more = other.where(F.col("family").isin("custom_field", "group", "user")).join(primary.select("script_id", "family", "entity").distinct(), ["script_id", "family", "entity"], "left_anti")

@@ -22,8 +22,8 @@ def category_column(category: str) -> str:
     return "c_" + category.replace("-", "_")
 
 
-def dependency_counts(found: DataFrame) -> DataFrame:
-    """A row per script that has findings: numbers by family, by reason, and of special kinds."""
+def dependency_counts(found: DataFrame, evidence: bool = False) -> DataFrame:
+    """A row per script that has findings: numbers by family, by reason, and of special kinds; the findings themselves in order if asked for."""
     family, attr, entity = F.col("family"), F.col("attr"), F.col("entity")
     reason = F.element_at(F.split("attr", r"\|"), -1)
     counts = [F.count_if(family == f).alias(f"n_{f}") for f in packs.FAMILIES]
@@ -36,16 +36,19 @@ def dependency_counts(found: DataFrame) -> DataFrame:
         F.count_if(api & entity.rlike("search|picker")).alias("n_search_or_picker"),
         F.count_if(api & entity.contains("search")).alias("n_search"),
     ]
+    if evidence:
+        shown = F.struct("line_no", "rule_ord", "pos", "family", "attr", F.coalesce("dynamic", F.lit(False)).alias("dynamic"), "raw", "entity", F.substring_index("attr", "|", 1).alias("class"))
+        counts.append(F.array_sort(F.collect_list(shown)).alias("evidence"))
     return found.groupBy("script_id").agg(*counts)
 
 
-def profile(scripts: DataFrame) -> DataFrame:
+def profile(scripts: DataFrame, evidence: bool = False) -> DataFrame:
     """One row per script: counts, lines of code, language, module, trigger, operations, complexity.
 
     Findings are dealt by script once; folding, counting and the join with the scripts use that.
     """
-    counts = dependency_counts(dedupe_first(scan(scripts).repartition("script_id")))
-    zero = {c: 0 for c in counts.columns if c != "script_id"}
+    counts = dependency_counts(dedupe_first(scan(scripts).repartition("script_id")), evidence)
+    zero = {c: 0 for c in counts.columns if c not in ("script_id", "evidence")}
     scored = classify.bound(scripts).withColumns(
         {"loc": lines_of_code(F.col("content"))} | classify.language_columns() | classify.module_columns() | classify.trigger_columns() | classify.operation_columns()
     )
@@ -60,14 +63,42 @@ def profile(scripts: DataFrame) -> DataFrame:
     return out.withColumn("complexity_points", points.cast("long")).withColumn("complexity", level.otherwise("low"))
 
 
-def issue_list() -> Column:
-    """The issues of a profile row, as an array."""
-    rules = [F.when(F.expr(cond), F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"), F.lit(category).alias("category"), F.lit(needs).alias("needs_mapping"))) for code, level, category, needs, cond in packs.READINESS]
+def issue_list(evidence: bool = False) -> Column:
+    """The issues of a profile row, as an array; with evidence each has the first line and the expressions it is about."""
+
+    def issue(code: str, level: str, category: str, needs: bool) -> Column:
+        parts = [F.lit(code).alias("code"), F.lit(level).alias("level"), F.lit(category).alias("category"), F.lit(needs).alias("needs_mapping")]
+        return F.struct(*parts, *(_shown(packs.EVIDENCE[code]) if evidence else []))
+
+    rules = [F.when(F.expr(cond), issue(code, level, category, needs)) for code, level, category, needs, cond in packs.READINESS]
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
 
 
+def _shown(rule: str | tuple) -> list[Column]:
+    if isinstance(rule, str):
+        return [F.lit(None).cast("int").alias("first_line"), F.lit(rule).alias("affected")]
+    condition, field, most, otherwise = rule
+    own = F.expr(f"filter(evidence, e -> {condition.format(f='e.')})")
+    told = F.array_join(F.transform(F.slice(own, 1, most), lambda e: e[field]), ", ")
+    return [F.get(own, F.lit(0))["line_no"].alias("first_line"), (told if otherwise is None else F.coalesce(F.nullif(told, F.lit("")), F.lit(otherwise))).alias("affected")]
+
+
 def issues(profiles: DataFrame) -> DataFrame:
-    return profiles.select("script_id", F.explode(issue_list()).alias("i")).select("script_id", "i.*")
+    """(script_id, code, level, category, needs_mapping, first_line, affected) of profiles with evidence."""
+    return profiles.select("script_id", F.explode(issue_list(evidence=True)).alias("i")).select("script_id", "i.*")
+
+
+def confidences(profiles: DataFrame, coverage: float = 0.3) -> DataFrame:
+    """How sure each detection is; ``coverage`` is the share of a SIL script that patterns read."""
+    rounded = lambda c: F.floor(c * 100 + 0.5) / 100
+    return profiles.select(
+        "script_id",
+        rounded(F.least(F.lit(1.0), F.col("language_score") / 80)).alias("language_detection"),
+        F.when(F.col("module") != "unknown", 1.0).otherwise(0.0).alias("module_detection"),
+        F.when(F.col("trigger") != "unknown", 1.0).otherwise(0.0).alias("trigger_detection"),
+        F.when(F.col("language") == "sil", rounded(F.lit(0.6 + 0.4 * coverage))).otherwise(0.95).alias("dependency_extraction"),
+        F.when(F.col("n_deprecated") > 5, 0.6).otherwise(0.85).alias("readiness_analysis"),
+    )
 
 
 def suitability(profiles: DataFrame) -> DataFrame:

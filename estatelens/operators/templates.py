@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import rulepacks as packs
@@ -40,10 +40,19 @@ def resolve(files: DataFrame, mappings: DataFrame) -> DataFrame:
     return _resolved(files, mappings).groupBy("job_id", "filename").agg(whole.alias("content"))
 
 
-def resolution_stats(files: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Per file: placeholders in all, resolved, unresolved, and distinct unresolved tokens."""
+def _stats() -> list[Column]:
     there, done = F.col("token").isNotNull(), F.col("value").isNotNull()
-    return _resolved(files, mappings).groupBy("job_id", "filename").agg(
+    return [
         F.count_if(there).alias("total"), F.count_if(there & done).alias("resolved"), F.count_if(there & ~done).alias("unresolved"),
         F.count_distinct(F.when(there & ~done, F.col("token"))).alias("distinct_unresolved"),
-    )
+    ]
+
+
+def resolution_stats(files: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Per file: placeholders in all, resolved, unresolved, and distinct unresolved tokens."""
+    return _resolved(files, mappings).groupBy("job_id", "filename").agg(*_stats())
+
+
+def session_totals(files: DataFrame, mappings: DataFrame) -> DataFrame:
+    """The same per session; a token that several files leave open counts once among the distinct ones."""
+    return _resolved(files, mappings).groupBy("job_id").agg(*_stats())

@@ -22,14 +22,26 @@ def functions(exports: DataFrame) -> DataFrame:
     return rows.withColumn("type", F.regexp_extract("function", r'(?i)<function\b[^>]*?\stype="([^"]*)"', 1))
 
 
+# Named entities in the order in which they are decoded, the ampersand first.
+ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")]
+
+
+def decoded(text: Column) -> Column:
+    """Named entities, then decimal ones; of a decimal one the lowest 16 bits count."""
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d+);"), F.lit(1)))
+    code = lambda n: F.pmod(F.substring(n, -18, 18).cast("long"), F.lit(65536))
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(code(n)), 4, "0")), "UTF-16BE")
+    return F.aggregate(numbers, text, lambda done, n: F.replace(done, F.concat(F.lit("&#"), n, F.lit(";")), char(n)))
+
+
 def _argument(name: str) -> Column:
-    """Text of an argument: its CDATA, else its plain text decoded; null if absent."""
-    whole = F.regexp_extract("function", rf'(?is)<arg\s+name="{name.replace(".", chr(92) + ".")}"[^>]*>(.*?)</arg>', 1)
-    raw = F.regexp_extract(whole, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
-    plain = whole
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    found = F.when(raw != "", raw).otherwise(plain)
+    """Text of an argument, trimmed and decoded: its CDATA, else its plain text; null if absent or blank."""
+    tag = rf'(?is)<arg\s+name="{name.replace(".", chr(92) + ".")}"[^>]*>'
+    cdata = F.regexp_extract_all("function", F.lit(rf"{tag}\s*<!\[CDATA\[(.*?)\]\]>\s*</arg>"), F.lit(1))
+    plain = F.regexp_extract("function", rf"{tag}(.*?)</arg>", 1)
+    found = decoded(trimmed(F.coalesce(F.get(cdata, F.lit(0)), plain)))
     return F.when(trimmed(found) != "", found)
 
 

@@ -119,6 +119,23 @@ def issues() -> str:
     return f"{profile()}, issues AS ({' UNION ALL '.join(parts)})"
 
 
+def shown_issues() -> str:
+    """``issues`` with the first line and the expressions."""
+    parts = []
+    for code, level, category, needs, cond in packs.READINESS:
+        rule = packs.EVIDENCE[code]
+        if isinstance(rule, str):
+            line, told, side = "NULL", q(rule), ""
+        else:
+            where, field, most, otherwise = rule
+            field = "split_part(attr, '|', 1)" if field == "class" else field
+            line, told = "x[1].l", f"coalesce(array_to_string(list_transform(x[1:{most}], lambda e: e.t), ', '), '')"
+            told = told if otherwise is None else f"coalesce(nullif({told}, ''), {q(otherwise)})"
+            side = f" LEFT JOIN (SELECT script_id, list({{'l': line_no, 't': {field}}} ORDER BY line_no, rule_ord, pos) AS x FROM found WHERE {where.format(f='')} GROUP BY script_id) USING (script_id)"
+        parts.append(f"SELECT script_id, {q(code)} AS code, {q(level)} AS level, {q(category)} AS category, {str(needs).lower()} AS needs_mapping, CAST({line} AS INTEGER) AS first_line, {told} AS affected FROM profile{side} WHERE {cond}")
+    return f"{profile()}, shown AS ({' UNION ALL '.join(parts)})"
+
+
 def operations() -> str:
     parts = [f"SELECT script_id, {k} AS ord, true AS mappable, {q(l)} AS label, regexp_extract(content, {q(p)}, 0) AS expression, {q(e)} AS equivalent FROM scripts" for k, (p, l, e) in enumerate(packs.MAPPABLE, 1)]
     parts += [f"SELECT script_id, {100 + k}, false, {q(l)}, regexp_extract(content, {q(p)}, 0), NULL FROM scripts" for k, (p, l) in enumerate(packs.UNMAPPABLE, 1)]

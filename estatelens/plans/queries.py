@@ -61,6 +61,14 @@ for _f in packs.FAMILIES:
     query(f"WITH {o.findings([_f])} SELECT {', '.join(FOUND)} FROM found", f"findings_{_f}")(partial(_family, _f))
 
 
+VALUES = ", ".join(f"({o.q(c)}, {o.q(a)})" for c, a in packs.ALTERNATIVES.items())
+
+
+@query(f"WITH {o.findings(['deprecated'])} SELECT script_id, line_no, raw, api_class, split_part(attr, '|', 2) AS reason, alternative FROM found JOIN (VALUES {VALUES}) t(api_class, alternative) ON api_class = split_part(attr, '|', 1)")
+def deprecated_alternatives(spark, d):
+    return findings.deprecated_uses(findings.findings(table(spark, d, "scripts"), ["deprecated"]))
+
+
 @query(f"WITH {o.findings()} SELECT family, count(*) AS n, count(DISTINCT script_id) AS n_scripts, count(DISTINCT entity) AS n_entities FROM found GROUP BY family")
 def findings_union(spark, d):
     found = findings.findings(table(spark, d, "scripts"))
@@ -123,9 +131,23 @@ def complexity(spark, d):
     return readiness.profile(table(spark, d, "scripts")).select("script_id", "loc", "complexity_points", "complexity")
 
 
-@query(f"WITH {o.issues()} SELECT * FROM issues")
+@query(f"WITH {o.shown_issues()} SELECT * FROM shown")
 def readiness_issues(spark, d):
-    return readiness.issues(readiness.profile(table(spark, d, "scripts")))
+    return readiness.issues(readiness.profile(table(spark, d, "scripts"), evidence=True))
+
+
+@query(f"""WITH {o.profile()} SELECT script_id, floor(least(1.0, language_score / 80) * 100 + 0.5) / 100 AS language_detection, CASE WHEN module <> 'unknown' THEN 1.0 ELSE 0.0 END AS module_detection, CASE WHEN trigger <> 'unknown' THEN 1.0 ELSE 0.0 END AS trigger_detection,
+ CASE WHEN language = 'sil' THEN 0.72 ELSE 0.95 END AS dependency_extraction, CASE WHEN n_deprecated > 5 THEN 0.6 ELSE 0.85 END AS readiness_analysis FROM profile JOIN lang USING (script_id, language)""")
+def detection_confidence(spark, d):
+    return readiness.confidences(readiness.profile(table(spark, d, "scripts")))
+
+
+@query(f"""WITH scripts AS ({o.duck('scripts')}), {o.module()}, own AS (SELECT action_id AS script_id, CASE WHEN type LIKE '%Validator' THEN 'validator' ELSE 'post-function' END AS workflow_module FROM ({o.duck('workflow_rows')}) WHERE type NOT LIKE '%GroovyUnknown')
+ SELECT script_id, CASE WHEN module IN ('unknown', 'field-function') AND workflow_module IS NOT NULL THEN workflow_module ELSE module END AS module FROM mods LEFT JOIN own USING (script_id)""")
+def workflow_override(spark, d):
+    types = F.create_map(*[F.lit(x) for t, (module, _, _) in packs.WORKFLOW_TYPES.items() for x in (t, module)])
+    own = table(spark, d, "workflow_rows").select(F.col("action_id").alias("script_id"), types[F.col("type")].alias("workflow_module"))
+    return readiness.workflow_override(classify.classify_module(table(spark, d, "scripts")).drop("trigger"), own)
 
 
 @query(f"WITH {o.verdicts()} SELECT * FROM verdicts")
@@ -236,6 +258,11 @@ def resolution_stats(spark, d):
     return templates.resolution_stats(table(spark, d, "generated_files"), _file_mappings(spark, d))
 
 
+@query(f"""WITH {TOKENS} SELECT files.job_id, count(token) AS total, count(value) AS resolved, count(token) - count(value) AS unresolved, count(DISTINCT CASE WHEN value IS NULL THEN token END) AS distinct_unresolved FROM files LEFT JOIN res USING (job_id, filename) GROUP BY files.job_id""")
+def session_resolution(spark, d):
+    return templates.session_totals(table(spark, d, "generated_files"), _file_mappings(spark, d))
+
+
 @query(f"""WITH {o.findings(['custom_field', 'user'])}, {MAPS} SELECT family, count(*) AS n, count(m.cloud_id) AS n_resolved FROM found f LEFT JOIN maps m ON m.server_id = f.entity AND m.kind = CASE family WHEN 'custom_field' THEN 'field' ELSE family END GROUP BY family""")
 def resolve_ids(spark, d):
     found = findings.findings(table(spark, d, "scripts"), ["custom_field", "user"])
@@ -286,6 +313,16 @@ def crawl_run_report(spark, d):
     return index.run_report(table(spark, d, "snapshot_2"), marked, marked.limit(0)).select("attempted", "succeeded", "failed", "skipped")
 
 
+@query()
+def refresh_index(spark, d):
+    """A second snapshot over the chunks of the first, with vectors for what is new."""
+    none = spark.createDataFrame([], "chunk_id string, url string, chunk_index int, content string, content_hash string, crawled_at timestamp, created_at timestamp, embedding array<float>")
+    pages = index.page_table(table(spark, d, "snapshot_1"))
+    first, _ = index.refresh(none, pages.limit(0), table(spark, d, "snapshot_1"), AS_OF, hashed_vector())
+    second, _ = index.refresh(first, pages, table(spark, d, "snapshot_2"), AS_OF, hashed_vector())
+    return second.select("chunk_id", "url", "chunk_index", "content_hash", "crawled_at", "created_at", F.size("embedding").alias("width"))
+
+
 @query(f"SELECT url, crawled_at, concat('HTTP ', CAST(status AS VARCHAR)) AS error FROM ({o.duck('snapshot_2')}) WHERE NOT status BETWEEN 200 AND 299")
 def crawl_errors(spark, d):
     return io.split_snapshots(table(spark, d, "snapshot_2"))[1]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from estatelens.functions import text as tx
 from estatelens.operators import classify, findings, index, lint, mappings, readiness, retrieval, telemetry, templates, workflow
+from estatelens.plans import rulepacks as packs
 from estatelens.sources import io
 
 GROOVY = """import com.atlassian.jira.component.ComponentAccessor
@@ -326,3 +327,25 @@ def test_workflow_scripts_and_warnings(spark):
     rows = workflow.scripts(df).orderBy("script_index").collect()
     assert [(r.script, r.script_index, r.total_scripts, r.from_status, r.to_status) for r in rows] == [("a < b", 0, 2, "Open", "Done"), ("c < d", 1, 2, "Open", "Done")]
     assert {(r.workflow_id, r.warning) for r in workflow.warnings(df).collect()} == {(1, "unknown-type"), (1, "external-file"), (2, "no-actions"), (3, "no-scripts")}
+
+
+def test_xml_entities(spark):
+    rows = ["a &amp;lt; b", "&#65;&#8364;&#65;", "&lt;x&gt; &quot;&apos;", "&#65601;", "plain", ""]
+    got = [r.d for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").orderBy("k").select(workflow.decoded(F.col("t")).alias("d")).collect()]
+    assert got == ["a < b", "A€A", "<x> \"'", "A", "plain", ""]
+    groovy = "com.onresolve.jira.groovy.GroovyFunctionPlugin"
+    xml = f'<workflow name="w"><action name="a"><function type="{groovy}"><arg name="script">\n <![CDATA[  x &lt; &#66;  ]]> </arg></function></action></workflow>'
+    assert workflow.scripts(spark.createDataFrame([(1, xml)], "workflow_id long, xml string")).first().script == "x < B"
+
+
+def test_every_class_has_an_alternative_and_every_rule_shows_something():
+    assert {c for _, c, _ in packs.DEPRECATED} == set(packs.ALTERNATIVES)
+    assert {c for c, *_ in packs.READINESS} == set(packs.EVIDENCE)
+
+
+def test_evidence(spark):
+    script = "def f = new File('a')\ndef g = new FileWriter('b')\ndef u = userManager.getUserByName('bob')\nUnirest.get('/rest/api/2/issue/A')\nUnirest.get('/rest/api/2/user/B')\nx = 'customfield_10001' + 'customfield_10001'"
+    rows = readiness.issues(readiness.profile(spark.createDataFrame([(1, "a.txt", script)], "script_id long, filename string, content string"), evidence=True)).collect()
+    got = {r.code: (r.first_line, r.affected) for r in rows}
+    assert got["CR-001"] == (1, "java.io.File, java.io.FileWriter") and got["CR-010"] == (3, "bob, bob")
+    assert got["CR-012"] == (6, "customfield_10001") and got["CR-015"] == (4, "/rest/api/2/issue/A, /rest/api/2/user/B")
