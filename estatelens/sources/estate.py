@@ -9,6 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("orders", "events", "customer", "part", "pages", "embeddings", "documents", "benchmark")
 
+#: Texts of which a script has one (lines are parted by a bar), so that every rule has scripts that meet it.
+SNIPPETS = [
+    "ComponentAccessor.getIssueManager()", "def m = IssueManager", "UserManager um", "GroupManager gm", "CustomFieldManager fm", "WorkflowManager wm", "ProjectManager pm",
+    "new FileWriter(\"out\")", "Files.write(path)", "EntityCondition c", "ofBizDelegator.find()", "x.getUsername()", "userKey = \"jdoe\"", "get(\"/rest/api/2/user?username=x\")",
+    "getFieldById(\"x\").setHidden(true)", "f.setRequired(true)|f.setReadOnly(true)", "f.setError(\"no\")|f.setAllowedValues(v)", "MutableIssue i|issueManager.createIssueObject(m)",
+    "VelocityTemplatingEngine e|velocity.getTemplate(\"a\")", "lfHide(\"customfield_10010\")", "ldap(\"x\")|ldapSearch(\"cn\")", "readFromTextFile(\"a\")|writeToTextFile(\"b\")", "readFromFile(\"c\")|sql(\"select 1\")",
+    "GroupUtils.getGroupByName(\"a\")", "getGroupByName(\"b\")", "inGroup(\"c\")", "getUsersFromGroup(\"d\")", "isUserInGroup(u, \"e\")", "getUser(\"f\")", "runAs(\"g\")", "assignee = \"h.i\"",
+    "Unirest.put(\"https://a.example.com/$id\")", "Unirest.delete(\"https://b.example.com\")", "HttpRequest.newBuilder().uri(URI.create(\"https://c.example.com\"))", "new URL(\"https://d.example.com\")", "httpGet(\"https://e.example.com\")", "httpPost(\"https://f.example.com\")",
+    "get(\"/rest/api/3/search?jql\")", "get(\"/rest/agile/1.0/board\")", "get(\"/rest/servicedeskapi/request\")|get(\"/rest/api/3/user/picker\")",
+    "class A extends AbstractWorkflowCondition {{|passesCondition", "class L extends AbstractIssueEventListener {{|IssueEvent e|event.getIssue()", "class J extends AbstractJqlFunction {{|getFunctionName()", "log.info(x)|println x|console", "ScheduledService s|cron|JobDetail d",
+    "@GET|@POST|CORSRequestBuilder b", "WebPanel p|VelocityParamFactory f|#set ($x)", "WebResourceManager w|requireResource", "ActionDescriptor a|StepDescriptor b|JiraWorkflow c", "<atlassian-plugin>|<rest>|connectDescriptor", "inline my script",
+    "getFieldValue(\"a\")|setFieldValue(\"b\")|FieldFunction f", "// Scripted Field|// Calculated Field|return x;// field value|/* scripted field */", "// Mail Handler|getEmailSubject()|getEmailBody()", "RESTEndpoint|getRestParam()|getRequestBody()", "JQLAlias|registerJQL()", "BehavioursService b|// Behaviour",
+    "WebItemModuleDescriptor d|FragmentCondition f", "EscalationService e|searchService.searchOverrideSecurity|// Escalation", "onIssueCreated|issue.comment|addLabel", "onIssueUpdated|issue.priority", "workflowAction|addWatcher", "onCommentAdded|sendEmail",
+    "onSprintStarted|assignIssue", "onClick userTriggered|createSubtask", "onIssueCreated|PluginAccessor p|addComment", "onIssueCreated", "getCustomFieldValue(cf)", "updateValue(x)", "in JQL", "Files.write(a)|EntityCondition b|onIssueUpdated|x.setValue(1)",
+    "WorkflowManager a|ProjectManager b|onIssueUpdated", "IssueManager a|UserManager b|GroupManager c|CustomFieldManager d|WorkflowManager e|ProjectManager f|x.getUsername()", "include \"lib/util.sil\"", "require(\"script_4.groovy\")", "EscalationService e|escalationService f|get(\"/rest/api/3/search\")",
+    "LONG", "JqlQueryBuilder q|onIssueUpdated", "transitionIssue(i)", "Unirest.get(\"https://g.example.com\")", "issue.setField(a)",
+]
+#: Lines that make the script of LONG longer than what counts as long.
+LONG = "repeat(concat('x = x + 1', chr(10)), 160)"
+
+
+def _snippets() -> str:
+    told = [LONG if t == "LONG" else "'" + t.replace("|", "' || chr(10) || '") + "'" for t in SNIPPETS]
+    return "CASE CAST(floor(o_orderkey / 4.0) AS BIGINT) % " + str(len(told)) + " " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(told)) + " END"
+
+
 SCRIPTS = """
 SELECT o_orderkey AS script_id,
   concat('script_', CAST(o_orderkey AS {S}),
@@ -26,7 +52,8 @@ SELECT o_orderkey AS script_id,
    CASE WHEN o_orderkey % 17 = 0 THEN 'Unirest.post("https://hooks.example.com/x")' END,
    CASE WHEN o_orderkey % 19 = 0 THEN concat('require("lib/helper', CAST(o_custkey % 30 AS {S}), '.groovy")') END,
    CASE WHEN o_orderkey % 23 = 0 THEN 'Foo.metaClass.bar = 1' END,
-   CASE WHEN o_orderkey % 4 = 2 THEN 'return false;' ELSE 'issue.store()' END) AS content
+   """ + _snippets() + """,
+   CASE WHEN o_orderkey % 4 = 2 THEN 'return false;' WHEN o_orderkey % 5 <> 1 THEN 'issue.store()' END) AS content
 FROM orders"""
 UPLOADS = """
 SELECT script_id,
@@ -39,7 +66,9 @@ SELECT o_orderkey AS job_id, 'src/index.ts' AS filename, concat_ws(chr(10),
  CASE WHEN o_orderkey % 2 = 0 THEN concat('const u = ATLAS_ACCOUNT_ID("user', CAST(o_custkey % 50 AS {S}), '");') END,
  CASE WHEN o_orderkey % 3 = 0 THEN 'const n = user.getUsername();' END,
  CASE WHEN o_orderkey % 5 = 0 THEN 'await requestJira("/rest/api/2/issue/X");' END,
- CASE WHEN o_orderkey % 7 = 0 THEN 'while (true) {{ step(); }}' END) AS content
+ CASE WHEN o_orderkey % 7 = 0 THEN 'while (true) {{ step(); }}' END,
+ CASE o_orderkey % 23 WHEN 1 THEN 'ComponentAccessor' WHEN 2 THEN 'IssueManager' WHEN 3 THEN 'UserManager' WHEN 4 THEN 'GroupManager' WHEN 5 THEN 'new File("x")' WHEN 6 THEN 'ofBizDelegator'
+  WHEN 7 THEN 'getUserByName("a")' WHEN 8 THEN 'userKey = "b"' WHEN 9 THEN 'fetch("https://x.example.com")' WHEN 10 THEN 'maxResults = 5000' END) AS content
 FROM orders
 UNION ALL
 SELECT o_orderkey, 'manifest.yml', concat_ws(chr(10), 'app:', CASE WHEN o_orderkey % 4 <> 0 THEN 'permissions:' END, 'modules:')

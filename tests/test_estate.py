@@ -349,3 +349,22 @@ def test_evidence(spark):
     got = {r.code: (r.first_line, r.affected) for r in rows}
     assert got["CR-001"] == (1, "java.io.File, java.io.FileWriter") and got["CR-010"] == (3, "bob, bob")
     assert got["CR-012"] == (6, "customfield_10001") and got["CR-015"] == (4, "/rest/api/2/issue/A, /rest/api/2/user/B")
+
+
+def test_every_rule_is_met_by_the_derived_estate(spark):
+    from estatelens.sources.estate import table
+
+    d = "/root/testdata/sf0.01"
+    scripts = table(spark, d, "scripts")
+    rows = readiness.profile(scripts, evidence=True)
+    rows.write.mode("overwrite").format("noop").save()  # the whole of it can be worked out
+    values = lambda df, *c: {tuple(r) if len(c) > 1 else r[0] for r in df.select(*c).distinct().collect()}
+    assert {c for c, *_ in packs.READINESS} <= values(readiness.issues(rows), "code")
+    assert set(packs.MODULES) <= values(rows, "module") and set(packs.TRIGGERS) <= values(rows, "trigger")
+    assert {(f, k) for f, rules in packs.FAMILIES.items() for k in range(1, len(rules) + 1)} == values(findings.findings(scripts), "family", "rule_ord")
+    assert len(values(readiness.suitability(rows), "rationale")) == 7
+    labels = {label for _, label, _ in packs.MAPPABLE} | {label for _, label in packs.UNMAPPABLE}
+    assert labels == values(classify.automation_operations(scripts), "label")
+    assert {t for _, t in packs.TARGETS} <= values(readiness.verdicts(scripts), "target")
+    assert {c for c, *_ in packs.LINT} == values(lint.lint(table(spark, d, "generated_files")), "code")
+    assert findings.script_edges(findings.findings(scripts, ["script_dep"]), scripts).where("target_script_id IS NOT NULL").count() > 0
