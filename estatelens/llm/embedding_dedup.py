@@ -22,6 +22,10 @@ from .common import materialize
 from .components import connected_components, spanning_edges
 
 BLOCK = 1024
+#: Pairs of a tile that are recomputed at a time.
+PAIRS_AT_ONCE = 1 << 16
+#: Bytes of the vectors, as doubles, of a group; a task holds two groups.
+GROUP_BYTES = 8 << 20
 
 
 def usable(column: str) -> F.Column:
@@ -32,12 +36,11 @@ def usable(column: str) -> F.Column:
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (whole numbers from -127 to 127 as floats), scales, bounds on what coding lost."""
+    """Int8 codes (whole numbers from -127 to 127), scales, bounds on what coding lost."""
     scale = np.abs(unit).max(axis=1) / 127.0
     codes = np.rint(unit / scale[:, None])
     lost = np.linalg.norm(unit - codes * scale[:, None], axis=1)
-    exact_as = np.float32 if unit.shape[1] * 127 * 127 <= 2**24 else np.float64  # sums stay exact
-    return codes.astype(exact_as), scale, lost * (1 + 1e-9) + 1e-12
+    return codes.astype(np.int8), scale, lost * (1 + 1e-9) + 1e-12
 
 
 def unit_rows(rows: np.ndarray) -> np.ndarray:
@@ -48,20 +51,22 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
 
 def links_of_blocks(x: tuple, y: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i in x, j in y) whose cosine reaches the threshold. x, y: unit, codes, scale, lost."""
-    product = x[1] @ y[1].T
+    # a tile's codes are widened for the library's matrix product, to a kind in which its sums stay exact
+    wide = np.float32 if x[1].shape[1] * 127 * 127 <= 2**24 else np.float64
+    product = x[1].astype(wide) @ y[1].astype(wide).T
     slack = x[3].max() * (1 + y[3].max()) + y[3].max() + 1e-9
     least = (threshold - slack) / (x[2].max() * y[2].max()) if threshold > slack else -np.inf
     maybe = product >= least
-    hits = np.count_nonzero(maybe)
-    if not hits:
+    if not maybe.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    if hits > maybe.size // 16:
-        return np.nonzero(x[0] @ y[0].T >= threshold)
     i, j = np.nonzero(maybe)
     bound = x[3][i] * (1 + y[3][j]) + y[3][j] + 1e-9
     close = product[i, j] * x[2][i] * y[2][j] + bound >= threshold
     i, j = i[close], j[close]
-    same = np.einsum("nd,nd->n", x[0][i], y[0][j]) >= threshold
+    # one exact comparison for every pair, however many a tile has
+    slices = range(0, i.size, PAIRS_AT_ONCE)
+    same = [np.einsum("nd,nd->n", x[0][i[k : k + PAIRS_AT_ONCE]], y[0][j[k : k + PAIRS_AT_ONCE]]) >= threshold for k in slices]
+    same = np.concatenate([np.empty(0, bool), *same])
     return i[same], j[same]
 
 
@@ -96,7 +101,7 @@ def cell_links(ids: np.ndarray, copies: np.ndarray, rows: np.ndarray, group: np.
     return ids[linked], counts[linked].astype(np.int64), edges
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, group_rows: int = 16384) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Add n_links, component_id and kept to each row of ``vectors`` (vec_id, embedding, ...).
 
     Two rows link when the cosine of their embeddings, in double precision, is at least
@@ -113,7 +118,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, group_rows: int
     widths = classes.groupBy(F.size("embedding").alias("width")).count().collect()  # a row per width of vector
     parts = []
     for width, n in widths:
-        groups = max(4, -(-n // group_rows))
+        groups = max(4, -(-n * width * 8 // group_bytes))
         own = F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("int")
         dealt = classes.where(F.size("embedding") == width).withColumn("grp", own)
         other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("other")

@@ -26,8 +26,12 @@ from .labels import MOST_ROWS, training_rows
 WIDTH = 1 << 17
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 SMOOTHING = 1.0
-COST = 0.1
-EPOCHS = 12
+#: Cost of a text's hinge loss against half the squared weights, before classes are balanced.
+COST = 1.0
+#: Rounds of the descent, at most, and the share of the primal value by which it may still be off.
+EPOCHS, GAP = 60, 0.01
+#: Bytes of text that the one task which fits may hold, about; documents with the smallest hashes are taken.
+MOST_BYTES = 64 << 20
 #: Share of the weights kept as fitted; the rest is their mean size in their direction.
 INTERPOLATION = 0.5
 #: Every so many training rows one is kept for the logistic curve.
@@ -74,14 +78,18 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> tuple[np.ndarray, float]:
-    """Weights and bias of the hinge-loss model over unit-length scaled indicators."""
+def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, epochs: int = EPOCHS, cost: float = COST, gap: float = GAP) -> tuple[np.ndarray, float]:
+    """Weights and bias of the hinge-loss model over unit-length scaled indicators.
+
+    The bias is one more feature of every text. Both classes weigh the same in all. The descent
+    ends when primal and dual value are within ``gap`` of the primal one, or after ``epochs``.
+    """
     rng = np.random.default_rng(7)
     y = labels * 2.0 - 1.0
     values = [ratio[r] / (np.linalg.norm(ratio[r]) or 1.0) for r in rows]
     square = np.array([float(v @ v) for v in values]) + 1.0
     balance = cost * labels.size / 2 / np.maximum(1, np.array([(labels == 0).sum(), (labels == 1).sum()]))
-    most = balance[labels.astype(int)] * 10
+    most = balance[labels.astype(int)]
     w, b, alpha = np.zeros(WIDTH), 0.0, np.zeros(labels.size)
     for _ in range(epochs):
         for i in rng.permutation(labels.size):
@@ -93,6 +101,11 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray,
                 w[own] += step * v
                 b += step
                 alpha[i] = new
+        margins = np.array([w[own] @ v for own, v in zip(rows, values, strict=True)]) + b
+        half = (w @ w + b * b) / 2
+        primal = half + float(most @ np.maximum(0.0, 1.0 - y * margins))
+        if primal - (alpha.sum() - half) <= gap * primal:
+            break
     return w, b
 
 
@@ -162,8 +175,17 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, in_training: Column, most: int = MOST_ROWS) -> Model:
-    """Fit on about ``most`` labelled rows of each class, the bound of what the one task holds."""
+    """Fit on about ``most`` labelled rows of each class and ``MOST_BYTES`` of text, the bounds of what the one task holds.
+
+    Null labels and ids are left out, a null text is an empty one; repeated rows count each, in the
+    order of their text's hash, so the result does not depend on how rows lie. Rows of one class
+    only, or none (an empty table included), give the same score to every text. Other columns are
+    not read.
+    """
     rows = training_rows(docs, labels, "quality", in_training, most).withColumn("place", F.xxhash64("text", "label"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:  # an even share of the sample
+        rows = rows.where(F.pmod(F.xxhash64("place", F.lit("bytes")), F.lit(1 << 20)) < int(MOST_BYTES / size * (1 << 20)))
     r = rows.repartition(1).mapInArrow(_fit_task, "ratio binary, weights binary, rest binary").first()
     if r is None:  # no labelled row at all
         return fit([], np.empty(0, np.int64))
@@ -172,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, most: int = M
 
 
 def scores(model: Model):
-    """A column function: the score of a text, null as empty."""
+    """A column function: the score of a text, read whole, null as empty. Repeated rows score alike; an empty table gives no rows."""
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

@@ -109,6 +109,15 @@ def test_embedding_links(spark):
     assert got == vectors_by_hand(rows)
 
 
+def test_embedding_names_may_clash_and_dense_tiles_compare_alike(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=8)
+    rows = [(k, (centre + rng.normal(size=8) * 0.25).astype(np.float32).tolist(), 1, 2, 3, "x") for k in range(300)]  # most pairs near the threshold
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, copies long, rep long, grp int, component string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(docs, group_bytes=4000).collect()}
+    assert got == vectors_by_hand([r[:2] for r in rows])
+
+
 def test_embedding_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, copies long")).count() == 0
 
@@ -119,7 +128,8 @@ def test_quantisation_bound_holds(seed):
     rng = np.random.default_rng(seed)
     unit = embedding_dedup.unit_rows(rng.normal(size=(20, 12)) * rng.choice([1e-20, 1, 1e20], size=(20, 1)))
     codes, scale, lost = embedding_dedup.quantised(unit)
-    coded = (codes @ codes.T) * scale[:, None] * scale[None, :]
+    assert codes.dtype == np.int8
+    coded = (codes.astype(np.float64) @ codes.T) * scale[:, None] * scale[None, :]
     bound = lost[:, None] * (1 + lost[None, :]) + lost[None, :]
     assert (np.abs(unit @ unit.T - coded) <= bound + 1e-12).all()
 
@@ -535,6 +545,39 @@ def test_dual_descent_separates():
     assert all((m > 0) == bool(k) for m, k in zip(margins, y, strict=True))
 
 
+def test_dual_descent_reaches_the_optimum_of_a_plain_solver():
+    """Projected gradient on the whole dual, in small steps, for overlapping classes."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, 6)) for _ in range(60)]
+    y = (rng.random(60) < 0.4).astype(int)
+    ratio = np.zeros(quality.WIDTH)
+    ratio[:30] = rng.normal(size=30)
+    x = np.array([np.append(np.where(np.isin(np.arange(30), r), ratio[:30], 0) / np.linalg.norm(ratio[r]), 1.0) for r in rows]) * (y * 2.0 - 1)[:, None]
+    most = (60 / 2 / np.bincount(y))[y]
+    alpha, kernel = np.zeros(60), x @ x.T
+    for _ in range(40_000):
+        alpha = np.clip(alpha + (1 - kernel @ alpha) / np.linalg.norm(kernel, 2), 0, most)
+    w, b = quality.dual_descent(rows, y, ratio, epochs=3000, cost=1.0, gap=1e-7)
+    best = alpha @ x
+    value = lambda v: v @ v / 2 + most @ np.maximum(0, 1 - x @ v)
+    assert value(np.append(w[:30], b)) <= value(best) * 1.001 and np.abs(np.append(w[:30], b) - best).max() < 0.02
+
+
+def test_quality_edges_and_held_out_labels(spark):
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame([(20 + k, k % 2, 0) for k in range(40)] * 2, "doc_id long, quality int, toxic int")
+    for d, y in ((docs, labels), (docs, labels.where("quality = 1")), (odd_documents(spark, empty=True), labels)):
+        model = quality.train(d, y, remainder(4) != 2)
+        rows = docs.select("doc_id", quality.scores(model)("text").alias("score")).collect()
+        assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows) and len({r["score"] for r in rows if r["doc_id"] == 7}) == 1
+    from estatelens.llm.queries import QUERIES
+
+    for sf, least in (("sf0.01", 0.93), ("sf0.1", 0.97)):
+        given = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").where("quality IS NOT NULL").select("doc_id", "quality")
+        rows = QUERIES["op9_quality_classifier"](spark, f"/root/testdata/{sf}").where("held_out").join(given, "doc_id").collect()
+        assert np.mean([r["predicted"] == r["quality"] for r in rows]) >= least
+
+
 # --- 10
 
 

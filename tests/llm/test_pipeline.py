@@ -1,11 +1,14 @@
 """The pipeline and the registered queries over the smallest tables."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from estatelens.llm.common import read
+from estatelens.llm.common import materialize, read
 from estatelens.llm.queries import QUERIES
 
+from .test_operators import odd_documents
+
 
 def test_queries_are_registered_and_run(spark, sf):
     import __spark_entry__
@@ -29,3 +32,31 @@ def test_stages_in_turn(spark, sf):
     rows = docs.collect()
     assert len({r["doc_id"] for r in rows}) == seen[4]
     assert all(np.frombuffer(r["ids"], "<u4").size == r["length"] <= 4096 for r in rows)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_every_stage_takes_odd_and_empty_documents(spark, sf, empty):
+    docs = spark.createDataFrame(odd_documents(spark, empty=empty).collect(), odd_documents(spark).schema)
+    docs = materialize(docs, "docs")
+    n = docs.count()
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        assert k == 4 or out.schema.simpleString() == docs.schema.simpleString()
+        ids = [r["doc_id"] for r in out.collect()]
+        if empty:
+            assert not ids
+        elif k == 1:
+            assert None in ids and len(ids) < n and len(set(ids)) == len(ids)
+        elif k in (0, 2, 3):
+            assert len(ids) == n  # nothing toxic among them, and nothing lost
+        else:
+            assert set(ids) == {r["doc_id"] for r in docs.collect()} and len(ids) >= n
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = read(spark, sf, "documents")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    labels = read(spark, sf, "labels").join(docs.select("doc_id"), "doc_id").where("toxic IS NOT NULL").select("doc_id", "toxic").collect()
+    toxic, clean = ({r["doc_id"] for r in labels if r["toxic"] == y} for y in (1, 0))
+    assert len(toxic - kept) >= 0.9 * len(toxic) and len(clean & kept) >= 0.98 * len(clean)
