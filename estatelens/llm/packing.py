@@ -51,13 +51,16 @@ def fill(counts: np.ndarray) -> list[tuple[list[int], int]]:
             own += [n] * times
             take[n] -= times
             gap -= n * times
+        looked_at = left - take  # what the greedy part wants to find there
         if gap:  # a full bin has no gap to close
             least = own[-1]
             pair = _tightest_pair(take, least, gap + least)
             if pair:
                 own = [*own[:-1], *pair]
+                np.add.at(looked_at, pair, 1)
         lengths, need = np.unique(own, return_counts=True)
-        times = int((left[lengths] // need).min())
+        # as long as a next bin finds all that this one looked at, the piece given back included
+        times = int(((left[lengths] - looked_at[lengths]) // need).min()) + 1
         left[lengths] -= need * times
         runs.append((sorted(own, reverse=True), times))
 

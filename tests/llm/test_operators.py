@@ -398,6 +398,34 @@ def test_fill_packs_every_piece_once(lengths):
     assert sequences <= -(-sum(lengths) // 50) * 1.25 + 1
 
 
+def packed_by_hand(lengths, capacity):
+    """One bin after the other, a piece at a time: the longest that fits; then the smallest gives way to the tightest two."""
+    left, out = sorted(lengths), []
+    while left:
+        own, gap = [], capacity
+        while fitting := [n for n in left if n <= gap]:
+            own.append(fitting[-1])
+            left.remove(fitting[-1])
+            gap -= fitting[-1]
+        pairs = [(-(a + b), a, b) for i, a in enumerate(left) for b in left[:i] + left[i + 1 :] if own[-1] < a + b <= gap + own[-1]] if gap else []
+        if pairs:
+            _, a, b = min(pairs)
+            left.remove(a)
+            left.remove(b)
+            left = sorted([*left, own.pop()])
+            own += [a, b]
+        out.append(tuple(sorted(own, reverse=True)))
+    return out
+
+
+@given(st.lists(st.integers(1, 24), max_size=60), st.integers(0, 30))
+@settings(max_examples=400, deadline=None)
+def test_fill_is_the_sequential_rule(lengths, more):
+    lengths = lengths + lengths[:3] * more
+    runs = packing.fill(np.bincount(np.array(lengths, np.int64), minlength=25))
+    assert [tuple(own) for own, times in runs for _ in range(times)] == packed_by_hand(lengths, 24)
+
+
 def test_best_two_fit_replaces_the_smallest():
     counts = np.zeros(11, np.int64)
     counts[[6, 3, 2]] = [1, 1, 2]  # greedy leaves 6 + 3 with a gap of 1; 2 + 2 closes it
