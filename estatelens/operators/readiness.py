@@ -84,8 +84,8 @@ def _shown(rule: str | tuple) -> list[Column]:
 
 
 def issues(profiles: DataFrame) -> DataFrame:
-    """(script_id, code, level, category, needs_mapping, first_line, affected) of profiles with evidence."""
-    return profiles.select("script_id", F.explode(issue_list(evidence=True)).alias("i")).select("script_id", "i.*")
+    """(script_id, code, level, category, needs_mapping), and first_line and affected where the profiles have evidence."""
+    return profiles.select("script_id", F.explode(issue_list("evidence" in profiles.columns)).alias("i")).select("script_id", "i.*")
 
 
 def confidences(profiles: DataFrame, coverage: float = 0.3) -> DataFrame:
