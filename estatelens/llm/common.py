@@ -46,10 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared folder; the folder of the new table."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def parallelism(spark: SparkSession) -> int:

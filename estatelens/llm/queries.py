@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, kd_sharding, mixing, packing, quality, secret_scan, simhash_dedup, token_store, toxicity, winnowing
+from . import embedding_dedup, html_extract, kd_sharding, lexical, mixing, orchard, packing, quality, secret_scan, simhash_dedup, token_store, toxicity, winnowing
 from .common import materialize, read
 from .labels import remainder
 
@@ -65,12 +65,25 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edits(read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10)
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_kd_sharding, op3_simhash_near_dedup, op4_secret_scan, op5_toxicity,
         op6_token_files, op7_best_fit_packing, op8_source_mixing, op9_quality_classifier, op10_document_fingerprints,
+        op11_centroid_clustering, op12_html_extraction, op13_ranked_lexical_search,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_centroid_clustering": orchard.sql(), "op13_ranked_lexical_search": lexical.sql()}
