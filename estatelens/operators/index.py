@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fingerprint, page_text, page_title, token_estimate, trimmed
+from ..sources.tables import kept as kept_table
+from .chunker import cut_documents
 
 
 def page_table(snapshot: DataFrame) -> DataFrame:
@@ -57,9 +59,12 @@ def chunk_documents(docs: DataFrame, max_tokens: int = 500, overlap: int = 50, s
     return cut.select("url", F.posexplode(lapped).alias("chunk_index", "content"))
 
 
-def chunk_table(docs: DataFrame, max_tokens: int = 500, overlap: int = 50, sep: str = "\n\n") -> DataFrame:
-    """Chunks with ids, hashes, token estimates and the number of chunks of their document."""
-    c = chunk_documents(docs, max_tokens, overlap, sep)
+def chunk_table(docs: DataFrame, max_tokens: int = 500, overlap: int = 50, sep: str = "\n\n", cutter: Callable = chunk_documents) -> DataFrame:
+    """Chunks with ids, hashes, token estimates and the number of chunks of their document.
+
+    ``cutter`` is ``chunk_documents``, in columns, or ``chunker.cut_documents``, linear in the length of a text.
+    """
+    c = cutter(docs, max_tokens, overlap, sep)
     key = F.concat("url", F.lit("::"), F.col("chunk_index").cast("string"))
     return c.select(
         F.substring(F.sha2(key, 256), 1, 32).alias("chunk_id"), "url", "chunk_index", F.count(F.lit(1)).over(Window.partitionBy("url")).alias("total_chunks"),
@@ -91,9 +96,13 @@ def without_stale(chunks: DataFrame, as_of: str, days: int = 60) -> DataFrame:
     return chunks.where(F.col("crawled_at") >= F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(days)))
 
 
-def orphans(chunks: DataFrame, updates: DataFrame) -> DataFrame:
-    """Chunks of re-read documents that the new cut no longer has."""
-    touched = chunks.join(updates.select("url").distinct(), "url", "left_semi")
+def orphans(chunks: DataFrame, updates: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """Chunks of re-read documents that the new cut no longer has.
+
+    ``read`` names the urls of the re-read documents; one that has become empty has no row in the
+    cut, so without it such a document counts as not read.
+    """
+    touched = chunks.join((updates if read is None else read).select("url").distinct(), "url", "left_semi")
     return touched.join(updates.select("chunk_id"), "chunk_id", "left_anti")
 
 
@@ -114,24 +123,31 @@ def embed(chunks: DataFrame, embed_fn: Callable, batch: str = "content") -> Data
     return chunks.where("embedding IS NOT NULL").unionByName(todo)
 
 
-def refresh(current: DataFrame, stored_pages: DataFrame, snapshot: DataFrame, as_of: str, embed_fn: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def refresh(current: DataFrame, stored_pages: DataFrame, snapshot: DataFrame, as_of: str, embed_fn: Callable | None = None, max_tokens: int = 500, overlap: int = 50) -> tuple[DataFrame, DataFrame]:
     """(new version of the chunks, report): changed pages are cut and merged, orphans and stale rows go.
 
-    Unchanged pages get the new crawl time, so what is live never expires.
+    Unchanged pages get the new crawl time, so what is live never expires. A page that has become
+    empty loses its chunks. The cut is written once, in the shared folder, for all that need it.
     """
     fresh = latest_per_url(page_table(snapshot))
     marked = changed_pages(fresh, stored_pages)
-    cut = chunk_table(marked.where("action = 'process'")).join(fresh.select("url", "crawled_at"), "url").withColumn("embedding", F.lit(None).cast("array<float>"))
-    gone = orphans(current, cut).select("chunk_id")
+    process = marked.where("action = 'process'")
+    cut = chunk_table(process, max_tokens, overlap, cutter=cut_documents).join(fresh.select("url", "crawled_at"), "url")
+    cut = kept_table(cut, "cut").withColumn("embedding", F.lit(None).cast("array<float>"))
+    gone = orphans(current, cut, process).select("chunk_id")
     seen = marked.where("action = 'skip'").select("url", F.col("crawled_at").alias("seen_at"))
     kept = current.join(gone, "chunk_id", "left_anti").join(seen, "url", "left").withColumn("crawled_at", F.coalesce("seen_at", "crawled_at")).drop("seen_at")
     merged = without_stale(merge_chunks(kept, cut), as_of)
-    report = run_report(snapshot, marked, cut)
+    report = run_report(snapshot, marked, cut, merged, embed_fn is not None)
     return (embed(merged, embed_fn) if embed_fn else merged), report
 
 
-def run_report(snapshot: DataFrame, marked: DataFrame, cut: DataFrame) -> DataFrame:
-    """One row: pages attempted, succeeded, failed, skipped; chunks created."""
-    pages = snapshot.agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("status").between(200, 299)).alias("succeeded"), F.count_if(~F.col("status").between(200, 299)).alias("failed"))
+def run_report(snapshot: DataFrame, marked: DataFrame, cut: DataFrame, merged: DataFrame, embeds: bool = True) -> DataFrame:
+    """One row of true counts: pages attempted, succeeded, failed and skipped; chunks created, skipped (live ones of
+    unchanged pages) and embedded (live ones that get a vector in this run)."""
+    served = F.col("status").between(200, 299)
+    pages = snapshot.agg(F.count(F.lit(1)).alias("attempted"), F.count_if(served).alias("succeeded"), (F.count(F.lit(1)) - F.count_if(served)).alias("failed"))
     skipped = marked.agg(F.count_if(F.col("action") == "skip").alias("skipped"))
-    return pages.join(skipped).join(cut.agg(F.count(F.lit(1)).alias("chunks_created")))  # three one-row sides
+    live = merged.join(marked.where("action = 'skip'").select("url", F.lit(True).alias("same")), "url", "left")
+    told = live.agg(F.count_if(F.coalesce("same", F.lit(False))).alias("chunks_skipped"), F.count_if(F.col("embedding").isNull() & F.lit(embeds)).alias("chunks_embedded"))
+    return pages.join(skipped).join(cut.agg(F.count(F.lit(1)).alias("chunks_created"))).join(told)  # four one-row sides

@@ -10,14 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bytes of query vectors that one block holds; a task meets a block at a time.
-BLOCK_BYTES = 2 << 20
-#: Rows on which the cells of ``ann_topk`` are fitted, about, at most.
-FIT_ROWS = 100_000
-#: Bytes of document vectors that a task holds, about.
+from ..sources.tables import kept as kept_table
+from .vector_index import VectorIndex
+
+#: Bytes of vectors that a task holds of each side, about.
 GROUP_BYTES = 32 << 20
+#: Cells that documents are dealt to, at most; each has one of their own vectors as pivot.
+MOST_CELLS = 64
+#: Widths of vectors that have pivots; those of rarer widths form a cell each.
+MOST_WIDTHS = 16
 #: Similarities that a task works out at a time.
 PAIRS_AT_ONCE = 1 << 20
+#: By so much a rounded similarity or an angle may be off, at most.
+SLACK = 2e-6
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -30,53 +35,158 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 4, threshold: float = 0.7, by_category: bool = False) -> DataFrame:
-    """(query_id, doc_id, similarity, rank) of (query_id, vector) against (doc_id, vector, category).
+def cosine_topk(queries: DataFrame, docs: DataFrame, k: int = 4, threshold: float = 0.7, by_category: bool = False, group_bytes: int = GROUP_BYTES, visited: list[DataFrame] | None = None) -> DataFrame:
+    """(query_id, doc_id, similarity, rank) of (query_id, vector) against (doc_id, vector, category): exact.
+
+    Documents go to the cell of the pivot with which they form the smallest angle; a pivot is a
+    document's own vector. No document of a cell is nearer to a query than the query's angle to
+    the pivot less the cell's largest angle. Round one compares each query with the cell of the
+    highest such bound only, which gives a lower bound of its k-th similarity; round two visits the
+    cells whose bound reaches it, and skips the others. Documents that fit one group form one cell.
 
-    Queries form blocks of ``BLOCK_BYTES`` by hash, documents groups of ``GROUP_BYTES``;
-    a block meets every group as one task's work (``applyInArrow`` on the pair), which multiplies
-    matrices a slice at a time and keeps the block's own best k a query and category. What is
-    shuffled besides is k rows a query and group. Vectors must be of one width; null ones are left out.
+    Queries meet documents of their width (and category, if that is not null) only; vectors that are null, empty or hold
+    null or non-finite components are left out, a zero vector has the similarity 0 to all. Equal
+    similarities, rounded to six places, are ranked by doc_id. A cell larger than ``group_bytes`` is cut
+    into slices by hash, and so many queries. ``visited`` receives (query_id, cell) of both rounds.
     """
     spark = docs.sparkSession
     kept = ["category"] if by_category else []
-    vectors = lambda d, name: d.where("vector IS NOT NULL").select(F.col(name).alias("id"), F.col("vector").cast("array<double>").alias("vector"), *kept)
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    vectors = lambda d, name: d.where((F.size("vector") > 0) & finite).select(F.col(name).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("width"), *kept)
     asked, given = vectors(queries, "query_id"), vectors(docs, "doc_id")
-    sizes = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    width = 8 * (sizes[1] or 1)
-    blocks = max(1, -(-(sizes[0] * width) // BLOCK_BYTES))
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(given.count() * width) // GROUP_BYTES))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(own(blocks).alias("block"), every(groups).alias("grp"), "id", "vector", *kept)
-    right = given.select(every(blocks).alias("block"), own(groups).alias("grp"), "id", "vector", *kept)
-    hits = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInArrow(_partial(k, threshold, by_category), "query_id long, doc_id long, similarity double")
-    return _best(hits, k)
-
-
-def _matrix(table: pa.Table) -> np.ndarray:
-    column = table.column("vector").combine_chunks()
-    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    if by_category:
+        asked, given = asked.where("category IS NOT NULL"), given.where("category IS NOT NULL")
+    sizes = {r["width"]: r["n"] for r in given.groupBy("width").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "width").limit(MOST_WIDTHS).collect()}
+    bytes_ = sum(w * 8 * n for w, n in sizes.items())
+    cells = min(MOST_CELLS, -(-bytes_ // group_bytes))
+    groups = max(1, -(-bytes_ // (group_bytes * max(1, cells))))
+    blocks = max(1, -(-asked.count() * 8 * max(sizes, default=1) // group_bytes)) if cells > 1 else 1
+    slice_of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+    keys = ["width", *kept, "cell", "part", "block"]
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        """The best of each pair of groups; what is shuffled besides the vectors is k rows a query and group."""
+        left = left.withColumn("part", every(groups)).withColumn("block", slice_of(blocks))
+        right = right.withColumn("part", slice_of(groups)).withColumn("block", every(blocks))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_partial(k, threshold), "query_id long, doc_id long, similarity double")
+
+    if cells <= 1:
+        if visited is not None:
+            visited.append(asked.select(F.col("id").alias("query_id"), F.lit(0).alias("cell")))
+        return _best(meet(asked.withColumn("cell", F.lit(0)), given.withColumn("cell", F.lit(0))), k)
+    pivots = _pivots(given.where(F.col("width").isin(*sizes)), cells)
+    own = [f"{c} {t}" for c, t in given.dtypes]
+    placed = kept_table(given.mapInArrow(_placed(pivots), ", ".join([*own, "cell int", "angle double"])), "cells")
+    spread = {(r["width"], r["cell"]): (r["n"], r["angle"]) for r in placed.where(F.col("width").isin(*sizes)).groupBy("width", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle")).collect()}
+    placed = placed.drop("angle")
+    told = ", ".join([*own, "cell int"])
+    opening = kept_table(asked.withColumn("least", F.lit(None).cast("double")).mapInArrow(_visits(pivots, spread, True, threshold), told), "opening")
+    first = kept_table(_best(meet(opening, placed), k).drop("rank"), "first")
+    least = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("least"))
+    rest = asked.join(least, "id", "left").select(*asked.columns, "least").mapInArrow(_visits(pivots, spread, False, threshold), told)
+    if visited is not None:
+        visited += [d.select(F.col("id").alias("query_id"), "cell") for d in (opening, rest)]
+    return _best(first.unionByName(meet(rest, placed)), k)
+
+
+def _pivots(given: DataFrame, cells: int) -> dict[int, np.ndarray]:
+    """For each width up to ``cells`` different vectors, chosen by a hash, as unit rows."""
+    turn = Window.partitionBy("width").orderBy("h")
+    chosen = given.groupBy("width", F.xxhash64("vector").alias("h")).agg(F.first("vector").alias("vector")).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= cells)
+    out: dict[int, list] = {}
+    for r in chosen.orderBy("width", "turn").collect():
+        out.setdefault(r["width"], []).append(r["vector"])
+    return {w: _unit(np.array(rows)) for w, rows in out.items()}
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    top = np.maximum(np.abs(rows).max(axis=1, keepdims=True), 1e-300)
+    rows = rows / top  # no overflow in the squares
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def _partial(k: int, threshold: float, by_category: bool):
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    widths = batch.column("width").to_numpy()
+    for w in np.unique(widths).tolist():
+        rows = batch.take(pa.array(np.flatnonzero(widths == w)))
+        yield w, rows, _matrix(rows)
+
+
+def _placed(pivots: dict[int, np.ndarray]):
+    """Each document's cell and its angle to the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, rows, unit in _by_width(batch):
+                cell, angle = np.zeros(len(unit), np.int32), np.zeros(len(unit))
+                if w in pivots:
+                    near = unit @ pivots[w].T
+                    cell = near.argmax(axis=1).astype(np.int32)
+                    angle = np.arccos(np.clip(near[np.arange(len(unit)), cell], -1.0, 1.0))
+                    angle[~unit.any(axis=1)] = 0.0  # zero vectors form a cell of their own
+                    cell[~unit.any(axis=1)] = -1
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell), pa.array(angle)], [*rows.schema.names, "cell", "angle"])
+
+    return run
+
+
+def _visits(pivots: dict[int, np.ndarray], spread: dict[tuple[int, int], tuple[int, float]], opening: bool, threshold: float):
+    """The cells that each query visits: that of the highest bound, or all others whose bound reaches the query's least similarity."""
+    known: dict[int, list[int]] = {}
+    for w, c in sorted(spread):
+        if c >= 0:
+            known.setdefault(w, []).append(c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, rows, unit in _by_width(batch):
+                if w not in known:  # a rare width: one cell, seen in the opening
+                    found = [(np.arange(len(unit) if opening else 0), np.zeros(len(unit) if opening else 0, np.int32))]
+                else:
+                    cells = np.array(known[w], np.int32)
+                    radius = np.array([spread[w, c][1] for c in known[w]])
+                    angle = np.arccos(np.clip(unit @ pivots[w][cells].T, -1.0, 1.0))
+                    bound = np.where(unit.any(axis=1)[:, None], np.cos(np.maximum(0.0, angle - radius[None, :] - SLACK)), 0.0) + SLACK
+                    best = bound.argmax(axis=1)
+                    if opening:
+                        found = [(np.arange(len(unit)), cells[best])]
+                    else:
+                        least = np.nan_to_num(rows.column("least").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+                        wanted = bound >= np.maximum(least, threshold)[:, None]
+                        wanted[np.arange(len(unit)), best] = False
+                        row, col = np.nonzero(wanted)
+                        found = [(row, cells[col])]
+                        if (w, -1) in spread:  # similarity 0
+                            none = np.flatnonzero(np.maximum(least, threshold) <= 0.0)
+                            found.append((none, np.full(none.size, -1, np.int32)))
+                for row, cell in found:
+                    own = rows.drop_columns(["least"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cell, pa.int32())], [*own.schema.names, "cell"])
+
+    return run
+
+
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Unit rows of vectors of one width."""
+    column = table.column("vector")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
+
+
+def _partial(k: int, threshold: float):
     def run(asked: pa.Table, given: pa.Table) -> pa.Table:
         ids, found = [np.empty(0, np.int64)] * 2 + [np.empty(0)], []
         if asked.num_rows and given.num_rows:
             q, v = _matrix(asked), _matrix(given)
             names, docs = asked.column("id").to_numpy(), given.column("id").to_numpy()
             step = max(1, PAIRS_AT_ONCE // len(docs))
-            own = [np.array(t.column("category").to_pylist(), dtype=object) for t in (asked, given)] if by_category else None
             for at in range(0, len(names), step):
-                s = q[at : at + step] @ v.T
-                if by_category:
-                    s[own[0][at : at + step, None] != own[1][None, :]] = -2.0
-                s = np.round(s, 6)
+                s = np.round(q[at : at + step] @ v.T, 6)
                 most = min(k, s.shape[1])
                 # all rows at or above the k-th rounded value, as ties are settled by doc_id
                 kth = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
-                row, col = np.nonzero((s >= kth[:, None]) & (s >= threshold) & (s > -2.0))
+                row, col = np.nonzero((s >= kth[:, None]) & (s >= threshold))
                 order = np.lexsort((docs[col], -s[row, col], row))
                 row, col = row[order], col[order]
                 best = np.arange(row.size) - np.searchsorted(row, row) < k
@@ -88,28 +198,18 @@ def _partial(k: int, threshold: float, by_category: bool):
     return run
 
 
-def ann_topk(queries: DataFrame, docs: DataFrame, k: int = 4, lists: int = 16, probes: int = 12, threshold: float = -1.0) -> DataFrame:
-    """Approximate top-k over cells of k-means; a query looks into its ``probes`` nearest cells only.
+def ann_topk(queries: DataFrame, index: VectorIndex, k: int = 4, probes: int = 12, rerank: int = 32, threshold: float = -1.0) -> DataFrame:
+    """Approximate top-k by a stored index: (query_id, doc_id, similarity, rank) of (query_id, vector).
 
-    The cells are fitted on a bounded sample (``FIT_ROWS``); every row is indexed. Vectors that form
-    clusters need few probes; the default suits vectors without any structure. Cells are joined by
-    key, and Spark's skew join splits a hot one.
+    A query probes its ``probes`` nearest cells; of each it keeps the ``rerank * k`` best by the codes
+    (``VectorIndex.candidates``), and the best of all these are ranked by their true cosine. Vectors
+    that form clusters need few probes; the default suits vectors without any structure.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda d: d.withColumn("vector", F.col("vector").cast("array<double>")).withColumn("feature", array_to_vector(F.transform("vector", lambda x: x / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)))))
-    placed = unit(docs.where("vector IS NOT NULL"))
-    share = min(1.0, FIT_ROWS / max(1, placed.count()))
-    sample = placed.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    model = KMeans(k=lists, seed=1, maxIter=10, featuresCol="feature", predictionCol="cell").fit(sample)
-    centres = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("centre")) for i, c in enumerate(model.clusterCenters())])
-    near = F.slice(F.array_sort(F.transform(centres, lambda c: F.struct((-cosine(F.col("query"), c["centre"])).alias("d"), c["cell"].alias("cell")))), 1, probes)
-    asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("query"))
-    asked = asked.select("query_id", "query", F.explode(near).alias("n")).select("query_id", "query", "n.cell")
-    cells = model.transform(placed).select("doc_id", "vector", "cell")
-    hits = asked.join(cells, "cell").select("query_id", "doc_id", F.round(cosine(F.col("query"), F.col("vector")), 6).alias("similarity"))
-    return _best(hits.where(F.col("similarity") >= threshold), k)
+    near = index.candidates(queries, probes, rerank * k)
+    order = Window.partitionBy("query_id").orderBy(F.col("estimate").desc(), "doc_id")
+    near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rerank * k)
+    exact = index.with_vectors(near).select("query_id", "doc_id", F.round(cosine(F.col("query"), F.col("vector")), 6).alias("similarity"))
+    return _best(exact.where(F.col("similarity") >= threshold), k)
 
 
 def merged_ranking(hits: DataFrame, most: int = 10) -> DataFrame:

@@ -188,16 +188,47 @@ def pages(snapshot: str, name: str) -> str:
 
 def chunks() -> str:
     """Greedy packing of lines as a recursive query; ``chunked`` has url, chunk_index and content."""
-    return f"""src AS (SELECT CAST(doc_id AS VARCHAR) AS url, {trim('text')} AS text FROM documents WHERE {trim('text')} <> ''),
-paras AS (SELECT url, unnest(regexp_split_to_array(text, '\\n+')) AS p, generate_subscripts(regexp_split_to_array(text, '\\n+'), 1) AS k FROM src WHERE ceil(length(text) / 4.0) > {CHUNK_TOKENS}),
-walk AS (SELECT url, k, p AS cur, CAST(NULL AS VARCHAR) AS done, CAST(0 AS BIGINT) AS n FROM (SELECT url, k, p FROM paras WHERE k = 1)
- UNION ALL SELECT w.url, x.k, CASE WHEN ceil(length(w.cur || chr(10) || x.p) / 4.0) <= {CHUNK_TOKENS} THEN w.cur || chr(10) || x.p ELSE x.p END,
- CASE WHEN ceil(length(w.cur || chr(10) || x.p) / 4.0) <= {CHUNK_TOKENS} THEN NULL ELSE w.cur END, CASE WHEN ceil(length(w.cur || chr(10) || x.p) / 4.0) <= {CHUNK_TOKENS} THEN w.n ELSE w.n + 1 END
- FROM walk w JOIN paras x ON x.url = w.url AND x.k = w.k + 1),
-pieces AS (SELECT url, n - 1 AS i, {trim('done')} AS s FROM walk WHERE done IS NOT NULL UNION ALL SELECT url, n, {trim('cur')} FROM walk w WHERE k = (SELECT max(k) FROM paras x WHERE x.url = w.url)
- UNION ALL SELECT url, 0, text FROM src WHERE ceil(length(text) / 4.0) <= {CHUNK_TOKENS}),
-numbered AS (SELECT url, row_number() OVER (PARTITION BY url ORDER BY i) - 1 AS chunk_index, s, lag(s) OVER (PARTITION BY url ORDER BY i) AS prev FROM pieces),
-chunked AS (SELECT url, chunk_index, CASE WHEN prev IS NULL THEN s ELSE {trim(f"substr(prev, CAST(greatest(1, length(prev) - {4 * OVERLAP_TOKENS} + 1) AS INTEGER)) || chr(10) || chr(10) || s")} END AS content FROM numbered)"""
+    docs = f"docs AS (SELECT CAST(doc_id AS VARCHAR) AS url, text FROM documents)"
+    return f"{docs}, {cut_of('docs', 'chunked', CHUNK_TOKENS, OVERLAP_TOKENS, 1)}"
+
+
+def cut_of(source: str, name: str, most: int, overlap: int, feeds: int = 2) -> str:
+    """CTEs that cut (url, text) of ``source`` at headings and by paragraphs (parted by ``feeds`` line feeds or more); no text may hold a fence."""
+    sep, gap = " || ".join(["chr(10)"] * feeds), "\\n" * (feeds - 1) + "\\n+"
+    size = lambda c: f"ceil(length({c}) / 4.0)"
+    joined = f"w.cur || {sep} || x.p"
+    fits = f"{size(joined)} <= {most}"
+    n = name
+    return f"""{n}_split AS (SELECT url, string_split(regexp_replace(text, '\\n(#{{1,4}}\\s)', chr(1) || chr(10) || '\\1', 'g'), chr(1)) AS parts FROM {source}),
+{n}_src AS (SELECT url, part, {trim('s')} AS text FROM (SELECT url, unnest(parts) AS s, generate_subscripts(parts, 1) AS part FROM {n}_split) WHERE {trim('s')} <> ''),
+{n}_paras AS (SELECT url, part, unnest(regexp_split_to_array(text, '{gap}')) AS p, generate_subscripts(regexp_split_to_array(text, '{gap}'), 1) AS k FROM {n}_src WHERE {size('text')} > {most}),
+{n}_walk AS (SELECT url, part, k, p AS cur, CAST(NULL AS VARCHAR) AS done, CAST(0 AS BIGINT) AS n FROM (SELECT url, part, k, p FROM {n}_paras WHERE k = 1)
+ UNION ALL SELECT w.url, w.part, x.k, CASE WHEN {fits} THEN {joined} ELSE x.p END, CASE WHEN {fits} THEN NULL ELSE w.cur END, CASE WHEN {fits} THEN w.n ELSE w.n + 1 END
+ FROM {n}_walk w JOIN {n}_paras x ON x.url = w.url AND x.part = w.part AND x.k = w.k + 1),
+{n}_last AS (SELECT url, part, max(k) AS k FROM {n}_paras GROUP BY url, part),
+{n}_pieces AS (SELECT url, part, n - 1 AS i, {trim('done')} AS s FROM {n}_walk WHERE done IS NOT NULL UNION ALL SELECT url, part, n, {trim('cur')} FROM {n}_walk JOIN {n}_last USING (url, part, k)
+ UNION ALL SELECT url, part, 0, text FROM {n}_src WHERE {size('text')} <= {most}),
+{n}_numbered AS (SELECT url, row_number() OVER (PARTITION BY url ORDER BY part, i) - 1 AS chunk_index, s, lag(s) OVER (PARTITION BY url ORDER BY part, i) AS prev FROM {n}_pieces),
+{n} AS (SELECT url, chunk_index, CASE WHEN prev IS NULL THEN s ELSE {trim(f"substr(prev, CAST(greatest(1, length(prev) - {4 * overlap} + 1) AS INTEGER)) || chr(10) || chr(10) || s")} END AS content FROM {n}_numbered)"""
+
+
+CHUNK_ID = "substr(sha256(concat(url, '::', CAST(chunk_index AS VARCHAR))), 1, 32)"
+
+
+def snapshot_chunks(pages_cte: str, name: str) -> str:
+    """``name``: the chunks of a snapshot's pages as rows of the index; every second length has a vector."""
+    return f"""{cut_of(pages_cte, name + '_cut', CHUNK_TOKENS, OVERLAP_TOKENS)},
+{name} AS (SELECT {CHUNK_ID} AS chunk_id, url, chunk_index, content, sha256(content) AS content_hash, crawled_at, crawled_at AS created_at, CASE WHEN length(content) % 2 = 0 THEN length(content) END AS emb FROM {name}_cut JOIN {pages_cte} USING (url))"""
+
+
+def refreshed() -> str:
+    """CTEs that end in ``live``: a second snapshot over the chunks of the first."""
+    return f"""{pages('snapshot_1', 'p1')}, {pages('snapshot_2', 'p2')}, changed AS (SELECT p2.url, p2.crawled_at, p2.text FROM p2 LEFT JOIN p1 USING (url) WHERE p1.page_hash IS DISTINCT FROM p2.page_hash),
+same AS (SELECT p2.url, p2.crawled_at FROM p2 JOIN p1 USING (url) WHERE p1.page_hash = p2.page_hash), {snapshot_chunks('p1', 'c1')}, {snapshot_chunks('changed', 'c2')},
+moved AS (SELECT coalesce(n.chunk_id, o.chunk_id) AS chunk_id, coalesce(n.url, o.url) AS url, coalesce(n.chunk_index, o.chunk_index) AS chunk_index, coalesce(n.content, o.content) AS content, coalesce(n.content_hash, o.content_hash) AS content_hash,
+ coalesce(n.crawled_at, same.crawled_at, o.crawled_at) AS crawled_at, coalesce(o.created_at, n.crawled_at) AS created_at, o.content_hash IS DISTINCT FROM n.content_hash AND n.chunk_id IS NOT NULL AS embedded
+ FROM c1 o FULL JOIN c2 n USING (chunk_id) LEFT JOIN same ON same.url = o.url WHERE n.chunk_id IS NOT NULL OR o.url NOT IN (SELECT url FROM changed)),
+live AS (SELECT * FROM moved WHERE crawled_at >= TIMESTAMP '{AS_OF}' - INTERVAL 60 DAY)"""
 
 
 def topk(extra: str = "") -> str:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import classify, findings, index, lint, mappings, readiness, retrieval, telemetry, templates, workflow
+from ..operators.chunker import cut_documents
+from ..operators.vector_index import VectorIndex
 from ..sources import io
 from ..sources.estate import table
+from ..sources.tables import kept, new_path
 from . import oracles as o
 from . import rulepacks as packs
 from .params import AS_OF, CHUNK_TOKENS, OVERLAP_TOKENS
@@ -281,12 +285,21 @@ def _docs(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("url"), "text")
 
 
-@query(f"""WITH RECURSIVE {o.chunks().replace("' || chr(10) || x.p", "' || chr(10) || x.p")} SELECT substr(sha256(concat(url, '::', CAST(chunk_index AS VARCHAR))), 1, 32) AS chunk_id, url, CAST(chunk_index AS INTEGER) AS chunk_index, count(*) OVER (PARTITION BY url) AS total_chunks,
- sha256(content) AS content_hash, CAST(ceil(length(content) / 4.0) AS INTEGER) AS tokens, contains(content, '```') AS has_code FROM chunked""")
+CHUNKS = f"""WITH RECURSIVE {o.chunks()} SELECT substr(sha256(concat(url, '::', CAST(chunk_index AS VARCHAR))), 1, 32) AS chunk_id, url, CAST(chunk_index AS INTEGER) AS chunk_index, count(*) OVER (PARTITION BY url) AS total_chunks,
+ sha256(content) AS content_hash, CAST(ceil(length(content) / 4.0) AS INTEGER) AS tokens, contains(content, '```') AS has_code FROM chunked"""
+
+
+@query(CHUNKS)
 def chunk_table(spark, d):
     return index.chunk_table(_docs(spark, d), CHUNK_TOKENS, OVERLAP_TOKENS, "\n").drop("content")
 
 
+@query(CHUNKS)
+def chunk_table_linear(spark, d):
+    """The same chunks by the table function that takes texts of any length."""
+    return index.chunk_table(_docs(spark, d), CHUNK_TOKENS, OVERLAP_TOKENS, "\n", cut_documents).drop("content")
+
+
 BOTH = f"{o.pages('snapshot_1', 'p1')}, {o.pages('snapshot_2', 'p2')}"
 
 
@@ -306,21 +319,29 @@ def latest_hash(spark, d):
     return index.latest_per_url(old.unionByName(new)).select("url", "page_hash", "crawled_at")
 
 
-@query(f"SELECT count(*) AS attempted, count(*) FILTER (WHERE status BETWEEN 200 AND 299) AS succeeded, count(*) FILTER (WHERE NOT status BETWEEN 200 AND 299) AS failed, (WITH {BOTH} SELECT count(*) FROM p2 JOIN p1 USING (url) WHERE p1.page_hash = p2.page_hash) AS skipped FROM ({o.duck('snapshot_2')})")
+NO_CHUNKS = "chunk_id string, url string, chunk_index int, content string, content_hash string, crawled_at timestamp, created_at timestamp, embedding array<float>"
+
+
+def _refreshed(spark, d):
+    """A second snapshot over the chunks of the first: (chunks, report)."""
+    pages = index.page_table(table(spark, d, "snapshot_1"))
+    first, _ = index.refresh(spark.createDataFrame([], NO_CHUNKS), pages.limit(0), table(spark, d, "snapshot_1"), AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS)
+    return index.refresh(kept(first, "chunks"), pages, table(spark, d, "snapshot_2"), AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS)
+
+
+@query(f"""WITH RECURSIVE {o.refreshed()}, s AS ({o.duck('snapshot_2')}) SELECT (SELECT count(*) FROM s) AS attempted, (SELECT count(*) FROM s WHERE status BETWEEN 200 AND 299) AS succeeded, (SELECT count(*) FROM s WHERE NOT status BETWEEN 200 AND 299) AS failed, (SELECT count(*) FROM same) AS skipped,
+ (SELECT count(*) FROM c2) AS chunks_created, (SELECT count(*) FROM live WHERE url IN (SELECT url FROM same)) AS chunks_skipped, (SELECT count(*) FROM live WHERE embedded) AS chunks_embedded""")
 def crawl_run_report(spark, d):
-    old, new = _two(spark, d)
-    marked = index.changed_pages(new, old)
-    return index.run_report(table(spark, d, "snapshot_2"), marked, marked.limit(0)).select("attempted", "succeeded", "failed", "skipped")
+    return _refreshed(spark, d)[1]
 
 
-@query()
+WIDTH = 64
+
+
+@query(f"WITH RECURSIVE {o.refreshed()} SELECT chunk_id, url, CAST(chunk_index AS INTEGER) AS chunk_index, content_hash, crawled_at, created_at, {WIDTH} AS width FROM live")
 def refresh_index(spark, d):
     """A second snapshot over the chunks of the first, with vectors for what is new."""
-    none = spark.createDataFrame([], "chunk_id string, url string, chunk_index int, content string, content_hash string, crawled_at timestamp, created_at timestamp, embedding array<float>")
-    pages = index.page_table(table(spark, d, "snapshot_1"))
-    first, _ = index.refresh(none, pages.limit(0), table(spark, d, "snapshot_1"), AS_OF, hashed_vector())
-    second, _ = index.refresh(first, pages, table(spark, d, "snapshot_2"), AS_OF, hashed_vector())
-    return second.select("chunk_id", "url", "chunk_index", "content_hash", "crawled_at", "created_at", F.size("embedding").alias("width"))
+    return _refreshed(spark, d)[0].select("chunk_id", "url", "chunk_index", "content_hash", "crawled_at", "created_at", F.size("embedding").alias("width"))
 
 
 @query(f"SELECT url, crawled_at, concat('HTTP ', CAST(status AS VARCHAR)) AS error FROM ({o.duck('snapshot_2')}) WHERE NOT status BETWEEN 200 AND 299")
@@ -329,21 +350,16 @@ def crawl_errors(spark, d):
 
 
 def _chunk_rows(spark, d, name):
-    """Chunks of a snapshot, a line of text each, as index rows."""
+    """Chunks of a snapshot as rows of the index; every second length has a vector."""
     pages = index.page_table(table(spark, d, name))
-    rows = pages.select("url", "crawled_at", F.posexplode(F.split("text", r"\n+", -1)).alias("chunk_index", "content"))
-    key = F.concat("url", F.lit("::"), F.col("chunk_index").cast("string"))
-    return rows.select(F.substring(F.sha2(key, 256), 1, 32).alias("chunk_id"), "url", "chunk_index", "content", tx.fingerprint(F.col("content")).alias("content_hash"), "crawled_at", F.col("crawled_at").alias("created_at"), F.when(F.length("content") % 2 == 0, F.array(F.length("content").cast("float"))).alias("embedding"))
-
-
-def _rows_sql(p: str, name: str) -> str:
-    return f"{name} AS (SELECT substr(sha256(concat(url, '::', CAST(i - 1 AS VARCHAR))), 1, 32) AS chunk_id, url, i - 1 AS chunk_index, content, sha256(content) AS content_hash, crawled_at, crawled_at AS created_at, CASE WHEN length(content) % 2 = 0 THEN length(content) END AS emb FROM (SELECT url, crawled_at, unnest(regexp_split_to_array(text, '\\n+')) AS content, generate_subscripts(regexp_split_to_array(text, '\\n+'), 1) AS i FROM {p}))"
+    rows = index.chunk_table(pages, CHUNK_TOKENS, OVERLAP_TOKENS).join(pages.select("url", "crawled_at"), "url")
+    return rows.select("chunk_id", "url", "chunk_index", "content", "content_hash", "crawled_at", F.col("crawled_at").alias("created_at"), F.when(F.length("content") % 2 == 0, F.array(F.length("content").cast("float"))).alias("embedding"))
 
 
-ROWS = f"{BOTH}, {_rows_sql('p1', 'c')}, {_rows_sql('p2', 'u0')}, u AS (SELECT * REPLACE (CAST(NULL AS BIGINT) AS emb) FROM u0)"
+ROWS = f"{BOTH}, {o.snapshot_chunks('p1', 'c')}, {o.snapshot_chunks('p2', 'u0')}, u AS (SELECT * REPLACE (CAST(NULL AS BIGINT) AS emb) FROM u0)"
 
 
-@query(f"""WITH {ROWS} SELECT coalesce(u.chunk_id, c.chunk_id) AS chunk_id, coalesce(u.content_hash, c.content_hash) AS content_hash, coalesce(u.crawled_at, c.crawled_at) AS crawled_at, coalesce(c.created_at, u.crawled_at) AS created_at,
+@query(f"""WITH RECURSIVE {ROWS} SELECT coalesce(u.chunk_id, c.chunk_id) AS chunk_id, coalesce(u.content_hash, c.content_hash) AS content_hash, coalesce(u.crawled_at, c.crawled_at) AS crawled_at, coalesce(c.created_at, u.crawled_at) AS created_at,
  CASE WHEN u.chunk_id IS NULL OR c.content_hash = u.content_hash THEN c.emb IS NOT NULL ELSE false END AS has_vector FROM c FULL JOIN u ON c.chunk_id = u.chunk_id""")
 def chunk_merge(spark, d):
     new = _chunk_rows(spark, d, "snapshot_2").withColumn("embedding", F.lit(None).cast("array<float>"))
@@ -351,10 +367,10 @@ def chunk_merge(spark, d):
     return merged.select("chunk_id", "content_hash", "crawled_at", "created_at", F.col("embedding").isNotNull().alias("has_vector"))
 
 
-@query(f"""WITH {ROWS} SELECT 'orphan' AS kind, chunk_id FROM c WHERE url IN (SELECT url FROM u) AND chunk_id NOT IN (SELECT chunk_id FROM u) UNION ALL SELECT 'stale', chunk_id FROM c WHERE crawled_at < TIMESTAMP '2024-03-05 00:00:00' - INTERVAL 60 DAY""")
+@query(f"""WITH RECURSIVE {ROWS} SELECT 'orphan' AS kind, chunk_id FROM c WHERE url IN (SELECT url FROM p2) AND chunk_id NOT IN (SELECT chunk_id FROM u) UNION ALL SELECT 'stale', chunk_id FROM c WHERE crawled_at < TIMESTAMP '2024-03-05 00:00:00' - INTERVAL 60 DAY""")
 def stale_and_orphans(spark, d):
     old, new = _chunk_rows(spark, d, "snapshot_1"), _chunk_rows(spark, d, "snapshot_2")
-    lost = index.orphans(old, new).select(F.lit("orphan").alias("kind"), "chunk_id")
+    lost = index.orphans(old, new, index.page_table(table(spark, d, "snapshot_2"))).select(F.lit("orphan").alias("kind"), "chunk_id")
     return lost.unionByName(index.stale(old, "2024-03-05 00:00:00").select(F.lit("stale").alias("kind"), "chunk_id"))
 
 
@@ -373,9 +389,8 @@ def pending_queue(spark, d):
     return index.pending(_vectors(spark, d), 100).select("chunk_id", "label")
 
 
-def hashed_vector(dims: int = 64):
+def hashed_vector(dims: int = WIDTH):
     """Deterministic feature hashing of words: the embedder for tests and demonstrations."""
-    import pandas as pd
 
     def embed_fn(texts: pd.Series) -> pd.Series:
         import zlib
@@ -424,8 +439,11 @@ def stalest_hit(spark, d):
 
 @query()
 def ann_topk(spark, d):
+    """The index is built once under the shared folder; the search opens it as a later job would."""
     asked, docs = _query_sides(spark, d)
-    return retrieval.ann_topk(asked, docs, 4).select("query_id", "doc_id", "similarity", "rank")
+    path = new_path(spark, "ann")
+    VectorIndex.build(docs, path)
+    return retrieval.ann_topk(asked, VectorIndex.open(spark, path), 4).select("query_id", "doc_id", "similarity", "rank")
 
 
 @query(r"""WITH qs AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS terms FROM benchmark),

@@ -245,24 +245,6 @@ def test_retrieval(spark):
     want = {(q, d) for q in range(5) for d in sorted(range(200), key=lambda d: (-sims[q, d], d))[:4] if sims[q, d] >= 0.3}
     got = retrieval.cosine_topk(asked, docs, 4, 0.3)
     assert {(r.query_id, r.doc_id) for r in got.collect()} == want
-    near = retrieval.ann_topk(asked, docs.where("vector IS NOT NULL"), 4, lists=8, probes=4)
-    exact = retrieval.cosine_topk(asked, docs, 4, -1.0)
-    hits = near.join(exact.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").count()
-    assert hits >= 0.7 * exact.count()  # vectors without clusters, half of the cells
-
-
-def test_ann_recall_with_a_quarter_of_the_cells(spark):
-    """Vectors that form clusters, as texts' do: no slack."""
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    centres = rng.normal(size=(16, 12)) * 4
-    rows = [(k, (centres[k % 16] + rng.normal(size=12)).tolist()) for k in range(1600)]
-    docs = spark.createDataFrame(rows, "doc_id long, vector array<double>")
-    asked = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    exact = retrieval.cosine_topk(asked, docs, 4, -1.0)
-    near = retrieval.ann_topk(asked, docs, 4, lists=16, probes=4)
-    assert exact.count() == 64 and near.join(exact.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").count() >= 0.9 * 64
 
 
 def test_keyword_terms_of_every_length(spark):
@@ -292,15 +274,6 @@ def test_equal_vectors_are_taken_in_order_of_id(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_ann_recall_on_the_given_vectors(spark, sf):
-    from estatelens.plans.queries import QUERIES, _query_sides
-
-    asked, docs = _query_sides(spark, sf)
-    exact = retrieval.cosine_topk(asked, docs, 4, -1.0)
-    hits = QUERIES["ann_topk"](spark, sf).join(exact.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").count()
-    assert hits >= 0.9 * exact.count()
-
-
 def test_query_texts(spark):
     job = spark.createDataFrame([(1, "forge-native", "validator", True, True, True)], "job_id long, target string, module string, needs_users boolean, needs_fields boolean, has_http boolean")
     rows = retrieval.build_queries(job).orderBy("ord").collect()
