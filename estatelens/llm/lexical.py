@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, parallelism, stored
+from .common import materialize, parallelism, stored, tasks_for
 
 #: Bytes of terms that a part of a stratum has, about, at most (or one document).
 PART_BYTES = 8 << 20
@@ -38,6 +38,8 @@ LEAST_BYTES = 64 << 10
 BLOCK_ITEMS = 1024
 #: Parts that an item visits before it has a threshold.
 FIRST_VISITS = 4
+#: Rows of a table that may be sent to all tasks.
+SMALL = 100_000
 #: Bytes of the terms that leave a task at a time.
 BATCH_BYTES = 4 << 20
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -126,10 +128,13 @@ def build(docs: DataFrame, part_bytes: int = PART_BYTES) -> Index:
     documents, terms = int(told["documents"]), int(told["terms"])
     most = min(part_bytes, max(LEAST_BYTES, told["bytes"] // (4 * parallelism(spark))))
     sized = counted.withColumn("m", F.lit(75) + F.expr(f"(25 * n * {documents}L) div {max(1, terms)}L"))
-    strata = sized.groupBy("m").agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / most)).cast("int").alias("parts"))
+    strata = materialize(sized.groupBy("m").agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / most)).cast("int").alias("parts")), "strata")
+    strata = F.broadcast(strata) if strata.count() <= SMALL else strata  # one row for each length of text
     # a hash of the counts, so that documents without an id, or of equal ids, spread as well
     own = F.pmod(F.xxhash64("doc_id", "n", "terms"), F.col("parts")).cast("int")
     dealt = sized.join(strata, "m").select("m", own.alias("part"), "doc_id", "terms", "tfs")
+    # by both keys: a grouping would be content with a dealing by m alone
+    dealt = dealt.repartition(tasks_for(spark, told["bytes"]), "m", "part")
     path = stored(dealt.groupBy("m", "part").applyInArrow(_postings, INDEX), "lexical")
     return Index(path, documents, terms)
 
@@ -165,7 +170,7 @@ def bounds(weights: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _visit(k: int):
-    """Scores of one part's documents for the items of one block that visit it: each item's best ``k``."""
+    """Scores of one part's documents for the items of one block that visit it: each item's best ``k`` that reach its threshold."""
 
     def run(rows: pa.Table, visits: pa.Table) -> pa.Table:
         head = pc.is_null(rows.column("term"))
@@ -174,13 +179,13 @@ def _visit(k: int):
         if len(ids) and visits.num_rows:
             sides = _sides(rows.filter(pc.invert(head)))
             order = pc.fill_null(ids, np.iinfo(np.int64).max).to_numpy()  # a document without an id comes last
-            for item, terms, weights in zip(*(visits.column(c).to_pylist() for c in ("item_id", "terms", "weights")), strict=True):
+            for item, terms, weights, least in zip(*(visits.column(c).to_pylist() for c in ("item_id", "terms", "weights", "least")), strict=True):
                 scores = np.zeros(len(ids), np.int64)
                 for term, weight in zip(terms, weights, strict=True):
                     if term in sides:
                         places, impacts = sides[term]
                         scores[places] += weight * impacts  # a document stands once under a term
-                found = np.flatnonzero(scores > 0)
+                found = np.flatnonzero(scores >= least)
                 best = found[np.lexsort((order[found], -scores[found]))[:k]]
                 for column, values in zip(out, (np.full(best.size, item, np.int64), best, scores[best]), strict=True):
                     column.append(values)
@@ -232,13 +237,13 @@ def search(index: Index, items: DataFrame, k: int = 20, first: int = FIRST_VISIT
         """Hits of the visited parts. Parts that nobody visits stay where they are."""
         keys = parts.select("m", "part", F.col("block").alias("asking")).distinct()
         sent = heads.unionByName(held, allowMissingColumns=True).join(keys, ["m", "part"])
-        own = parts.join(told, "item_id").select("m", "part", "block", "item_id", "terms", "weights")
+        own = parts.join(told, "item_id").select("m", "part", "block", "item_id", "terms", "weights", "least")
         return sent.groupBy("m", "part", "asking").cogroup(own.groupBy("m", "part", "block")).applyInArrow(_visit(k), HITS)
 
-    early = materialize(_best(seen(opening), k), "early")
+    early = materialize(_best(seen(opening.withColumn("least", F.lit(1).cast("long"))), k), "early")
     least = early.groupBy("item_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
     rest = bound.join(opening.select("item_id", "m", "part"), ["item_id", "m", "part"], "left_anti").join(least, "item_id", "left")
-    rest = rest.where(F.col("bound") >= F.coalesce("least", F.lit(1))).drop("least")
+    rest = rest.withColumn("least", F.coalesce("least", F.lit(1))).where(F.col("bound") >= F.col("least"))
     if visited is not None:
         visited += [opening, rest]
     return _best(early.drop("rank").unionByName(seen(rest)), k).select("item_id", "rank", "doc_id", "score")
