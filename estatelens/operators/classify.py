@@ -1,46 +1,68 @@
 """Classification of scripts by constant-pattern hit counts.
 
-Scores are plain columns, worked out in one pass before anything looks at them: no pattern
-test stands below a lambda, where Spark would evaluate it without generated code. Verdicts
-compare those columns.
+A script's words say which rules may match (``functions.rule_index``); what matches is folded to
+one set of rule numbers a script, and scores are plain columns that count a rule list's members in it.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import found
+from ..functions.rule_index import RuleIndex, matches
 from ..functions.text import trimmed
 from ..plans import rulepacks as packs
 
-LOWERED, BODY, LOWERED_BODY = "_content_lower", "_body", "_body_lower"
 LANGUAGE_SCORES = {language: f"_language_{k}" for k, language in enumerate(packs.LANGUAGES)}
 MODULE_SCORES = {module: f"_module_{k}" for k, module in enumerate(packs.MODULES)}
 TRIGGER_SCORES = {trigger: f"_trigger_{k}" for k, trigger in enumerate(packs.TRIGGERS)}
+ALL = ("language", "module", "trigger", "operation")
 
 
-def hits(content: Column, patterns: list[str], lowered: Column | None = None) -> Column:
-    total = F.lit(0)
-    for p in patterns:
-        total = total + found(content, p, lowered).cast("int")
-    return total
+class Rule(NamedTuple):
+    """A pattern with what it speaks for: a kind of score, a name, and a part of it."""
 
+    kind: str
+    name: str
+    part: str
+    pattern: str
 
-def bound(scripts: DataFrame) -> DataFrame:
-    """``scripts`` with the forms of the content that the patterns look at."""
-    body = trimmed(F.col("content"))
-    return scripts.withColumns({LOWERED: F.lower("content"), BODY: body, LOWERED_BODY: F.lower(body)})
+
+RULES = (
+    [Rule("language", language, part, p) for language, parts in packs.LANGUAGES.items() for part, patterns in parts.items() for p in patterns]
+    + [Rule("module", module, "", p) for module, (_, patterns) in packs.MODULES.items() for p in patterns]
+    + [Rule("trigger", trigger, "", p) for trigger, patterns in packs.TRIGGERS.items() for p in patterns]
+    + [Rule("operation", "n_mappable", "", p) for p, _, _ in packs.MAPPABLE]
+    + [Rule("operation", "n_unmappable", "", p) for p, _ in packs.UNMAPPABLE]
+)
+
+
+def hits(scripts: DataFrame, kinds: tuple[str, ...] = ALL) -> DataFrame:
+    """(script_id, hits): the numbers, in ``RULES``, of the rules of these kinds that match the content; no row where none does.
+
+    Languages look at the content without white space at its ends.
+    """
+    numbers = [k for k, rule in enumerate(RULES) if rule.kind in kinds]
+    index = RuleIndex([RULES[k].pattern for k in numbers])
+    told = index.rules(scripts, "number int, on_body boolean", [(k, RULES[k].kind == "language") for k in numbers])
+    may = index.candidates(scripts.select("script_id", "content"), "content").join(told, "rule")
+    text = F.when(F.col("on_body"), trimmed(F.col("content"))).otherwise(F.col("content"))
+    return may.where(matches(text)).groupBy("script_id").agg(F.collect_set("number").alias("hits"))
+
+
+def count(kind: str, name: str, part: str = "") -> Column:
+    own = [F.lit(k) for k, rule in enumerate(RULES) if (rule.kind, rule.name, rule.part) == (kind, name, part)]
+    return F.size(F.array_intersect("hits", F.array(*own))) if own else F.lit(0)
 
 
 def _language_score(language: str) -> Column:
-    signals = packs.LANGUAGES[language]
-    n = {kind: hits(F.col(BODY), patterns, F.col(LOWERED_BODY)) for kind, patterns in signals.items()}
+    sizes = {part: len(patterns) for part, patterns in packs.LANGUAGES[language].items()}
     # scores by number of hits, as tables: each number of hits is worked out once
-    by_hits = lambda kind, weight, base, step: F.element_at(F.array(*[F.lit(weight * min(1.0, base + h * step) if h else 0.0) for h in range(len(signals[kind]) + 1)]), n[kind] + 1)
-    score = by_hits("syntax", 30.0, 0.4, 0.2) + by_hits("imports", 20.0, 0.0, 0.5) + by_hits("apis", 10.0, 0.0, 0.3) - 15.0 * n["negative"]
+    by_hits = lambda part, weight, base, step: F.element_at(F.array(*[F.lit(weight * min(1.0, base + h * step) if h else 0.0) for h in range(sizes[part] + 1)]), count("language", language, part) + 1)
+    score = by_hits("syntax", 30.0, 0.4, 0.2) + by_hits("imports", 20.0, 0.0, 0.5) + by_hits("apis", 10.0, 0.0, 0.3) - 15.0 * count("language", language, "negative")
     own = F.regexp_extract("filename", r"(\.[^.]*)\z", 1).isin([e for e, lang in packs.EXTENSIONS.items() if lang == language])
     return F.round(F.greatest(F.lit(0.0), score) + F.when(own, 40.0).otherwise(0.0), 6)
 
@@ -48,24 +70,21 @@ def _language_score(language: str) -> Column:
 def _module_score(module: str) -> Column:
     weight, patterns = packs.MODULES[module]
     table = [math.floor(weight * min(3.0, 1.0 + (h - 1) * 0.3) * 10 + 0.5 + 1e-9) / 10 if h else 0.0 for h in range(len(patterns) + 1)]
-    return F.element_at(F.array(*map(F.lit, table)), hits(F.col("content"), patterns, F.col(LOWERED)) + 1)
+    return F.element_at(F.array(*map(F.lit, table)), count("module", module) + 1)
 
 
-def language_columns() -> dict[str, Column]:
-    return {column: _language_score(language) for language, column in LANGUAGE_SCORES.items()}
+SCORES = {
+    "language": lambda: {column: _language_score(language) for language, column in LANGUAGE_SCORES.items()},
+    "module": lambda: {column: _module_score(module) for module, column in MODULE_SCORES.items()},
+    "trigger": lambda: {column: count("trigger", trigger) for trigger, column in TRIGGER_SCORES.items()},
+    "operation": lambda: {n: count("operation", n).cast("long") for n in ("n_mappable", "n_unmappable")},
+}
 
 
-def module_columns() -> dict[str, Column]:
-    return {column: _module_score(module) for module, column in MODULE_SCORES.items()}
-
-
-def trigger_columns() -> dict[str, Column]:
-    return {column: hits(F.col("content"), packs.TRIGGERS[trigger], F.col(LOWERED)) for trigger, column in TRIGGER_SCORES.items()}
-
-
-def operation_columns() -> dict[str, Column]:
-    number = lambda patterns: hits(F.col("content"), patterns, F.col(LOWERED)).cast("long")
-    return {"n_mappable": number([p for p, _, _ in packs.MAPPABLE]), "n_unmappable": number([p for p, _ in packs.UNMAPPABLE])}
+def scored(scripts: DataFrame, *kinds: str) -> DataFrame:
+    """Every script, without its content, with the score columns of these kinds."""
+    rows = scripts.drop("content").join(hits(scripts, kinds or ALL), "script_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
+    return rows.withColumns({name: column for kind in kinds or ALL for name, column in SCORES[kind]().items()}).drop("hits")
 
 
 def _first_best(columns: dict[str, str]) -> Column:
@@ -87,29 +106,25 @@ def language_verdict() -> dict[str, Column]:
     }
 
 
-def _scored(scripts: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return bound(scripts).withColumns(columns)
-
-
-def _told(scripts: DataFrame, columns: dict[str, Column], names: dict[str, str], label: str) -> DataFrame:
+def _told(scores: DataFrame, names: dict[str, str], label: str) -> DataFrame:
     """A row per script and name."""
     rows = [F.struct(F.lit(k).alias("ord"), F.lit(name).alias(label), F.col(c).alias("score")) for k, (name, c) in enumerate(names.items(), 1)]
-    return _scored(scripts, columns).select("script_id", F.explode(F.array(*rows)).alias("s")).select("script_id", "s.*")
+    return scores.select("script_id", F.explode(F.array(*rows)).alias("s")).select("script_id", "s.*")
 
 
 def language_scores(scripts: DataFrame) -> DataFrame:
     """(script_id, ord, language, score), a row per script and language."""
-    return _told(scripts, language_columns(), LANGUAGE_SCORES, "language")
+    return _told(scored(scripts, "language"), LANGUAGE_SCORES, "language")
 
 
 def classify_language(scripts: DataFrame) -> DataFrame:
     told = language_verdict()
     told.pop("language_margin")
-    return _scored(scripts, language_columns()).select("script_id", *[c.alias(name) for name, c in told.items()])
+    return scored(scripts, "language").select("script_id", *[c.alias(name) for name, c in told.items()])
 
 
 def module_scores(scripts: DataFrame) -> DataFrame:
-    return _told(scripts, module_columns(), MODULE_SCORES, "module").where("score > 0")
+    return _told(scored(scripts, "module"), MODULE_SCORES, "module").where("score > 0")
 
 
 def module_of() -> Column:
@@ -121,12 +136,13 @@ def trigger_of() -> Column:
 
 
 def classify_module(scripts: DataFrame) -> DataFrame:
-    return _scored(scripts, module_columns() | trigger_columns()).select("script_id", module_of().alias("module"), trigger_of().alias("trigger"))
+    return scored(scripts, "module", "trigger").select("script_id", module_of().alias("module"), trigger_of().alias("trigger"))
 
 
 def metaprogramming(scripts: DataFrame) -> DataFrame:
     """Scripts with the strategy that their language and dynamic code ask for."""
-    flagged = _scored(scripts, language_columns()).select("script_id", language_verdict()["language"].alias("language"), F.col("content").rlike(packs.METAPROGRAMMING).alias("dynamic"))
+    marked = scripts.withColumn("dynamic", F.col("content").rlike(packs.METAPROGRAMMING)).select("script_id", "filename", "content", "dynamic")
+    flagged = scored(marked, "language").select("script_id", language_verdict()["language"].alias("language"), "dynamic")
     strategy = F.when(F.col("language") == "java", "static").when((F.col("language") == "groovy") & ~F.col("dynamic"), "static").when(F.col("language") == "groovy", "hybrid").otherwise("semantic")
     return flagged.withColumn("strategy", strategy)
 

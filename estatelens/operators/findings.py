@@ -1,4 +1,7 @@
-"""Rule-pack matching: scripts to lines to findings, one scan for all families."""
+"""Rule-pack matching: scripts to lines to findings, one scan for all families.
+
+Rules meet lines by the words that both hold (``functions.rule_index``).
+"""
 
 from __future__ import annotations
 
@@ -6,41 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.patterns import may_match
+from ..functions.rule_index import RuleIndex
 from ..plans import rulepacks as packs
 
-HITS = "array<struct<family:string,rule_ord:int,pos:int,raw:string,entity:string,attr:string>>"
-
-
 def explode_lines(scripts: DataFrame, key: str = "script_id") -> DataFrame:
     lines = scripts.select(key, F.posexplode(F.split("content", "\n", -1)).alias("at", "line"))
     return lines.select(key, (F.col("at") + 1).alias("line_no"), "line")
 
 
-def _family_hits(family: str, line: Column, lowered: Column) -> Column:
-    """All matches of a family's patterns on a line; the patterns are constants, compiled once a task."""
-    found = []
-    for ord_, (pattern, group, attr) in enumerate(packs.FAMILIES[family], 1):
-        raw = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-        zipped = F.arrays_zip(raw.alias("raw"), F.regexp_extract_all(line, F.lit(pattern), F.lit(group)).alias("entity")) if group else F.transform(raw, lambda r: F.struct(r.alias("raw"), r.alias("entity")))
-        found.append(F.when(may_match(line, pattern, lowered), F.transform(zipped, _hit(family, ord_, attr))).otherwise(F.array().cast(HITS)))
-    return F.concat(*found)
-
-
-def _hit(family: str, ord_: int, attr: str):
-    def hit(z: Column, i: Column) -> Column:
-        return F.struct(F.lit(family).alias("family"), F.lit(ord_).alias("rule_ord"), i.alias("pos"), z["raw"].alias("raw"), z["entity"].alias("entity"), F.lit(attr).alias("attr"))
+def candidates(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """(script_id, line_no, line, family, rule_ord, pattern, grp, attr): lines with the rules that may match, by the words that they hold."""
+    rules = [(f, k, *rule) for f in families or packs.FAMILIES for k, rule in enumerate(packs.FAMILIES[f], 1)]
+    index = RuleIndex([pattern for _, _, pattern, _, _ in rules])
+    told = index.rules(scripts, "family string, rule_ord int, grp int, attr string", [(f, k, group, attr) for f, k, _, group, attr in rules])
+    return index.candidates(explode_lines(scripts), "line").join(told, "rule").drop("rule", "plain")
 
-    return hit
 
-
-def scan(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
-    """Every finding in (script_id, line_no, family, rule_ord, pos) order columns, overlaps kept."""
-    families = families or list(packs.FAMILIES)
+def _all_hits(scripts: DataFrame, families: list[str] | None) -> DataFrame:
+    """Every finding, some of them more than once."""
     line = F.col("line")
-    hits = F.concat(*[_family_hits(f, line, F.col("lowered")) for f in families])
-    lines = explode_lines(scripts).withColumn("lowered", F.lower("line"))
-    found = lines.select("script_id", "line_no", "line", F.explode(hits).alias("h")).select("script_id", "line_no", "line", "h.*")
+    both = F.arrays_zip(F.regexp_extract_all(line, F.col("pattern"), F.lit(0)).alias("raw"), F.regexp_extract_all(line, F.col("pattern"), F.col("grp")).alias("entity"))
+    found = candidates(scripts, families).select("script_id", "line_no", "line", "family", "rule_ord", "attr", F.posexplode(both).alias("pos", "h")).select("*", "h.raw", "h.entity")
     http = F.col("family") == "http"
     local = F.col("entity").rlike("(?i)/rest/api/") | F.col("entity").rlike(r"localhost|127\.0\.0\.1")
     found = found.where(~(http & local))
@@ -58,6 +47,11 @@ def scan(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
     )
 
 
+def scan(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Every finding once, with its order columns (script_id, line_no, family, rule_ord, pos); overlaps are kept."""
+    return _all_hits(scripts, families).dropDuplicates(["script_id", "line_no", "family", "rule_ord", "pos"])
+
+
 def dedupe_first(found: DataFrame) -> DataFrame:
     """Per script, family and raw expression the first finding."""
     first = Window.partitionBy("script_id", "family", "raw").orderBy("line_no", "rule_ord", "pos")
@@ -65,7 +59,7 @@ def dedupe_first(found: DataFrame) -> DataFrame:
 
 
 def findings(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
-    return dedupe_first(scan(scripts, families))
+    return dedupe_first(_all_hits(scripts, families))  # what comes twice goes as well
 
 
 def deprecated_uses(found: DataFrame) -> DataFrame:

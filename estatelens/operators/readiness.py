@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import lines_of_code
 from ..plans import rulepacks as packs
 from . import classify
-from .findings import dedupe_first, scan
+from .findings import findings
 
 
 def reason_column(reason: str) -> str:
@@ -45,14 +45,12 @@ def dependency_counts(found: DataFrame, evidence: bool = False) -> DataFrame:
 def profile(scripts: DataFrame, evidence: bool = False) -> DataFrame:
     """One row per script: counts, lines of code, language, module, trigger, operations, complexity.
 
-    Findings are dealt by script once; folding, counting and the join with the scripts use that.
+    Texts stay where they are: what moves by script are findings, hit rules and lines of code.
     """
-    counts = dependency_counts(dedupe_first(scan(scripts).repartition("script_id")), evidence)
+    counts = dependency_counts(findings(scripts), evidence)
     zero = {c: 0 for c in counts.columns if c not in ("script_id", "evidence")}
-    scored = classify.bound(scripts).withColumns(
-        {"loc": lines_of_code(F.col("content"))} | classify.language_columns() | classify.module_columns() | classify.trigger_columns() | classify.operation_columns()
-    )
-    base = scored.select("script_id", "loc", classify.module_of().alias("module"), classify.trigger_of().alias("trigger"), "n_mappable", "n_unmappable", *[c.alias(n) for n, c in classify.language_verdict().items()])
+    sized = scripts.select("script_id", "filename", "content", lines_of_code(F.col("content")).alias("loc"))
+    base = classify.scored(sized).select("script_id", "loc", classify.module_of().alias("module"), classify.trigger_of().alias("trigger"), "n_mappable", "n_unmappable", *[c.alias(n) for n, c in classify.language_verdict().items()])
     out = base.join(counts, "script_id", "left").fillna(zero)
     points = F.floor(F.col("loc") / 50)
     for f, weight in packs.COMPLEXITY.items():
@@ -120,6 +118,10 @@ def suitability(profiles: DataFrame) -> DataFrame:
     return out.withColumn("rationale", step.otherwise("suitable")).withColumn("confidence", confidence.otherwise(fits)).withColumn("suitable", F.col("rationale") == "suitable")
 
 
+#: Columns of ``verdicts`` after script_id.
+VERDICT = "language string, module string, trigger string, loc int, complexity string, n_issues long, score long, level string, target string, consultant_hours double, assisted_hours double, needs_users boolean, needs_fields boolean, has_http boolean"
+
+
 def verdicts(scripts: DataFrame) -> DataFrame:
     """One row per script: score, level, target, complexity, hours. All from one profile row."""
     rows = suitability(profile(scripts)).withColumn("issues", issue_list())
@@ -157,6 +159,10 @@ def portfolio(verdict: DataFrame) -> DataFrame:
     """Scripts, mean score and hours by language, module and level, with all sub-totals."""
     sums = [F.count(F.lit(1)).alias("n_scripts"), F.round(F.avg("score"), 6).alias("avg_score"), F.sum("consultant_hours").alias("consultant_hours"), F.sum("assisted_hours").alias("assisted_hours")]
     rolled = verdict.rollup("language", "module", "level").agg(F.grouping_id().alias("grouping"), *sums)
+    return with_savings(rolled)
+
+
+def with_savings(rolled: DataFrame) -> DataFrame:
     saved = F.floor((F.col("consultant_hours") - F.col("assisted_hours")) / F.col("consultant_hours") * 100 + 0.5)
     return rolled.withColumn("savings_percent", saved.cast("long"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import classify, findings, index, lint, mappings, readiness, retrieval, telemetry, templates, workflow
+from ..operators import classify, findings, index, lint, mappings, memo, readiness, retrieval, telemetry, templates, workflow
 from ..operators.chunker import cut_documents
 from ..operators.vector_index import VectorIndex
 from ..sources import io
@@ -170,6 +170,14 @@ def portfolio_rollup(spark, d):
     return readiness.portfolio(readiness.verdicts(table(spark, d, "scripts")))
 
 
+@query(ORACLES["portfolio_rollup"].replace(o.duck("scripts"), o.duck("scripts_2")))
+def portfolio_refresh(spark, d):
+    """The portfolio of the estate's second version from that of the first: only contents that are new are scanned."""
+    known = memo.Memo(new_path(spark, "profiles"))
+    old, new = table(spark, d, "scripts"), table(spark, d, "scripts_2")
+    return memo.portfolio(memo.changed_cells(kept(memo.cells(known.verdicts(old)), "cells"), known, old, new))
+
+
 @query(f"WITH {o.findings(['custom_field', 'group', 'user'])} SELECT family, entity, count(DISTINCT script_id) AS n_scripts FROM found GROUP BY family, entity")
 def blocking_entities(spark, d):
     return findings.blocking_entities(findings.findings(table(spark, d, "scripts"), ["custom_field", "group", "user"]))
