@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,11 +52,45 @@ def validate(mappings: DataFrame, catalogue: DataFrame, as_of: str) -> DataFrame
     )
 
 
+#: Characters of a gram.
+GRAM = 3
+
+
+def _grams(c: str) -> Column:
+    """The distinct grams of a text, and all shorter ones for the sake of shorter texts."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(n)))
+    every = of(1)
+    for n in range(2, GRAM + 1):
+        every = F.array_union(every, of(n))
+    return every
+
+
+def _own_grams(c: str) -> Column:
+    """The grams of full length, or the whole of a shorter text."""
+    return F.when(F.length(c) <= GRAM, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.col(c).substr(i, F.lit(GRAM)))))
+
+
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text) of all distinct pairs of ``needles`` (needle) and ``texts`` (text) where the text holds the needle.
+
+    An inverted index from grams to texts; a needle asks for the texts of the one of its grams that the
+    fewest texts have, and only these are searched. A needle with a gram that no text has is held by
+    none; the empty needle is held by all and is the caller's to treat.
+    """
+    held = texts.select("text").distinct().select("text", F.explode(_grams("text")).alias("gram"))
+    asked = needles.where("needle <> ''").select("needle").distinct().select("needle", F.explode(_own_grams("needle")).alias("gram"))
+    wide = held.join(asked.select("gram").distinct(), "gram", "left_semi")
+    numbers = wide.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(numbers, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")).where("best.n > 0").select("needle", "best.gram")
+    return rarest.join(wide, "gram").where(F.contains("text", "needle")).select("needle", "text")
+
+
 def auto_map(names: DataFrame, catalogue: DataFrame, prefix: str) -> DataFrame:
     """(server_id, server_name) to catalogue ids: equal normalised name, else one holding the other.
 
-    Exact matches are an equi-join; only names without one go to the containment join, which pairs
-    a name with the catalogue, the small side. The first match in catalogue order (``ord``) counts.
+    Exact matches are an equi-join; names without one meet the catalogue by ``containing``, in both
+    directions. Equal names, on either side, are looked up once. The first match in catalogue order
+    (``ord``) counts. A blank name is held by every name of the catalogue, a blank entry of it by every name.
     """
     low = lambda c: F.lower(F.trim(c))
     cat = catalogue.where(F.col("cloud_id").startswith(prefix)).select("ord", "cloud_id", F.col("name").alias("cloud_name"), low("name").alias("key"))
@@ -65,10 +99,17 @@ def auto_map(names: DataFrame, catalogue: DataFrame, prefix: str) -> DataFrame:
     exact = asked.join(cat.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn"), "key", "left")
     hit = exact.where("cloud_id IS NOT NULL").select("server_id", "server_name", "cloud_id", "cloud_name", F.lit("exact").alias("confidence"))
     rest = exact.where("cloud_id IS NULL").select("server_id", "server_name", "key")
-    c = cat.select("ord", "cloud_id", "cloud_name", F.lower("cloud_name").alias("ckey"))
-    near = rest.join(c, c["ckey"].contains(rest["key"]) | rest["key"].contains(c["ckey"]), "left")
-    best = near.groupBy("server_id", "server_name").agg(F.min(F.struct("ord", "cloud_id", "cloud_name")).alias("b"))
-    fuzzy = best.select("server_id", "server_name", "b.cloud_id", "b.cloud_name", F.when(F.col("b.cloud_id").isNull(), "none").otherwise("fuzzy").alias("confidence"))
+    entry = F.min(F.struct("ord", "cloud_id", "cloud_name")).alias("entry")
+    entries = cat.where("cloud_name IS NOT NULL").groupBy(F.lower("cloud_name").alias("ckey")).agg(entry)
+    keys = rest.where("key IS NOT NULL").select("key").distinct()
+    holds = containing(keys.select(F.col("key").alias("needle")), entries.select(F.col("ckey").alias("text"))).select(F.col("needle").alias("key"), F.col("text").alias("ckey"))
+    held = containing(entries.select(F.col("ckey").alias("needle")), keys.select(F.col("key").alias("text"))).select(F.col("text").alias("key"), F.col("needle").alias("ckey"))
+    near = holds.unionByName(held).join(entries, "ckey").select("key", "entry")
+    every = entries.agg(F.min("entry").alias("entry"))  # one row: what a blank name gets
+    blank = entries.where("ckey = ''").select("entry")  # at most one row: what every name gets
+    near = near.unionByName(keys.where("key = ''").join(every).where("entry IS NOT NULL")).unionByName(keys.join(blank))
+    best = near.groupBy("key").agg(F.min("entry").alias("b"))
+    fuzzy = rest.join(best, "key", "left").select("server_id", "server_name", "b.cloud_id", "b.cloud_name", F.when(F.col("b.cloud_id").isNull(), "none").otherwise("fuzzy").alias("confidence"))
     return hit.unionByName(fuzzy)
 
 

@@ -24,6 +24,23 @@ def stage_timings(events: DataFrame) -> DataFrame:
     return events.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.percentile_approx("ms", 0.95, 100_000), 6).alias("p95_ms"))
 
 
+#: Size of a sketch: the rank of a quantile is off by about 1.33 % at 200, by less than 0.35 % at 800.
+SKETCH = 800
+
+
+def stage_sketches(events: DataFrame) -> DataFrame:
+    """(stage, hour, n, sketch): a mergeable quantile sketch of the milliseconds of each stage and hour, to be stored."""
+    timed = events.where("ms IS NOT NULL")
+    return timed.groupBy("stage", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col("ms").cast("double"), SKETCH).alias("sketch"))
+
+
+def window_quantiles(sketches: DataFrame, since: str, until: str, quantile: float = 0.95) -> DataFrame:
+    """(stage, n, quantile_ms) over the hours from ``since`` to before ``until``, from stored sketches alone."""
+    own = sketches.where((F.col("hour") >= F.to_timestamp(F.lit(since))) & (F.col("hour") < F.to_timestamp(F.lit(until))))
+    merged = own.groupBy("stage").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH).alias("sketch"))
+    return merged.select("stage", "n", F.kll_sketch_get_quantile_double("sketch", F.lit(quantile)).alias("quantile_ms"))
+
+
 def timings_of_maps(jobs: DataFrame) -> DataFrame:
     """(job_id, stage, ms) of a map column ``timings``."""
     return jobs.select("job_id", F.explode("timings").alias("stage", "ms"))

@@ -27,13 +27,16 @@ ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&ap
 
 
 def decoded(text: Column) -> Column:
-    """Named entities, then decimal ones; of a decimal one the lowest 16 bits count."""
+    """Named entities, then decimal ones, each of these once; of a decimal one the lowest 16 bits count."""
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d+);"), F.lit(1)))
+    # texts between the numbers, and the numbers: what one of them gives is not read again
+    parts = F.split(text, r"&#\d+;", -1)
+    numbers = F.regexp_extract_all(text, F.lit(r"&#(\d+);"), F.lit(1))
     code = lambda n: F.pmod(F.substring(n, -18, 18).cast("long"), F.lit(65536))
     char = lambda n: F.decode(F.unhex(F.lpad(F.hex(code(n)), 4, "0")), "UTF-16BE")
-    return F.aggregate(numbers, text, lambda done, n: F.replace(done, F.concat(F.lit("&#"), n, F.lit(";")), char(n)))
+    both = F.transform(F.arrays_zip(parts.alias("p"), numbers.alias("n")), lambda x: F.concat(F.coalesce(x["p"], F.lit("")), F.when(x["n"].isNotNull(), char(x["n"])).otherwise("")))
+    return F.array_join(both, "")
 
 
 def _argument(name: str) -> Column:

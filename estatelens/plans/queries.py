@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import classify, findings, index, lint, mappings, memo, readiness, retrieval, telemetry, templates, workflow
+from ..operators import classify, findings, index, lint, mappings, memo, readiness, retrieval, runs, targets, telemetry, templates, workflow
 from ..operators.chunker import cut_documents
 from ..operators.vector_index import VectorIndex
 from ..sources import io
@@ -224,16 +224,18 @@ def session_completion(spark, d):
     return mappings.session_completion(mapping_validation(spark, d))
 
 
-@query("""WITH names AS (SELECT p_partkey AS server_id, p_name AS server_name, lower(trim(p_name)) AS key FROM part), cat AS (SELECT p_partkey AS ord, concat('customfield_', CAST(p_partkey AS VARCHAR)) AS cloud_id,
- CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE substr(p_name, 1, 9) END AS cloud_name FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 35 = 1),
- pairs AS (SELECT n.server_id, n.server_name, c.ord, c.cloud_id, c.cloud_name, CASE WHEN lower(trim(c.cloud_name)) = n.key THEN 1 ELSE 2 END AS pri FROM names n JOIN cat c ON lower(trim(c.cloud_name)) = n.key OR contains(lower(c.cloud_name), n.key) OR contains(n.key, lower(c.cloud_name))),
- best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY pri, ord) AS rn FROM pairs) WHERE rn = 1)
- SELECT n.server_id, n.server_name, b.cloud_id, b.cloud_name, CASE b.pri WHEN 1 THEN 'exact' WHEN 2 THEN 'fuzzy' ELSE 'none' END AS confidence FROM names n LEFT JOIN best b USING (server_id)""")
+CATALOGUE = "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN substr(p_name, 1, 9) WHEN 2 THEN concat('The ', p_name, ' field') ELSE concat(p_name, ' ', p_brand) END"
+
+
+@query(f"""WITH names AS (SELECT p_partkey AS server_id, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN concat('Old ', p_name) ELSE substr(p_name, 2) END AS server_name FROM part), n AS (SELECT *, lower(trim(server_name)) AS key FROM names),
+ cat AS (SELECT p_partkey AS ord, concat('customfield_', CAST(p_partkey AS VARCHAR)) AS cloud_id, {CATALOGUE} AS cloud_name FROM part), c AS (SELECT lower(cloud_name) AS ckey, lower(trim(cloud_name)) AS ekey, min(ord) AS ord FROM cat GROUP BY ALL), k AS (SELECT DISTINCT key FROM n),
+ pairs AS (SELECT key, ord, CASE WHEN ekey = key THEN 1 ELSE 2 END AS pri FROM k JOIN c ON ekey = key OR contains(ckey, key) OR contains(key, ckey)),
+ best AS (SELECT key, min({{'p': pri, 'o': ord}}) AS b FROM pairs GROUP BY key)
+ SELECT n.server_id, n.server_name, cloud_id, cloud_name, CASE b.p WHEN 1 THEN 'exact' WHEN 2 THEN 'fuzzy' ELSE 'none' END AS confidence FROM n LEFT JOIN best USING (key) LEFT JOIN cat ON cat.ord = b.o""")
 def auto_map(spark, d):
     part = table(spark, d, "part")
-    names = part.select(F.col("p_partkey").alias("server_id"), F.col("p_name").alias("server_name"))
-    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.substring("p_name", 1, 9))
-    cat = part.where("p_partkey % 10 = 0 OR p_partkey % 35 = 1").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("customfield_"), F.col("p_partkey").cast("string")).alias("cloud_id"), name.alias("name"))
+    names = part.selectExpr("p_partkey AS server_id", "CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN concat('Old ', p_name) ELSE substr(p_name, 2) END AS server_name")
+    cat = part.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("customfield_"), F.col("p_partkey").cast("string")).alias("cloud_id"), F.expr(CATALOGUE).alias("name"))
     return mappings.auto_map(names, cat, "customfield_")
 
 
@@ -346,6 +348,44 @@ def crawl_run_report(spark, d):
 WIDTH = 64
 
 
+RUN = ["attempted", "succeeded", "failed", "skipped", "chunks_created", "chunks_skipped", "chunks_embedded"]
+
+
+@query(f"""WITH RECURSIVE {o.refreshed()}, s AS ({o.duck('snapshot_2')}), t AS ({o.duck('snapshot_1')}) SELECT 'first' AS run_id, 0 AS batch_id, (SELECT count(*) FROM t) AS attempted, (SELECT count(*) FROM t WHERE status BETWEEN 200 AND 299) AS succeeded, (SELECT count(*) FROM t WHERE NOT status BETWEEN 200 AND 299) AS failed,
+ CAST(0 AS BIGINT) AS skipped, (SELECT count(*) FROM c1) AS chunks_created, CAST(0 AS BIGINT) AS chunks_skipped, (SELECT count(*) FROM c1) AS chunks_embedded, (SELECT count(*) FROM t WHERE NOT status BETWEEN 200 AND 299) AS n_errors
+ UNION ALL SELECT 'second', 7, (SELECT count(*) FROM s), (SELECT count(*) FROM s WHERE status BETWEEN 200 AND 299), (SELECT count(*) FROM s WHERE NOT status BETWEEN 200 AND 299), (SELECT count(*) FROM same), (SELECT count(*) FROM c2), (SELECT count(*) FROM live WHERE url IN (SELECT url FROM same)), (SELECT count(*) FROM live WHERE embedded), (SELECT count(*) FROM s WHERE NOT status BETWEEN 200 AND 299)""")
+def crawl_run_log(spark, d):
+    """Two runs, the second of which is written twice, as a replayed batch is."""
+    path = new_path(spark, "runs")
+    one, two = table(spark, d, "snapshot_1"), table(spark, d, "snapshot_2")
+    pages = index.page_table(one)
+    first, report = index.refresh(spark.createDataFrame([], NO_CHUNKS), pages.limit(0), one, AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS)
+    runs.write_crawl_run(path, "first", 0, report, io.split_snapshots(one)[1])
+    _, report = index.refresh(kept(first, "chunks"), pages, two, AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS)
+    for _ in range(2):
+        runs.write_crawl_run(path, "second", 7, report, io.split_snapshots(two)[1])
+    return runs.crawl_runs(spark, path).select("run_id", "batch_id", *RUN, "n_errors")
+
+
+TARGETS = f"""t AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY category NULLS FIRST, priority NULLS FIRST, frequency NULLS FIRST) > 1 AS dup FROM ({o.duck('crawl_targets')}))"""
+
+
+@query(f"""WITH {TARGETS} SELECT * FROM (SELECT 'too-few' AS violation, CAST(count(*) < {targets.LEAST} AS BIGINT) AS n FROM t UNION ALL SELECT 'duplicate-url', count(*) FILTER (WHERE dup) FROM t UNION ALL SELECT 'not-https', count(*) FILTER (WHERE NOT starts_with(url, 'https://')) FROM t
+ UNION ALL SELECT 'unknown-category', count(*) FILTER (WHERE category NOT IN {targets.CATEGORIES}) FROM t UNION ALL SELECT 'unknown-priority', count(*) FILTER (WHERE priority NOT IN {targets.PRIORITIES}) FROM t UNION ALL SELECT 'unknown-frequency', count(*) FILTER (WHERE frequency IS NULL OR frequency NOT IN {targets.FREQUENCIES}) FROM t)""")
+def crawl_target_constraints(spark, d):
+    """How often each constraint is broken, as observed by the pass that writes the table."""
+    told = targets.write_targets(table(spark, d, "crawl_targets"), new_path(spark, "targets"))
+    return spark.createDataFrame(list(told.items()), "violation string, n long")
+
+
+@query(f"""WITH {TARGETS} SELECT url, category, priority, frequency, violation FROM (SELECT *, unnest([CASE WHEN dup THEN 'duplicate-url' END, CASE WHEN NOT starts_with(url, 'https://') THEN 'not-https' END, CASE WHEN category NOT IN {targets.CATEGORIES} THEN 'unknown-category' END,
+ CASE WHEN priority NOT IN {targets.PRIORITIES} THEN 'unknown-priority' END, CASE WHEN frequency IS NULL OR frequency NOT IN {targets.FREQUENCIES} THEN 'unknown-frequency' END]) AS violation FROM t) WHERE violation IS NOT NULL""")
+def crawl_target_violations(spark, d):
+    path = new_path(spark, "targets")
+    targets.write_targets(table(spark, d, "crawl_targets"), path)
+    return targets.violations(spark, path)
+
+
 @query(f"WITH RECURSIVE {o.refreshed()} SELECT chunk_id, url, CAST(chunk_index AS INTEGER) AS chunk_index, content_hash, crawled_at, created_at, {WIDTH} AS width FROM live")
 def refresh_index(spark, d):
     """A second snapshot over the chunks of the first, with vectors for what is new."""
@@ -488,6 +528,13 @@ def lint_issues(spark, d):
     return lint.lint(table(spark, d, "generated_files"))
 
 
+@query(f"""WITH files AS ({o.duck('generated_files')}), l AS (SELECT job_id, filename, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM files)
+ SELECT job_id, filename, line_no FROM l WHERE regexp_matches(regexp_replace(line, {o.q(packs.PLACEHOLDERS['field'])}, '', 'g'), 'customfield_[0-9]{{4,6}}')""")
+def raw_field_ids(spark, d):
+    """VAL_040 as it is meant: field ids outside of placeholders."""
+    return lint.lint(table(spark, d, "generated_files"), strict=False).where("code = 'VAL_040'").select("job_id", "filename", "line_no")
+
+
 @query(f"SELECT job_id, filename, sha256(regexp_replace(regexp_replace(content, '\\.getUsername\\s*\\(\\s*\\)', '.accountId', 'g'), '/rest/api/2/', '/rest/api/3/', 'g')) AS fixed_hash FROM ({o.duck('generated_files')})")
 def lint_fixes(spark, d):
     return lint.fixed_files(table(spark, d, "generated_files")).select("job_id", "filename", tx.fingerprint(F.col("content")).alias("fixed_hash"))
@@ -530,6 +577,19 @@ def stage_timings(spark, d):
     return telemetry.stage_timings(table(spark, d, "job_events"))
 
 
+#: A quantile from sketches may be off by this share of the ranks.
+RANK_ERROR = 0.01
+
+
+@query(f"SELECT stage, count(*) AS n, true AS within FROM ({o.duck('job_events')}) WHERE ms IS NOT NULL AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY stage")
+def stage_quantiles(spark, d):
+    """The 95th percentile of a month from hourly sketches, and whether its true rank is within the stated error."""
+    events = table(spark, d, "job_events").where("ms IS NOT NULL")
+    told = telemetry.window_quantiles(kept(telemetry.stage_sketches(events), "sketches"), "2024-01-01 00:00:00", "2024-02-01 00:00:00")
+    ranks = events.where("ts >= '2024-01-01' AND ts < '2024-02-01'").join(told.select("stage", "quantile_ms"), "stage").groupBy("stage").agg(F.avg((F.col("ms") < F.col("quantile_ms")).cast("int")).alias("low"), F.avg((F.col("ms") <= F.col("quantile_ms")).cast("int")).alias("high"))
+    return told.join(ranks, "stage").select("stage", "n", ((F.col("low") <= 0.95 + RANK_ERROR) & (F.col("high") >= 0.95 - RANK_ERROR)).alias("within"))
+
+
 STATUS = f"last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn FROM ({o.duck('job_events')})) WHERE rn = 1), status AS (SELECT job_id, seq, ts, stage, CASE stage " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in packs.JOB_PROGRESS.items()) + " END AS progress, stage IN ('completed', 'failed') AS is_terminal FROM last)"
 
 
@@ -556,11 +616,12 @@ KNOWN = " OR ".join(f"type = '{t}'" for t in packs.WORKFLOW_TYPES)
 
 
 @query(f"""SELECT workflow_id, concat('WF ', CAST(workflow_id AS VARCHAR)) AS workflow_name, action_name AS transition, 'Open' AS from_status, to_status, type, script, CASE WHEN type LIKE '%Validator' THEN 'validator' ELSE 'post-function' END AS module, 'groovy' AS language, 0 AS script_index,
- count(*) OVER (PARTITION BY workflow_id) AS total_scripts FROM ({o.duck('workflow_rows')}) WHERE {KNOWN}""")
+ concat('wf-', CAST(workflow_id AS VARCHAR), '-', lower(action_name), CASE WHEN type LIKE '%Validator' THEN '-validator' ELSE '-post-function' END, '-0.groovy') AS filename, count(*) OVER (PARTITION BY workflow_id) AS total_scripts FROM ({o.duck('workflow_rows')}) WHERE {KNOWN}""")
 def workflow_scripts(spark, d):
-    return workflow.scripts(table(spark, d, "workflow_exports")).select("workflow_id", "workflow_name", "transition", "from_status", "to_status", "type", "script", "module", "language", "script_index", "total_scripts")
+    return workflow.scripts(table(spark, d, "workflow_exports")).select("workflow_id", "workflow_name", "transition", "from_status", "to_status", "type", "script", "module", "language", "script_index", "total_scripts", "filename")
 
 
-@query(f"SELECT workflow_id, 'unknown-type' AS warning, type AS detail FROM ({o.duck('workflow_rows')}) WHERE NOT ({KNOWN})")
+@query(f"""SELECT workflow_id, 'unknown-type' AS warning, type AS detail FROM ({o.duck('workflow_rows')}) WHERE NOT ({KNOWN})
+ UNION ALL SELECT -1 - c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'no-actions' WHEN 1 THEN 'external-file' ELSE 'no-scripts' END, CASE WHEN c_custkey % 3 = 1 THEN '77' END FROM customer WHERE c_custkey % 10 = 0""")
 def workflow_warnings(spark, d):
     return workflow.warnings(table(spark, d, "workflow_exports"))

@@ -68,7 +68,7 @@ SELECT o_orderkey AS job_id, 'src/index.ts' AS filename, concat_ws(chr(10),
  CASE WHEN o_orderkey % 5 = 0 THEN 'await requestJira("/rest/api/2/issue/X");' END,
  CASE WHEN o_orderkey % 7 = 0 THEN 'while (true) {{ step(); }}' END,
  CASE o_orderkey % 23 WHEN 1 THEN 'ComponentAccessor' WHEN 2 THEN 'IssueManager' WHEN 3 THEN 'UserManager' WHEN 4 THEN 'GroupManager' WHEN 5 THEN 'new File("x")' WHEN 6 THEN 'ofBizDelegator'
-  WHEN 7 THEN 'getUserByName("a")' WHEN 8 THEN 'userKey = "b"' WHEN 9 THEN 'fetch("https://x.example.com")' WHEN 10 THEN 'maxResults = 5000' END) AS content
+  WHEN 7 THEN 'getUserByName("a")' WHEN 8 THEN 'userKey = "b"' WHEN 9 THEN 'fetch("https://x.example.com")' WHEN 10 THEN 'maxResults = 5000' WHEN 11 THEN 'const r = "customfield_10077";' END) AS content
 FROM orders
 UNION ALL
 SELECT o_orderkey, 'manifest.yml', concat_ws(chr(10), 'app:', CASE WHEN o_orderkey % 4 <> 0 THEN 'permissions:' END, 'modules:')
@@ -83,7 +83,10 @@ SELECT workflow_id, concat('<workflow name="WF ', CAST(workflow_id AS {S}), '"><
 FROM (SELECT workflow_id, action_id, concat('<action id="', CAST(action_id AS {S}), '" name="', action_name,
  '"><results><unconditional-result old-status="Open" status="', to_status, '"><post-functions><function type="', type,
  '"><arg name="script"><![CDATA[', script, ']]></arg></function></post-functions></unconditional-result></results></action>') AS a
- FROM ({workflow_rows}) r) t GROUP BY workflow_id"""
+ FROM ({workflow_rows}) r) t GROUP BY workflow_id
+UNION ALL SELECT -1 - c_custkey, concat('<workflow name="Odd ', CAST(c_custkey AS {S}), '">', CASE c_custkey % 3 WHEN 0 THEN ''
+ WHEN 1 THEN '<action id="1" name="T"><function type="com.onresolve.jira.groovy.GroovyFunctionPlugin"><arg name="FIELD_FUNCTION_ID">77</arg></function></action>'
+ ELSE '<action id="1" name="T"><function type="com.other.Plain"></function></action>' END, '</workflow>') FROM customer WHERE c_custkey % 10 = 0"""
 MAPPING_EVENTS = """
 SELECT event_id AS seq, ts, concat('job-', CAST(user_id AS {S})) AS session_id,
  CASE event_id % 3 WHEN 0 THEN 'field' WHEN 1 THEN 'group' ELSE 'user' END AS kind,
@@ -110,10 +113,15 @@ FROM pages WHERE page_id % 11 <> 0"""
 SCRIPTS_2 = """
 SELECT script_id, filename, CASE WHEN script_id % 100 = 0 THEN concat(content, chr(10), 'UserManager um') ELSE content END AS content FROM ({scripts}) s WHERE script_id % 100 <> 7
 UNION ALL SELECT script_id + 1000000000000, filename, content FROM ({scripts}) s WHERE script_id % 100 = 3"""
+CRAWL_TARGETS = """
+SELECT CASE WHEN page_id % 40 = 1 THEN replace(url, 'https:', 'ftp:') WHEN page_id % 50 = 2 THEN 'https://docs.example.com/start' ELSE replace(url, 'http:', 'https:') END AS url,
+ CASE page_id % 9 WHEN 0 THEN 'forge-api' WHEN 1 THEN 'rest-api-v3' WHEN 2 THEN 'scriptrunner-cloud' WHEN 3 THEN 'connect-api' WHEN 4 THEN 'forge-manifest' WHEN 5 THEN 'oauth-scopes' WHEN 6 THEN 'migration-guide' WHEN 7 THEN 'forge-api' ELSE CASE WHEN page_id % 5 = 0 THEN 'blog' ELSE 'rest-api-v3' END END AS category,
+ CASE page_id % 7 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN CASE WHEN page_id % 11 = 0 THEN 'urgent' ELSE 'low' END ELSE 'low' END AS priority, CASE page_id % 4 WHEN 0 THEN 'weekly' WHEN 1 THEN 'monthly' WHEN 2 THEN 'rarely' ELSE CASE WHEN page_id % 13 <> 0 THEN 'weekly' END END AS frequency
+FROM pages"""
 TEXTS = {
     "scripts": SCRIPTS, "scripts_2": SCRIPTS_2, "uploads": UPLOADS, "generated_files": GENERATED_FILES, "workflow_rows": WORKFLOW_ROWS,
     "workflow_exports": WORKFLOW_EXPORTS, "mapping_events": MAPPING_EVENTS, "catalogue": CATALOGUE, "job_events": JOB_EVENTS,
-    "snapshot_1": SNAPSHOT_1, "snapshot_2": SNAPSHOT_2,
+    "snapshot_1": SNAPSHOT_1, "snapshot_2": SNAPSHOT_2, "crawl_targets": CRAWL_TARGETS,
 }
 
 

@@ -1,10 +1,12 @@
 """Estate operators: literal fixtures, edge cases, invariants."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from estatelens.functions import text as tx
-from estatelens.operators import classify, findings, index, lint, mappings, readiness, retrieval, telemetry, templates, workflow
+from estatelens.operators import classify, findings, index, lint, mappings, readiness, retrieval, targets, telemetry, templates, workflow
 from estatelens.plans import rulepacks as packs
 from estatelens.sources import io
 
@@ -156,6 +158,21 @@ def test_chunks(spark):
     assert table.count() == table.select("chunk_id").distinct().count()
 
 
+@pytest.mark.parametrize("sep", ["\n\n", "\n"])
+def test_linear_cut_equals_the_fold(spark, sf, sep):
+    from estatelens.operators.chunker import cut, cut_documents
+
+    odd = ["", "  \n ", None, "a\n\n\n\nb", "\n\n" + "x" * 300, "```\n\n" + "y " * 300, "# H\n" + "z " * 200 + "\n## I\n\n\n" + "\n\n".join("w " * 40 for _ in range(9)), "\n# A\n# B", "é𝒳 " * 200]
+    given = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("url"), "text")
+    docs = given.unionByName(spark.createDataFrame([(f"odd{k}", t) for k, t in enumerate(odd)], "url string, text string"))
+    told = lambda df: sorted(map(str, df.collect()))
+    for most, overlap in ((50, 5), (7, 1)):
+        assert told(cut_documents(docs, most, overlap, sep)) == told(index.chunk_documents(docs, most, overlap, sep))
+    at = time.process_time()
+    assert len(cut("\n\n".join("word " * 30 for _ in range(140_000)), 500, 50, "\n\n")) > 5000  # 21 MB
+    assert time.process_time() - at < 10
+
+
 def snapshot(spark, rows, at):
     return spark.createDataFrame(rows, "url string, html string, status int").withColumn("crawled_at", F.to_timestamp(F.lit(at)))
 
@@ -183,6 +200,12 @@ def test_refresh_is_idempotent_and_keeps_vectors_of_unchanged_text(spark, tmp_pa
     assert rows["u1", 0].embedding is None and rows["u2", 0].embedding is not None and str(rows["u1", 0].created_at).startswith("2024-01-01")
     late, _ = index.refresh(v1, pages, second.where("url = 'u1'"), "2024-03-05 00:00:00")
     assert {r.url for r in late.collect()} == {"u1"}
+    # a page that has become empty loses its chunks
+    third = snapshot(spark, [("u1", "", 200), ("u2", "<p>stays</p>", 200)], "2024-01-09 00:00:00")
+    v3, report = index.refresh(v1, pages, third, "2024-01-10 00:00:00", embed)
+    assert {r.url for r in v3.collect()} == {"u2"}
+    r = report.first()
+    assert (r.skipped, r.chunks_created, r.chunks_skipped, r.chunks_embedded) == (1, 0, 1, 0)
 
 
 def events(spark, rows):
@@ -233,6 +256,60 @@ def test_lint(spark):
     assert got == {1: (False, 1, 2), 2: (False, 1, 0), 3: (False, 1, 0)}
 
 
+def test_raw_ids_in_both_spellings(spark):
+    lines = ['f("customfield_10001")', 'ATLAS_FIELD_ID("customfield_10001")', "customfield_1000)", "customfield_10001)", "x"]
+    files = spark.createDataFrame([(1, "a.ts", "\n".join(lines))], "job_id long, filename string, content string")
+    found = lambda strict: {r.line_no for r in lint.lint(files, strict).where("code = 'VAL_040'").collect()}
+    assert found(True) == {1, 2, 4} and found(False) == {1, 3, 4} and found(None) == {1, 2, 3, 4}
+
+
+def test_auto_map_equals_the_nested_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abAB ", k=rng.randint(0, 6)))
+    names = [(k, word()) for k in range(120)] + [(200, None), (201, ""), (202, "ünï x"), (203, "zz")]
+    cat = [(k, f"cf_{k}", word()) for k in range(60)] + [(70, "cf_70", "Ünï"), (71, "cf_71", None), (72, "other_1", "zz")]
+    for entries in (cat, [c for c in cat if (c[2] or "x").strip()], []):
+        got = mappings.auto_map(spark.createDataFrame(names, "server_id long, server_name string"), spark.createDataFrame(entries, "ord int, cloud_id string, name string"), "cf_").collect()
+        own = [c for c in entries if c[1].startswith("cf_")]
+        want = set()
+        for i, n in names:
+            key = n.strip(" ").lower() if n is not None else None
+            exact = [c for c in own if key is not None and c[2] is not None and c[2].strip(" ").lower() == key]
+            near = [c for c in own if key is not None and c[2] is not None and (key in c[2].lower() or c[2].lower() in key)]
+            best = min(exact or near, default=(0, None, None))
+            want.add((i, n, best[1], best[2], "exact" if exact else "fuzzy" if near else "none"))
+        assert {tuple(r) for r in got} == want and len(got) == len(names)
+
+
+def test_auto_map_has_no_nested_loop(spark):
+    names = spark.createDataFrame([(1, "a")], "server_id long, server_name string")
+    cat = spark.createDataFrame([(1, "cf_1", "b")], "ord int, cloud_id string, name string")
+    plan = mappings.containing(names.select(F.col("server_name").alias("needle")), cat.select(F.col("name").alias("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_targets(spark, tmp_path):
+    good = [(f"https://x/{k}", "forge-api", "high", "weekly") for k in range(20)]
+    frame = lambda rows: spark.createDataFrame(rows, "url string, category string, priority string, frequency string")
+    assert set(targets.write_targets(frame(good), str(tmp_path / "a")).values()) == {0} and targets.accepted(spark, str(tmp_path / "a")).count() == 20
+    bad = [*good[:3], good[0], ("http://y", "blog", "urgent", None), (None, None, None, None)]
+    told = targets.write_targets(frame(bad), str(tmp_path / "b"))
+    assert told == {"too-few": 1, "duplicate-url": 1, "not-https": 2, "unknown-category": 2, "unknown-priority": 2, "unknown-frequency": 2}
+    assert targets.violations(spark, str(tmp_path / "b")).count() == 9 and targets.accepted(spark, str(tmp_path / "b")).count() == 3
+    assert targets.write_targets(frame([]), str(tmp_path / "c"))["too-few"] == 1
+
+
+def test_quantiles_from_sketches(spark):
+    rows = spark.range(200_000).select(F.expr("'s' || id % 2").alias("stage"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 10).alias("ts"), (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1000.0).alias("ms"))
+    sketches = telemetry.stage_sketches(rows.unionByName(rows.limit(5).withColumn("ms", F.lit(None).cast("double"))))
+    for since, until in (("2024-01-01 00:00:00", "2024-02-01 00:00:00"), ("2024-01-03 05:00:00", "2024-01-03 09:00:00")):
+        for r in telemetry.window_quantiles(sketches, since, until).collect():
+            own = rows.where((F.col("stage") == r.stage) & (F.col("ts") >= since) & (F.col("ts") < until))
+            assert r.n == own.count() and abs(own.where(F.col("ms") <= r.quantile_ms).count() / r.n - 0.95) < 0.01
+
+
 def test_retrieval(spark):
     import numpy as np
 
@@ -303,9 +380,9 @@ def test_workflow_scripts_and_warnings(spark):
 
 
 def test_xml_entities(spark):
-    rows = ["a &amp;lt; b", "&#65;&#8364;&#65;", "&lt;x&gt; &quot;&apos;", "&#65601;", "plain", ""]
+    rows = ["a &amp;lt; b", "&#38;#65;", "&#65;&#8364;&#65;", "&lt;x&gt; &quot;&apos;", "&#65601;", "plain", ""]
     got = [r.d for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").orderBy("k").select(workflow.decoded(F.col("t")).alias("d")).collect()]
-    assert got == ["a < b", "A€A", "<x> \"'", "A", "plain", ""]
+    assert got == ["a < b", "&#65;", "A€A", "<x> \"'", "A", "plain", ""]
     groovy = "com.onresolve.jira.groovy.GroovyFunctionPlugin"
     xml = f'<workflow name="w"><action name="a"><function type="{groovy}"><arg name="script">\n <![CDATA[  x &lt; &#66;  ]]> </arg></function></action></workflow>'
     assert workflow.scripts(spark.createDataFrame([(1, xml)], "workflow_id long, xml string")).first().script == "x < B"
