@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialize, parallelism
+from .common import gapless_rank, materialize, tasks_for
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -138,7 +138,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         base += times
     table = {n: tuple(np.array(column, np.int64) for column in zip(*rows, strict=True)) for n, rows in slots.items()}
     sent = spark.sparkContext.broadcast(table)
-    ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece"], "_rank", max(8, parallelism(spark)))
+    held = 4 * int((counts * np.arange(capacity + 1)).sum())  # bytes of all ids: one length may have most of them
+    ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece"], "_rank", tasks_for(spark, held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parallelism, shared_dir
+from .common import materialize, parallelism, shared_dir
 from .tokens import encoder, vocabulary_path
 
 MAGIC = b"DAC1"
@@ -41,6 +41,8 @@ END_ID = 2
 PART_BYTES = 64 << 20
 #: Parts whose sums one task adds up.
 PARTS_AT_ONCE = 1000
+#: Parts whose starts are sent to all tasks; those of more parts are joined by shuffles.
+SMALL = 100_000
 SEGMENTS = "part int, piece int, part_start long, n_ids long, image binary, doc_ids array<long>, lengths array<long>"
 
 
@@ -158,8 +160,8 @@ def segments_with_starts(spark: SparkSession, path: str) -> DataFrame:
     """The segments with ``start``, the number of ids before each.
 
     A segment knows how many ids of its part stand before it; the ids of the parts before are
-    summed over a row for each task of the write, and sent to where the segments lie. Images
-    do not move.
+    summed over a row for each task of the write, and sent to where the segments lie, unless there
+    are more than ``SMALL`` of them. Until then images do not move.
     """
     table = spark.read.schema(SEGMENTS).parquet(path)
     totals = table.groupBy("part").agg(F.sum("n_ids").alias("ids"))
@@ -167,8 +169,10 @@ def segments_with_starts(spark: SparkSession, path: str) -> DataFrame:
     within = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for a thousand parts
     of_blocks = blocks.groupBy("block").agg(F.sum("ids").alias("ids")).select("block", F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("block_start"))
-    starts = blocks.join(F.broadcast(of_blocks), "block").select("part", (F.col("block_start") + F.coalesce(F.sum("ids").over(within), F.lit(0))).alias("before"))
-    return table.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
+    starts = blocks.join(of_blocks, "block").select("part", (F.col("block_start") + F.coalesce(F.sum("ids").over(within), F.lit(0))).alias("before"))
+    starts = materialize(starts, "starts")
+    starts = F.broadcast(starts) if starts.count() <= SMALL else starts
+    return table.join(starts, "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
 
 
 def _read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
