@@ -53,9 +53,30 @@ def hits(scripts: DataFrame, kinds: tuple[str, ...] = ALL) -> DataFrame:
     return may.where(matches(text)).groupBy("script_id").agg(F.collect_set("number").alias("hits"))
 
 
+#: What hits are counted for; a count takes ``BITS`` bits, and a 64-bit number holds ``EACH`` counts.
+GROUPS = list(dict.fromkeys((rule.kind, rule.name, rule.part) for rule in RULES))
+BITS, EACH = 6, 10
+
+
+def packed() -> dict[str, Column]:
+    """The counts of all groups from the column ``hits``, ``EACH`` to a column: each hit adds one at its group's bits."""
+    out = {}
+    for k in range(0, len(GROUPS), EACH):
+        place = {group: 1 << BITS * j for j, group in enumerate(GROUPS[k : k + EACH])}
+        ones = F.array(*[F.lit(place.get((rule.kind, rule.name, rule.part), 0)).cast("long") for rule in RULES])
+        out[f"_counts_{k // EACH}"] = F.aggregate("hits", F.lit(0).cast("long"), _adding(ones))
+    return out
+
+
+def _adding(ones: Column):
+    return lambda total, rule: total + F.element_at(ones, rule + 1)
+
+
 def count(kind: str, name: str, part: str = "") -> Column:
-    own = [F.lit(k) for k, rule in enumerate(RULES) if (rule.kind, rule.name, rule.part) == (kind, name, part)]
-    return F.size(F.array_intersect("hits", F.array(*own))) if own else F.lit(0)
+    if (kind, name, part) not in GROUPS:
+        return F.lit(0)
+    k, j = divmod(GROUPS.index((kind, name, part)), EACH)
+    return F.shiftright(f"_counts_{k}", BITS * j).bitwiseAND((1 << BITS) - 1).cast("int")
 
 
 def _language_score(language: str) -> Column:
@@ -84,7 +105,9 @@ SCORES = {
 def scored(scripts: DataFrame, *kinds: str) -> DataFrame:
     """Every script, without its content, with the score columns of these kinds."""
     rows = scripts.drop("content").join(hits(scripts, kinds or ALL), "script_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
-    return rows.withColumns({name: column for kind in kinds or ALL for name, column in SCORES[kind]().items()}).drop("hits")
+    counted = rows.withColumns(packed()).drop("hits")
+    scores = counted.withColumns({name: column for kind in kinds or ALL for name, column in SCORES[kind]().items()})
+    return scores.drop(*[c for c in scores.columns if c.startswith("_counts_")])
 
 
 def _first_best(columns: dict[str, str]) -> Column:
