@@ -53,6 +53,11 @@ def test_candidates_hold_all_matches_and_follow_the_texts(spark, sf):
     assert pairs.count() < 3 * plain.count() and pairs.count() < lines.count() * len(FOUND) / 20
 
 
+def test_counts_fit_their_bits():
+    sizes = [sum((r.kind, r.name, r.part) == g for r in classify.RULES) for g in classify.GROUPS]
+    assert max(sizes) < 1 << classify.BITS and classify.BITS * classify.EACH < 64
+
+
 def test_rules_without_words_nulls_and_large_dictionaries(spark, monkeypatch):
     from estatelens.functions import rule_index
 
