@@ -85,11 +85,14 @@ class RuleIndex:
         held = F.flatten(F.transform(F.filter(words, lambda w: F.contains(F.col("run"), w["word"])), lambda w: w["rules"]))
         return runs.select("run", F.array_distinct(held).alias("rules")).where(F.size("rules") > 0)
 
-    def candidates(self, texts: DataFrame, text: str) -> DataFrame:
-        """``texts`` with a column ``rule``: a row for each rule that may match; the same pair may come more than once."""
+    def candidates(self, texts: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame:
+        """``texts`` with a column ``rule``: a row for each rule that may match; the same pair may come more than once.
+
+        ``known`` is a stored dictionary of these texts, where there is one already (``dictionaries``).
+        """
         found = []
         if self.by_word:
-            known = kept(self.dictionary(texts, text), "dictionary")
+            known = kept(self.dictionary(texts, text), "dictionary") if known is None else known
             known = F.broadcast(known) if known.count() <= SMALL else known
             runs = texts.select("*", F.explode(self._runs(text)).alias("run"))
             found.append(runs.join(known, "run").select(*texts.columns, F.explode("rules").alias("rule")))
@@ -106,6 +109,25 @@ class RuleIndex:
         return F.broadcast(texts.sparkSession.createDataFrame(told, f"rule int, pattern string, plain boolean, {columns}"))
 
 
+def dictionaries(texts: DataFrame, text: str, indexes: list[RuleIndex]) -> list[DataFrame]:
+    """The dictionaries of several indexes over the same texts, from one pass over these."""
+    joint = kept(RuleIndex([p for index in indexes for p in index.patterns]).dictionary(texts, text), "dictionary")
+    out, first = [], 0
+    for index in indexes:
+        own = F.filter("rules", _between(first, first + len(index.patterns)))
+        out.append(joint.select("run", F.transform(own, _less(first)).alias("rules")).where(F.size("rules") > 0))
+        first += len(index.patterns)
+    return out
+
+
+def _between(low: int, high: int):
+    return lambda rule: (rule >= low) & (rule < high)
+
+
+def _less(first: int):
+    return lambda rule: rule - first
+
+
 def matches(text: Column) -> Column:
     """Whether the row's pattern matches the text."""
     return F.when(F.col("plain"), F.contains(text, F.col("pattern"))).otherwise(F.rlike(text, F.col("pattern")))

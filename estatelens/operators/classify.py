@@ -40,15 +40,19 @@ RULES = (
 )
 
 
-def hits(scripts: DataFrame, kinds: tuple[str, ...] = ALL) -> DataFrame:
+def rule_index(kinds: tuple[str, ...] = ALL) -> RuleIndex:
+    return RuleIndex([rule.pattern for rule in RULES if rule.kind in kinds])
+
+
+def hits(scripts: DataFrame, kinds: tuple[str, ...] = ALL, known: DataFrame | None = None) -> DataFrame:
     """(script_id, hits): the numbers, in ``RULES``, of the rules of these kinds that match the content; no row where none does.
 
     Languages look at the content without white space at its ends.
     """
     numbers = [k for k, rule in enumerate(RULES) if rule.kind in kinds]
-    index = RuleIndex([RULES[k].pattern for k in numbers])
+    index = rule_index(kinds)
     told = index.rules(scripts, "number int, on_body boolean", [(k, RULES[k].kind == "language") for k in numbers])
-    may = index.candidates(scripts.select("script_id", "content"), "content").join(told, "rule")
+    may = index.candidates(scripts.select("script_id", "content"), "content", known).join(told, "rule")
     text = F.when(F.col("on_body"), trimmed(F.col("content"))).otherwise(F.col("content"))
     return may.where(matches(text)).groupBy("script_id").agg(F.collect_set("number").alias("hits"))
 
@@ -102,9 +106,9 @@ SCORES = {
 }
 
 
-def scored(scripts: DataFrame, *kinds: str) -> DataFrame:
+def scored(scripts: DataFrame, *kinds: str, known: DataFrame | None = None) -> DataFrame:
     """Every script, without its content, with the score columns of these kinds."""
-    rows = scripts.drop("content").join(hits(scripts, kinds or ALL), "script_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
+    rows = scripts.drop("content").join(hits(scripts, kinds or ALL, known), "script_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
     counted = rows.withColumns(packed()).drop("hits")
     scores = counted.withColumns({name: column for kind in kinds or ALL for name, column in SCORES[kind]().items()})
     return scores.drop(*[c for c in scores.columns if c.startswith("_counts_")])

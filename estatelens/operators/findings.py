@@ -12,24 +12,29 @@ from pyspark.sql.window import Window
 from ..functions.rule_index import RuleIndex
 from ..plans import rulepacks as packs
 
+
 def explode_lines(scripts: DataFrame, key: str = "script_id") -> DataFrame:
     lines = scripts.select(key, F.posexplode(F.split("content", "\n", -1)).alias("at", "line"))
     return lines.select(key, (F.col("at") + 1).alias("line_no"), "line")
 
 
-def candidates(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
+def rule_index(families: list[str] | None = None) -> RuleIndex:
+    return RuleIndex([pattern for f in families or packs.FAMILIES for pattern, _, _ in packs.FAMILIES[f]])
+
+
+def candidates(scripts: DataFrame, families: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """(script_id, line_no, line, family, rule_ord, pattern, grp, attr): lines with the rules that may match, by the words that they hold."""
     rules = [(f, k, *rule) for f in families or packs.FAMILIES for k, rule in enumerate(packs.FAMILIES[f], 1)]
-    index = RuleIndex([pattern for _, _, pattern, _, _ in rules])
+    index = rule_index(families)
     told = index.rules(scripts, "family string, rule_ord int, grp int, attr string", [(f, k, group, attr) for f, k, _, group, attr in rules])
-    return index.candidates(explode_lines(scripts), "line").join(told, "rule").drop("rule", "plain")
+    return index.candidates(explode_lines(scripts), "line", known).join(told, "rule").drop("rule", "plain")
 
 
-def _all_hits(scripts: DataFrame, families: list[str] | None) -> DataFrame:
+def _all_hits(scripts: DataFrame, families: list[str] | None, known: DataFrame | None = None) -> DataFrame:
     """Every finding, some of them more than once."""
     line = F.col("line")
     both = F.arrays_zip(F.regexp_extract_all(line, F.col("pattern"), F.lit(0)).alias("raw"), F.regexp_extract_all(line, F.col("pattern"), F.col("grp")).alias("entity"))
-    found = candidates(scripts, families).select("script_id", "line_no", "line", "family", "rule_ord", "attr", F.posexplode(both).alias("pos", "h")).select("*", "h.raw", "h.entity")
+    found = candidates(scripts, families, known).select("script_id", "line_no", "line", "family", "rule_ord", "attr", F.posexplode(both).alias("pos", "h")).select("*", "h.raw", "h.entity")
     http = F.col("family") == "http"
     local = F.col("entity").rlike("(?i)/rest/api/") | F.col("entity").rlike(r"localhost|127\.0\.0\.1")
     found = found.where(~(http & local))
@@ -58,8 +63,9 @@ def dedupe_first(found: DataFrame) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
-def findings(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
-    return dedupe_first(_all_hits(scripts, families))  # what comes twice goes as well
+def findings(scripts: DataFrame, families: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Per script, family and raw expression the first finding; ``known`` is a dictionary of the scripts' words, if there is one."""
+    return dedupe_first(_all_hits(scripts, families, known))  # what comes twice goes as well
 
 
 def deprecated_uses(found: DataFrame) -> DataFrame:
