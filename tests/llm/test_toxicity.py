@@ -51,6 +51,15 @@ def test_clauses(text, kind):
     assert [k for k, _ in toxicity.Grammar({"foolio": 8.0}).attacks(text)] == [kind]
 
 
+def test_equally_strong_clauses_score_alike():
+    grammar = toxicity.Grammar({"foolio": 8.0, "barrio": 8.0})
+    one = grammar.score("you foolio")
+    assert one == grammar.score("you barrio. you foolio") == grammar.score("you foolio. you foolio! you barrio") == grammar.score("you foolio barrio foolio")
+    # in a clause the first of equal insults counts, between clauses of equal weight the kind of the higher factor
+    assert grammar.attacks("barrio, not foolio") == [("insult", 8.0)] and grammar.attacks("not foolio barrio") == [("negated insult", 8.0)]
+    assert grammar.score("not foolio. foolio") == grammar.score("foolio. not foolio") == grammar.score("foolio")
+
+
 def test_edges(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(20 + k, 1, k % 2) for k in range(40)] * 2, "doc_id long, quality int, toxic int")
