@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parallelism
+
 K, WINDOW = 12, 12
 HASH_BITS = 48
 #: Code points whose rows a task gives back at a time.
 BATCH_CHARS = 1 << 20
 #: Parts that a task sorts, on average: ids are dealt to tasks by hash of their part.
 PARTS_PER_TASK = 4
+#: Bytes of text in a part, on average, at most.
+PART_BYTES = 128 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 COLUMNS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -153,43 +157,61 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(rows)
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
+def _parts(splits: np.ndarray, hash_splits: np.ndarray):
+    """Parts of rows: they count from the largest ids down; rows without an id follow, from the smallest text hashes up."""
+
+    def parts(known: pd.Series, key: pd.Series) -> np.ndarray:
+        by_id = splits.size - np.searchsorted(splits, key, side="left")
+        by_hash = splits.size + 1 + np.searchsorted(hash_splits, key, side="right")
+        return np.where(known, by_id, by_hash).astype(np.int32)
+
+    return parts
+
+
+def compare_with_edits(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Fingerprints of each text of ``docs`` (doc_id, text, ...) and of its edited text, and their likeness.
 
-    The next document is the one of the next lower doc_id, after the last the first. Ids taken from
-    the table cut it into parts of about equal counts; each part is sorted in one task, and the
-    row that heads a part is also sent to the part before, so texts move once. The ids of the
-    cuts, a few for each task, are all that the driver sees. A null text is the empty text. Equal
-    ids follow one another by text hash, null ids come last; a lone document is its own next.
-    Other columns are dropped; an empty table gives an empty result.
+    The next document is the one of the next lower doc_id, after the last the first. Splits near
+    quantiles of the ids cut the table into parts of about ``part_bytes``, or into a few for each
+    task; each part is sorted in one task, and the row that heads a part is also sent to the part
+    before, so texts move once. The splits and one row for each part are all that the driver sees.
+    A null text is the empty text. Equal ids follow one another by text hash, null ids come last, in
+    the order of their text hashes, by which they are cut into parts too; a lone document is its own
+    next. Other columns are dropped; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = PARTS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [(k + 1) / parts for k in range(parts)]
-    cuts = rows.agg(F.percentile_approx("doc_id", shares, 20 * parts).alias("ids"), F.max("doc_id").alias("top")).first()
-    heads = np.array(sorted({*(cuts["ids"] or []), *([] if cuts["top"] is None else [cuts["top"]])}), np.int64)
-    n = max(1, heads.size)
+    unknown = F.col("doc_id").isNull()
+    size, nulls = rows.agg(F.sum(F.octet_length("text")), F.count_if(unknown)).first()
+    parts = max(PARTS_PER_TASK * parallelism(spark), -(-(size or 0) // part_bytes))
+    shares = [(k + 1) / parts for k in range(parts - 1)] or [0.5]
+    quantiles = lambda c: F.percentile_approx(c, shares, max(10_000, 4 * parts))
+    # without null ids the text is not read for a hash of it
+    keyed = rows.select("doc_id", "text", (~unknown).alias("known"), F.coalesce("doc_id", F.xxhash64("text")).alias("key") if nulls else F.col("doc_id").alias("key"))
+    found = keyed.agg(quantiles(F.when(F.col("known"), F.col("key"))), quantiles(F.when(~F.col("known"), F.col("key")))).first()
+    splits, hash_splits = (np.array(sorted(set(c or [])), np.int64) for c in found)
+    parts_of = _parts(splits, hash_splits)
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        """Parts count from the largest ids; part k has the ids from its head down to the next head."""
-        known = ids.notna().to_numpy()
-        at = np.full(len(ids), n - 1, np.int32)
-        at[known] = n - 1 - np.searchsorted(heads, ids[known].astype("int64"), side="left")
-        return pd.Series(at)
-
-    @F.pandas_udf("boolean")
-    def is_head(ids: pd.Series) -> pd.Series:
-        if not heads.size:
-            return pd.Series(np.ones(len(ids), bool))
-        return ids.notna() & ids.isin(heads)
-
-    placed = rows.select("doc_id", "text", part_of("doc_id").alias("own"), is_head("doc_id").alias("heads_part"))
-    own = F.struct(F.col("own").alias("part"), F.lit(False).alias("head"))
-    before = F.struct(F.pmod(F.col("own") - 1, F.lit(n)).alias("part"), F.lit(True).alias("head"))
-    sent = placed.select("doc_id", "text", F.explode(F.when(F.col("heads_part"), F.array(own, before)).otherwise(F.array(own))).alias("to"))
-    sent = sent.select("to.part", "to.head", "doc_id", "text").repartition(parts // PARTS_PER_TASK, "part")
+    def part_of(known: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series(parts_of(known, key))
+
+    ends = keyed.groupBy(part_of("known", "key").alias("own"), "known").agg(F.max("key").alias("top"), F.min("key").alias("bottom")).collect()  # a row for each part
+    there = np.array(sorted(r["own"] for r in ends), np.int64)
+    earlier = np.full(splits.size + hash_splits.size + 2, -1, np.int32)
+    earlier[there] = np.roll(there, 1)
+    top, bottom = np.array([r["top"] for r in ends if r["known"]], np.int64), np.array([r["bottom"] for r in ends if not r["known"]], np.int64)
+
+    @F.pandas_udf("own int, before int, heads boolean")
+    def place(known: pd.Series, key: pd.Series) -> pd.DataFrame:
+        own = parts_of(known, key)
+        return pd.DataFrame({"own": own, "before": earlier[own], "heads": np.where(known, np.isin(key, top), np.isin(key, bottom))})
+
+    to = lambda part, head: F.struct(F.col(f"at.{part}").alias("part"), F.lit(head).alias("head"))
+    placed = keyed.select("doc_id", "text", place("known", "key").alias("at"))
+    both = F.when(F.col("at.heads"), F.array(to("own", False), to("before", True))).otherwise(F.array(to("own", False)))
+    sent = placed.select("doc_id", "text", F.explode(both).alias("to"))
+    sent = sent.select("to.part", "to.head", "doc_id", "text").repartition(-(-parts // PARTS_PER_TASK), "part")
     ordered = sent.sortWithinPartitions("part", "head", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     return ordered.mapInArrow(_compare, RESULT)
 

@@ -679,3 +679,22 @@ def test_fingerprints_of_repeats_and_few_rows(spark):
     assert len(lone) == 1 and lone[0]["near_next"] == 1.0
     nameless = spark.createDataFrame([(None, "a b c"), (None, "d e f")], "doc_id long, text string")
     assert winnowing.compare_with_edits(nameless).count() == 2
+
+
+def test_fingerprints_of_many_parts_large_ids_and_rows_without_an_id(spark):
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choices("abcde \u00e4", k=rng.randrange(0, 120)))
+    # ids next to one another beyond what a double tells apart
+    ids = [(1 << 62) + k for k in range(150)] + [-(1 << 62) + 3 * k for k in range(150)] + list(range(50))
+    rows = [(i, text()) for i in ids] + [(None, f"{k} {text()}") for k in range(250)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    expected = []
+    for (doc, own), (_, following) in zip(order, [*order[1:], order[0]], strict=True):
+        cut = len(own) // 3
+        changed = own[: len(own) - cut] + following[:cut]
+        expected.append((doc is None, doc or 0, hashlib.sha256(changed.encode()).hexdigest()))
+    got = [(r["doc_id"] is None, r["doc_id"] or 0, r["edited_sha256"]) for r in winnowing.compare_with_edits(docs, part_bytes=500).collect()]
+    assert sorted(got) == sorted(expected)
