@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes of an Arrow batch of whole texts, about, at most; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +30,16 @@ def let_workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Let bytes bound the Arrow batches of whole texts, unless the session has a bound of its own.
+
+    Spark's own bound of 64 MB is reserved several times over for each task, in the executor and its Python worker.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

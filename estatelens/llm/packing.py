@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, materialize, tasks_for
+from .common import batches_by_bytes, gapless_rank, materialize, tasks_for
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
 #: Bytes of ids that a task gives back at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def fill(counts: np.ndarray) -> list[tuple[list[int], int]]:
@@ -112,6 +112,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     A null text is the empty text, one piece of the end id alone. Repeated rows give pieces of
     their own, null ids stay null, other columns are dropped; an empty table gives no pieces.
     """
+    batches_by_bytes(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_pieces(vocabulary or vocabulary_path(), end_id, capacity), "doc_id long, piece int, start long, length long, ids binary")
 

@@ -5,13 +5,14 @@ import string
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from estatelens.llm import packing, token_store, tokens
-from estatelens.llm.common import read
+from estatelens.llm.common import BATCH_BYTES, read
 
 
 def library(name=tokens.VOCABULARY):
@@ -89,3 +90,18 @@ def test_files_of_several_segments_and_parts(spark, monkeypatch):
     got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_store.read_token_files(spark, path).collect())
     assert [d for _, d, _ in got] == list(range(300))
     assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:], strict=False)) and got[0][0] == 0
+
+
+def test_batches_of_whole_texts_are_bounded_in_bytes(spark):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 200000) AS text")
+    packing.token_pieces(docs)
+    assert int(spark.conf.get(bound).rstrip("b")) == BATCH_BYTES
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r["n"] for r in sizes) < BATCH_BYTES + 2_000_000
+    assert packing.token_pieces(docs).agg({"length": "sum"}).first()[0] == 40 * 200_001
+    spark.conf.unset(bound)
+    spark.conf.set(bound, 1 << 20)
+    packing.token_pieces(docs)
+    assert int(spark.conf.get(bound).rstrip("b")) == 1 << 20
+    spark.conf.unset(bound)
