@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +41,11 @@ def batches_by_bytes(spark: SparkSession) -> None:
         spark.conf.set(bound, BATCH_BYTES)
 
 
+def give_back() -> None:
+    """Return what Arrow holds but no longer uses: an idle Python worker keeps it else, beside the executor's next stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, gapless_rank, materialize, tasks_for
+from .common import batches_by_bytes, gapless_rank, give_back, materialize, tasks_for
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -100,8 +100,10 @@ def _pieces(path: str, end_id: int, capacity: int):
                 if held >= BATCH_BYTES:
                     yield _piece_batch(rows)
                     rows, held = [], 0
+            give_back()
         if rows:
             yield _piece_batch(rows)
+        give_back()
 
     return run
 
@@ -155,6 +157,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[rows] = bases[at] + within // each[at]
                 offset[rows] = offsets[at] + within % each[at] * n
             kept = [c for c in batch.schema.names if c != "_rank"]
+            give_back()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
