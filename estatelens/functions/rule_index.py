@@ -9,6 +9,7 @@ what texts hold, not the number of rules.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from re import _constants, _parser
 
@@ -19,7 +20,11 @@ from ..sources.tables import kept
 
 #: Entries of a dictionary that are sent to all tasks; a larger one is joined by shuffles.
 SMALL = 20_000
+#: Bytes of lines that are sent to all tasks.
+SMALL_BYTES = 16 << 20
 _REPEATS = (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT)
+#: Parts that look at what stands around a match, or are not looked into.
+_AROUND = (_constants.ASSERT, _constants.ASSERT_NOT, _constants.GROUPREF_EXISTS, _constants.ATOMIC_GROUP)
 #: Characters that have a meaning in patterns.
 _SPECIAL = set(r"\.^$*+?{}[]|()")
 
@@ -85,14 +90,11 @@ class RuleIndex:
         held = F.flatten(F.transform(F.filter(words, lambda w: F.contains(F.col("run"), w["word"])), lambda w: w["rules"]))
         return runs.select("run", F.array_distinct(held).alias("rules")).where(F.size("rules") > 0)
 
-    def candidates(self, texts: DataFrame, text: str, known: DataFrame | None = None) -> DataFrame:
-        """``texts`` with a column ``rule``: a row for each rule that may match; the same pair may come more than once.
-
-        ``known`` is a stored dictionary of these texts, where there is one already (``dictionaries``).
-        """
+    def candidates(self, texts: DataFrame, text: str) -> DataFrame:
+        """``texts`` with a column ``rule``: a row for each rule that may match; the same pair may come more than once."""
         found = []
         if self.by_word:
-            known = kept(self.dictionary(texts, text), "dictionary") if known is None else known
+            known = kept(self.dictionary(texts, text), "dictionary")
             known = F.broadcast(known) if known.count() <= SMALL else known
             runs = texts.select("*", F.explode(self._runs(text)).alias("run"))
             found.append(runs.join(known, "run").select(*texts.columns, F.explode("rules").alias("rule")))
@@ -109,23 +111,91 @@ class RuleIndex:
         return F.broadcast(texts.sparkSession.createDataFrame(told, f"rule int, pattern string, plain boolean, {columns}"))
 
 
-def dictionaries(texts: DataFrame, text: str, indexes: list[RuleIndex]) -> list[DataFrame]:
-    """The dictionaries of several indexes over the same texts, from one pass over these."""
-    joint = kept(RuleIndex([p for index in indexes for p in index.patterns]).dictionary(texts, text), "dictionary")
-    out, first = [], 0
-    for index in indexes:
-        own = F.filter("rules", _between(first, first + len(index.patterns)))
-        out.append(joint.select("run", F.transform(own, _less(first)).alias("rules")).where(F.size("rules") > 0))
-        first += len(index.patterns)
-    return out
+def distinct_lines(texts: DataFrame, text: str) -> DataFrame:
+    """(line): the different lines of all texts, stored. Estates repeat most of their lines, so rules are asked of each once."""
+    return kept(texts.select(F.explode(F.split(text, "\n", -1)).alias("line")).distinct(), "lines")
+
+
+def sent(book: DataFrame) -> DataFrame:
+    """What is told of lines, as a side of a join by line: for all tasks if it is small, else left to shuffles."""
+    size = book.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line")).alias("bytes")).first()
+    return F.broadcast(book) if size["n"] <= SMALL and (size["bytes"] or 0) <= SMALL_BYTES else book
+
+
+@lru_cache(maxsize=None)
+def may_cross(pattern: str) -> bool:
+    """Whether a match might need more than one line: it may hold a line feed, or looks at what stands around it."""
+    told = _parser.parse(pattern)
+    return _crosses(told, bool(told.state.flags & re.DOTALL))
+
 
+@lru_cache(maxsize=None)
+def is_local(pattern: str) -> bool:
+    """Whether a match within a line is one within the text: nothing but word and line boundaries is looked at around it."""
+    told = _parser.parse(pattern)
+    allowed = {_constants.AT_BOUNDARY, _constants.AT_NON_BOUNDARY}
+    if told.state.flags & re.MULTILINE:
+        allowed |= {_constants.AT_BEGINNING, _constants.AT_END}
+    return all(kind not in _AROUND and (kind is not _constants.AT or what in allowed) for kind, what in _parts(told))
 
-def _between(low: int, high: int):
-    return lambda rule: (rule >= low) & (rule < high)
+
+@lru_cache(maxsize=None)
+def needed(pattern: str) -> tuple[str, ...]:
+    """Texts that every match holds, all of them, as they are written; none for patterns that do not tell cases apart."""
+    told = _parser.parse(pattern)
+    return () if told.state.flags & re.IGNORECASE else tuple(dict.fromkeys(_needed(told)))
 
 
-def _less(first: int):
-    return lambda rule: rule - first
+def _needed(parts) -> list[str]:
+    found, run = [], ""
+    for kind, told in [*parts, (None, None)]:
+        if kind is _constants.LITERAL:
+            run += chr(told)
+            continue
+        if run:
+            found.append(run)
+            run = ""
+        if kind is _constants.SUBPATTERN and not told[1]:  # one with flags of its own tells nothing
+            found += _needed(told[3])
+        elif kind in _REPEATS and told[0] > 0:
+            found += _needed(told[2])
+    return found
+
+
+def _parts(parts):
+    """All parts of a parsed pattern, at any depth."""
+    for kind, told in parts:
+        yield kind, told
+        if kind is _constants.SUBPATTERN:
+            yield from _parts(told[3])
+        elif kind in _REPEATS:
+            yield from _parts(told[2])
+        elif kind is _constants.BRANCH:
+            for side in told[1]:
+                yield from _parts(side)
+
+
+def _crosses(parts, dot_all: bool) -> bool:
+    for kind, told in _parts(parts):
+        if kind in _AROUND or kind is _constants.ANY and dot_all:
+            return True
+        if kind is _constants.AT and told not in (_constants.AT_BOUNDARY, _constants.AT_NON_BOUNDARY):
+            return True
+        if kind is _constants.SUBPATTERN and told[1]:  # flags of its own
+            return True
+        if kind is _constants.LITERAL and told == 10 or kind is _constants.NOT_LITERAL and told != 10:
+            return True
+        if kind is _constants.IN:
+            negated = told[0][0] is _constants.NEGATE
+            if any(_has_line_feed(*x) for x in told if x[0] is not _constants.NEGATE) != negated:
+                return True
+    return False
+
+
+def _has_line_feed(kind, told) -> bool:
+    if kind is _constants.RANGE:
+        return told[0] <= 10 <= told[1]
+    return told == 10 if kind is _constants.LITERAL else told in (_constants.CATEGORY_SPACE, _constants.CATEGORY_NOT_DIGIT, _constants.CATEGORY_NOT_WORD)
 
 
 def matches(text: Column) -> Column:

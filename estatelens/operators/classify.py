@@ -12,9 +12,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rule_index import RuleIndex, matches
+from ..functions.rule_index import RuleIndex, distinct_lines, is_local, matches, may_cross, needed, sent
 from ..functions.text import trimmed
 from ..plans import rulepacks as packs
+from ..sources.tables import kept
 
 LANGUAGE_SCORES = {language: f"_language_{k}" for k, language in enumerate(packs.LANGUAGES)}
 MODULE_SCORES = {module: f"_module_{k}" for k, module in enumerate(packs.MODULES)}
@@ -39,22 +40,48 @@ RULES = (
     + [Rule("operation", "n_unmappable", "", p) for p, _ in packs.UNMAPPABLE]
 )
 
+#: Rules from 0 on that look at the content without white space at its ends.
+N_BODY = sum(rule.kind == "language" for rule in RULES)
+
 
 def rule_index(kinds: tuple[str, ...] = ALL) -> RuleIndex:
     return RuleIndex([rule.pattern for rule in RULES if rule.kind in kinds])
 
 
-def hits(scripts: DataFrame, kinds: tuple[str, ...] = ALL, known: DataFrame | None = None) -> DataFrame:
-    """(script_id, hits): the numbers, in ``RULES``, of the rules of these kinds that match the content; no row where none does.
+def of_lines(lines: DataFrame, kinds: tuple[str, ...] = ALL) -> DataFrame:
+    """(line, sure, maybe): numbers, in ``RULES``, of the rules that match every content with this line, and of those that its whole text decides.
 
-    Languages look at the content without white space at its ends.
+    Languages look at the content without white space at its ends, so for them a line that begins or
+    ends with some decides nothing. No row for lines that tell nothing.
     """
     numbers = [k for k, rule in enumerate(RULES) if rule.kind in kinds]
     index = rule_index(kinds)
-    told = index.rules(scripts, "number int, on_body boolean", [(k, RULES[k].kind == "language") for k in numbers])
-    may = index.candidates(scripts.select("script_id", "content"), "content", known).join(told, "rule")
-    text = F.when(F.col("on_body"), trimmed(F.col("content"))).otherwise(F.col("content"))
-    return may.where(matches(text)).groupBy("script_id").agg(F.collect_set("number").alias("hits"))
+    told = index.rules(lines, "number int, on_body boolean, is_local boolean, may_cross boolean", [(k, RULES[k].kind == "language", is_local(RULES[k].pattern), may_cross(RULES[k].pattern)) for k in numbers])
+    line = F.col("line")
+    may = index.candidates(lines, "line").distinct().join(told, "rule").withColumn("hit", matches(line))
+    sure = F.col("hit") & F.col("is_local") & (~F.col("on_body") | (line == trimmed(line)))
+    each = may.where("hit OR may_cross").select("line", "number", sure.alias("is_sure"))
+    of = lambda wanted: F.collect_list(F.when(wanted, F.col("number")))
+    return each.groupBy("line").agg(of(F.col("is_sure")).alias("sure"), of(~F.col("is_sure")).alias("maybe"))
+
+
+def hits(scripts: DataFrame, kinds: tuple[str, ...] = ALL, lines: DataFrame | None = None) -> DataFrame:
+    """Every script, without its content, with ``hits``: the numbers, in ``RULES``, of the rules of these kinds that match the content.
+
+    What one line decides is asked once for each different line; expressions run on whole contents
+    for the rest. ``lines`` are the stored different lines, where there are any already.
+    """
+    book = kept(of_lines(distinct_lines(scripts, "content") if lines is None else lines, kinds), "rules")
+    each = scripts.select("script_id", F.explode(F.split("content", "\n", -1)).alias("line")).join(sent(book), "line")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+    told = each.groupBy("script_id").agg(every("sure"), every("maybe")).withColumn("maybe", F.array_except("maybe", "sure"))
+    body, patterns = trimmed(F.col("content")), F.array(*[F.lit(rule.pattern) for rule in RULES])
+    text = lambda r: F.when(r < N_BODY, body).otherwise(F.col("content"))
+    needs = F.array(*[F.array(*map(F.lit, needed(rule.pattern))).cast("array<string>") for rule in RULES])
+    holds = lambda r: F.forall(F.element_at(needs, r + 1), lambda word: F.contains(F.col("content"), word))
+    asked = F.filter("maybe", lambda r: holds(r) & F.rlike(text(r), F.element_at(patterns, r + 1)))
+    found = F.when(F.size("maybe") > 0, F.concat("sure", asked)).otherwise(F.coalesce("sure", F.array().cast("array<int>")))
+    return scripts.join(told, "script_id", "left").withColumn("hits", found).drop("content", "sure", "maybe")
 
 
 #: What hits are counted for; a count takes ``BITS`` bits, and a 64-bit number holds ``EACH`` counts.
@@ -106,10 +133,9 @@ SCORES = {
 }
 
 
-def scored(scripts: DataFrame, *kinds: str, known: DataFrame | None = None) -> DataFrame:
+def scored(scripts: DataFrame, *kinds: str, lines: DataFrame | None = None) -> DataFrame:
     """Every script, without its content, with the score columns of these kinds."""
-    rows = scripts.drop("content").join(hits(scripts, kinds or ALL, known), "script_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
-    counted = rows.withColumns(packed()).drop("hits")
+    counted = hits(scripts, kinds or ALL, lines).withColumns(packed()).drop("hits")
     scores = counted.withColumns({name: column for kind in kinds or ALL for name, column in SCORES[kind]().items()})
     return scores.drop(*[c for c in scores.columns if c.startswith("_counts_")])
 

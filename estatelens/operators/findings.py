@@ -1,6 +1,6 @@
 """Rule-pack matching: scripts to lines to findings, one scan for all families.
 
-Rules meet lines by the words that both hold (``functions.rule_index``).
+Rules meet the different lines by the words that both hold (``functions.rule_index``).
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rule_index import RuleIndex
+from ..functions.rule_index import RuleIndex, distinct_lines, sent
 from ..plans import rulepacks as packs
+from ..sources.tables import kept
 
 
 def explode_lines(scripts: DataFrame, key: str = "script_id") -> DataFrame:
@@ -22,19 +23,19 @@ def rule_index(families: list[str] | None = None) -> RuleIndex:
     return RuleIndex([pattern for f in families or packs.FAMILIES for pattern, _, _ in packs.FAMILIES[f]])
 
 
-def candidates(scripts: DataFrame, families: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
-    """(script_id, line_no, line, family, rule_ord, pattern, grp, attr): lines with the rules that may match, by the words that they hold."""
+def candidates(lines: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """(line, family, rule_ord, pattern, grp, attr): lines with the rules that may match, by the words that they hold."""
     rules = [(f, k, *rule) for f in families or packs.FAMILIES for k, rule in enumerate(packs.FAMILIES[f], 1)]
     index = rule_index(families)
-    told = index.rules(scripts, "family string, rule_ord int, grp int, attr string", [(f, k, group, attr) for f, k, _, group, attr in rules])
-    return index.candidates(explode_lines(scripts), "line", known).join(told, "rule").drop("rule", "plain")
+    told = index.rules(lines, "family string, rule_ord int, grp int, attr string", [(f, k, group, attr) for f, k, _, group, attr in rules])
+    return index.candidates(lines, "line").distinct().join(told, "rule").drop("rule", "plain")
 
 
-def _all_hits(scripts: DataFrame, families: list[str] | None, known: DataFrame | None = None) -> DataFrame:
-    """Every finding, some of them more than once."""
+def of_lines(lines: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """Every finding of each line of ``lines`` (line), once."""
     line = F.col("line")
     both = F.arrays_zip(F.regexp_extract_all(line, F.col("pattern"), F.lit(0)).alias("raw"), F.regexp_extract_all(line, F.col("pattern"), F.col("grp")).alias("entity"))
-    found = candidates(scripts, families, known).select("script_id", "line_no", "line", "family", "rule_ord", "attr", F.posexplode(both).alias("pos", "h")).select("*", "h.raw", "h.entity")
+    found = candidates(lines, families).select("line", "family", "rule_ord", "attr", F.posexplode(both).alias("pos", "h")).select("*", "h.raw", "h.entity")
     http = F.col("family") == "http"
     local = F.col("entity").rlike("(?i)/rest/api/") | F.col("entity").rlike(r"localhost|127\.0\.0\.1")
     found = found.where(~(http & local))
@@ -42,7 +43,7 @@ def _all_hits(scripts: DataFrame, families: list[str] | None, known: DataFrame |
     method = F.upper(F.regexp_extract(line, packs.HTTP_METHOD, 1))
     url = F.col("entity")
     return found.select(
-        "script_id", "line_no", "family", "rule_ord", "pos",
+        "line", "family", "rule_ord", "pos",
         F.when(F.col("family").isin("http", "script_dep"), F.regexp_replace("raw", r"^\s+|\s+\z", "")).otherwise(F.col("raw")).alias("raw"),
         F.when(F.col("family") == "internal_api", F.concat(F.lit("/rest/api/"), F.col("attr"), F.lit("/"), url)).otherwise(url).alias("entity"),
         "attr",
@@ -52,9 +53,15 @@ def _all_hits(scripts: DataFrame, families: list[str] | None, known: DataFrame |
     )
 
 
-def scan(scripts: DataFrame, families: list[str] | None = None) -> DataFrame:
-    """Every finding once, with its order columns (script_id, line_no, family, rule_ord, pos); overlaps are kept."""
-    return _all_hits(scripts, families).dropDuplicates(["script_id", "line_no", "family", "rule_ord", "pos"])
+def scan(scripts: DataFrame, families: list[str] | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """Every finding once, with its order columns (script_id, line_no, family, rule_ord, pos); overlaps are kept.
+
+    Expressions run once for each different line; scripts meet what was found by their lines.
+    ``lines`` are the stored different lines of the scripts, where there are any already.
+    """
+    book = kept(of_lines(distinct_lines(scripts, "content") if lines is None else lines, families), "findings")
+    told = explode_lines(scripts).join(sent(book), "line")
+    return told.select("script_id", "line_no", *[c for c in book.columns if c != "line"])
 
 
 def dedupe_first(found: DataFrame) -> DataFrame:
@@ -63,9 +70,9 @@ def dedupe_first(found: DataFrame) -> DataFrame:
     return found.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
-def findings(scripts: DataFrame, families: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
-    """Per script, family and raw expression the first finding; ``known`` is a dictionary of the scripts' words, if there is one."""
-    return dedupe_first(_all_hits(scripts, families, known))  # what comes twice goes as well
+def findings(scripts: DataFrame, families: list[str] | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """Per script, family and raw expression the first finding; ``lines`` as for ``scan``."""
+    return dedupe_first(scan(scripts, families, lines))
 
 
 def deprecated_uses(found: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rule_index import dictionaries
+from ..functions.rule_index import distinct_lines
 from ..functions.text import lines_of_code
 from ..plans import rulepacks as packs
 from . import classify
-from .findings import findings, rule_index
+from .findings import findings
 
 
 def reason_column(reason: str) -> str:
@@ -46,13 +46,13 @@ def dependency_counts(found: DataFrame, evidence: bool = False) -> DataFrame:
 def profile(scripts: DataFrame, evidence: bool = False) -> DataFrame:
     """One row per script: counts, lines of code, language, module, trigger, operations, complexity.
 
-    Texts stay where they are: what moves by script are findings, hit rules and lines of code.
+    Rules are asked of the different lines of all scripts; what moves by script are findings, hit rules and lines of code.
     """
-    of_lines, of_scripts = dictionaries(scripts, "content", [rule_index(), classify.rule_index()])
-    counts = dependency_counts(findings(scripts, known=of_lines), evidence)
+    lines = distinct_lines(scripts, "content")
+    counts = dependency_counts(findings(scripts, lines=lines), evidence)
     zero = {c: 0 for c in counts.columns if c not in ("script_id", "evidence")}
     sized = scripts.select("script_id", "filename", "content", lines_of_code(F.col("content")).alias("loc"))
-    base = classify.scored(sized, known=of_scripts).select("script_id", "loc", classify.module_of().alias("module"), classify.trigger_of().alias("trigger"), "n_mappable", "n_unmappable", *[c.alias(n) for n, c in classify.language_verdict().items()])
+    base = classify.scored(sized, lines=lines).select("script_id", "loc", classify.module_of().alias("module"), classify.trigger_of().alias("trigger"), "n_mappable", "n_unmappable", *[c.alias(n) for n, c in classify.language_verdict().items()])
     out = base.join(counts, "script_id", "left").fillna(zero)
     points = F.floor(F.col("loc") / 50)
     for f, weight in packs.COMPLEXITY.items():
