@@ -14,13 +14,16 @@ from .chunker import cut_documents
 
 
 def page_table(snapshot: DataFrame) -> DataFrame:
-    """(url, title, text, page_hash, crawled_at) of the pages that were served."""
+    """(url, title, text, page_hash, crawled_at, and page_id if the snapshot has one) of the pages that were served."""
     served = snapshot.where(F.col("status").between(200, 299))
-    return served.select("url", page_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("text"), "crawled_at").withColumn("page_hash", fingerprint(F.col("text")))
+    own = [c for c in ("page_id",) if c in snapshot.columns]
+    return served.select("url", page_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("text"), "crawled_at", *own).withColumn("page_hash", fingerprint(F.col("text")))
 
 
 def latest_per_url(pages: DataFrame) -> DataFrame:
-    last = Window.partitionBy("url").orderBy(F.col("crawled_at").desc(), "page_hash")
+    """The last row of each url; of rows crawled at the same time the first one (by page_id, if there is one, then by hash)."""
+    ties = [c for c in ("page_id", "page_hash") if c in pages.columns]
+    last = Window.partitionBy("url").orderBy(F.col("crawled_at").desc(), *ties)
     return pages.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
 
 
@@ -126,11 +129,11 @@ def embed(chunks: DataFrame, embed_fn: Callable, batch: str = "content") -> Data
 def refresh(current: DataFrame, stored_pages: DataFrame, snapshot: DataFrame, as_of: str, embed_fn: Callable | None = None, max_tokens: int = 500, overlap: int = 50) -> tuple[DataFrame, DataFrame]:
     """(new version of the chunks, report): changed pages are cut and merged, orphans and stale rows go.
 
-    Unchanged pages get the new crawl time, so what is live never expires. A page that has become
+    A url stands for one page on both sides, the latest. Unchanged pages get the new crawl time, so what is live never expires. A page that has become
     empty loses its chunks. The cut is written once, in the shared folder, for all that need it.
     """
     fresh = latest_per_url(page_table(snapshot))
-    marked = changed_pages(fresh, stored_pages)
+    marked = changed_pages(fresh, latest_per_url(stored_pages))  # a url stored twice would double its page
     process = marked.where("action = 'process'")
     cut = chunk_table(process, max_tokens, overlap, cutter=cut_documents).join(fresh.select("url", "crawled_at"), "url")
     cut = kept_table(cut, "cut").withColumn("embedding", F.lit(None).cast("array<float>"))
