@@ -21,6 +21,8 @@ MOST_CELLS = 64
 MOST_WIDTHS = 16
 #: Similarities that a task works out at a time.
 PAIRS_AT_ONCE = 1 << 20
+#: Rows of matched words, and of queries' words, that are sent to all tasks; more are joined by shuffles.
+SMALL = 50_000
 #: By so much a rounded similarity or an angle may be off, at most.
 SLACK = 2e-6
 
@@ -238,10 +240,13 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 4) -> DataFrame:
     first = terms.select("term").distinct().withColumn("piece", F.substring("term", 1, 3))
     every = F.array_union(F.array_union(pieces("token", 3), pieces("token", 2)), pieces("token", 1))
     vocabulary = tokens.select("token").distinct().select("token", F.explode(every).alias("piece"))
-    matched = vocabulary.join(first, "piece").where(F.contains("token", "term")).groupBy("token").agg(F.collect_set("term").alias("terms"))
-    # a text's terms first, each once: far fewer than its tokens
-    held = tokens.join(matched, "token").select("doc_id", F.explode("terms").alias("term")).distinct().join(terms, "term")
-    share = held.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "query_id")
+    matched = kept_table(vocabulary.join(first, "piece").where(F.contains("token", "term")).groupBy("token").agg(F.collect_set("term").alias("terms")), "matched")
+    asked = kept_table(terms.join(sizes, "query_id"), "terms")
+    small = lambda d: F.broadcast(d) if d.count() <= SMALL else d
+    # a text's terms first, each once and by text: far fewer than its tokens; what queries make of them stays where the text is
+    held = tokens.join(small(matched), "token").select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    held = held.select("doc_id", F.explode("terms").alias("term")).join(small(asked), "term")
+    share = held.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     return _best(share.select("query_id", "doc_id", F.round(F.col("n") / F.col("size"), 6).alias("similarity")), k)
 
 
