@@ -237,15 +237,16 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 4) -> DataFrame:
     sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+", -1), lambda t: t != ""))).alias("token"))
     pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(n)))
-    first = terms.select("term").distinct().withColumn("piece", F.substring("term", 1, 3))
+    # stored, so a term keeps its number
+    first = kept_table(terms.select("term").distinct().withColumns({"piece": F.substring("term", 1, 3), "number": F.monotonically_increasing_id()}), "words")
     every = F.array_union(F.array_union(pieces("token", 3), pieces("token", 2)), pieces("token", 1))
     vocabulary = tokens.select("token").distinct().select("token", F.explode(every).alias("piece"))
-    matched = kept_table(vocabulary.join(first, "piece").where(F.contains("token", "term")).groupBy("token").agg(F.collect_set("term").alias("terms")), "matched")
-    asked = kept_table(terms.join(sizes, "query_id"), "terms")
+    matched = kept_table(vocabulary.join(first, "piece").where(F.contains("token", "term")).groupBy("token").agg(F.collect_set("number").alias("terms")), "matched")
+    asked = kept_table(terms.join(sizes, "query_id").join(first.select("term", "number"), "term").drop("term"), "terms")
     small = lambda d: F.broadcast(d) if d.count() <= SMALL else d
     # a text's terms first, each once and by text: far fewer than its tokens; what queries make of them stays where the text is
-    held = tokens.join(small(matched), "token").select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    held = held.select("doc_id", F.explode("terms").alias("term")).join(small(asked), "term")
+    held = tokens.join(small(matched), "token").select("doc_id", F.explode("terms").alias("number")).groupBy("doc_id").agg(F.collect_set("number").alias("terms"))
+    held = held.select("doc_id", F.explode("terms").alias("number")).join(small(asked), "number")
     share = held.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     return _best(share.select("query_id", "doc_id", F.round(F.col("n") / F.col("size"), 6).alias("similarity")), k)
 
