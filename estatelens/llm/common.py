@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,6 +75,23 @@ def stored(df: DataFrame, name: str) -> str:
     return path
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Add ``_at`` and ``_row``: ``_at`` rises in the order of the rows of ``docs``, ``_row`` differs for each row of this reading.
+
+    A stored table's order is that of its files, by the number that Spark gives them, and of the rows
+    in each; Spark itself reads files by size. Files of other names count as the first one. A table
+    that is not read from files has the order of its partitions.
+    """
+    row = F.monotonically_increasing_id()
+    number = lambda p: F.coalesce(F.regexp_extract("_metadata.file_name", p, 1).try_cast("long"), F.lit(0))
+    # 23 bits for the file, 12 for its turn where a task wrote several, 28 for the row
+    file = F.shiftleft(number(r"^part-(\d+)"), 40) + F.shiftleft(number(r"-c(\d+)\."), 28)
+    try:
+        return docs.withColumns({"_at": file + F.col("_metadata.row_index"), "_row": row})
+    except AnalysisException:  # not a file's row, or one of several files'
+        return docs.withColumns({"_at": row, "_row": row})
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,17 +101,19 @@ def tasks_for(spark: SparkSession, size: int | None, each: int = 64 << 20) -> in
     return max(8, parallelism(spark), -(-(size or 0) // each))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], weight: Column, name: str, buckets: int) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], weight: Column, name: str, buckets: int | Column) -> DataFrame:
     """Add the sum of ``weight`` over the rows of the same key before each row, without gathering a key in one task.
 
     Rows are dealt to ``buckets`` by a hash of ``order``; what stands before a row are its key's
     rows in lower buckets, and those before it in its own bucket. Buckets hold about
-    ``rows / buckets`` rows of a key, however large the key. Rows that are equal in ``order``
+    ``rows / buckets`` rows of a key, however large the key. Where the whole key must follow
+    ``order``, ``buckets`` is a column of whole numbers that rises with it. Rows that are equal in ``order``
     share a bucket and follow one another in any order. No key may be null, and ``df`` must give
     the same rows each time it is read (materialise it first when it does not).
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    dealt = df.withColumns({"_bucket": F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"), "_weight": weight})
+    bucket = buckets if isinstance(buckets, Column) else F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
+    dealt = df.withColumns({"_bucket": bucket, "_weight": weight})
     sums = dealt.groupBy(*keys, "_bucket").agg(F.sum("_weight").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -104,6 +124,6 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], weigh
     return joined.select(*[placed[c] for c in df.columns], (F.col("_offset") + F.col("_place")).cast("long").alias(name))
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[str | Column], name: str, buckets: int) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], order: list[str | Column], name: str, buckets: int | Column) -> DataFrame:
     """Number the rows of each key 0, 1, 2, ... in buckets, as ``running_sum`` of ones."""
     return running_sum(df, keys, order, F.lit(1), name, buckets)

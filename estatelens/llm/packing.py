@@ -14,19 +14,22 @@ sequence by its number among the pieces of its length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, gapless_rank, give_back, materialize, tasks_for
+from .common import batches_by_bytes, gapless_rank, give_back, materialize, numbered, tasks_for
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
 #: Bytes of ids that a task gives back at a time.
 BATCH_BYTES = 4 << 20
+#: Documents that follow one another in the order of their table and are ranked together.
+BUCKET_ROWS = 4096
 
 
 def fill(counts: np.ndarray) -> list[tuple[list[int], int]]:
@@ -82,47 +85,52 @@ def _tightest_pair(take: np.ndarray, least: int, room: int) -> list[int] | None:
     return [int(first[best]), int(second[best])] if first[best] + second[best] > least else None
 
 
-def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+def _piece_batch(rows: list[tuple], carried: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * len(carried)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids", *carried])
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for doc, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+            also = zip(*(batch.column(c).to_pylist() for c in carried), strict=True) if carried else repeat((), batch.num_rows)
+            for doc, own, more in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), also, strict=True):
                 own = np.append(own.astype("<u4"), np.array(end_id, "<u4"))
-                rows += [(doc, n, k, min(capacity, own.size - k), own[k : k + capacity].tobytes()) for n, k in enumerate(range(0, own.size, capacity))]
+                rows += [(doc, n, k, min(capacity, own.size - k), own[k : k + capacity].tobytes(), *more) for n, k in enumerate(range(0, own.size, capacity))]
                 held += own.nbytes
                 if held >= BATCH_BYTES:
-                    yield _piece_batch(rows)
+                    yield _piece_batch(rows, carried)
                     rows, held = [], 0
             give_back()
         if rows:
-            yield _piece_batch(rows)
+            yield _piece_batch(rows, carried)
         give_back()
 
     return run
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, carried: list[str] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids with the end id, cut at ``capacity``.
 
     A null text is the empty text, one piece of the end id alone. Repeated rows give pieces of
-    their own, null ids stay null, other columns are dropped; an empty table gives no pieces.
+    their own, null ids stay null, other columns than ``carried`` (whole numbers) are dropped; an
+    empty table gives no pieces.
     """
     batches_by_bytes(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_pieces(vocabulary or vocabulary_path(), end_id, capacity), "doc_id long, piece int, start long, length long, ids binary")
+    carried = carried or []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    kinds = ", ".join(["doc_id long, piece int, start long, length long, ids binary", *(f"{c} long" for c in carried)])
+    return rows.mapInArrow(_pieces(vocabulary or vocabulary_path(), end_id, capacity, carried), kinds)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None = None, buckets: Column | None = None) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (doc_id, piece, length from 1 to capacity, any other columns).
 
     ``pieces`` must be stored (it is read three times). Sequences use offsets without gaps from 0.
+    Pieces of a length take its places in any order, or in that of ``order`` if ``buckets`` rises with it.
     """
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
@@ -142,7 +150,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = {n: tuple(np.array(column, np.int64) for column in zip(*rows, strict=True)) for n, rows in slots.items()}
     sent = spark.sparkContext.broadcast(table)
     held = 4 * int((counts * np.arange(capacity + 1)).sum())  # bytes of all ids: one length may have most of them
-    ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece"], "_rank", tasks_for(spark, held))
+    ranked = gapless_rank(pieces, ["length"], order or ["doc_id", "piece"], "_rank", tasks_for(spark, held) if buckets is None else buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,8 +178,19 @@ def stored_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_I
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset): every piece with its place."""
-    return place(stored_pieces(docs, capacity, end_id, vocabulary), capacity)
+    """(doc_id, piece, start, length, ids, sequence_id, offset): every piece with its place, in the order of ``docs``.
+
+    Lengths alone decide which places there are. Among pieces of a length, and so in each run of
+    equal sequences, the earlier document comes first; sequences are numbered without gaps in the
+    order of their first documents. Places are worked out without the ids, which move once.
+    """
+    pieces = materialize(token_pieces(numbered(docs), capacity, end_id, vocabulary, ["_at", "_row"]), "pieces")
+    block = F.expr(f"_at div {BUCKET_ROWS}")
+    placed = materialize(place(pieces.select("_at", "_row", "piece", "length"), capacity, ["_at", "_row", "piece"], block), "places")
+    firsts = placed.groupBy("sequence_id").agg(F.min("_at").alias("_at")).withColumn("_all", F.lit(0))
+    turns = gapless_rank(firsts, ["_all"], ["_at", "sequence_id"], "_turn", block).select("sequence_id", "_turn")
+    placed = placed.join(turns, "sequence_id").select("_row", "piece", F.col("_turn").alias("sequence_id"), "offset")
+    return pieces.join(placed, ["_row", "piece"]).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
 def packed_sequences(placed: DataFrame) -> DataFrame:

@@ -66,3 +66,29 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     labels = read(spark, sf, "labels").join(docs.select("doc_id"), "doc_id").where("toxic IS NOT NULL").select("doc_id", "toxic").collect()
     toxic, clean = ({r["doc_id"] for r in labels if r["toxic"] == y} for y in (1, 0))
     assert len(toxic - kept) >= 0.9 * len(toxic) and len(clean & kept) >= 0.98 * len(clean)
+
+
+def test_the_order_of_the_mix_reaches_the_sequences(spark, tmp_path):
+    """The same rows stored in two orders: pieces of a length, and the sequences, follow the order they are stored in."""
+    ids = [(k * 389) % 400 for k in range(400)]
+    schema = "at long, doc_id long, text string, source string"
+    words = "plain river letters under the stone garden " * 150
+    for name, order in (("up", sorted(ids)), ("mixed", ids)):
+        told = {d: k for k, d in enumerate(order)}
+        docs = spark.createDataFrame([(k, d, words[: 700 + 90 * (d % 4)] * 4, "s") for k, d in enumerate(order)], schema)
+        docs.repartitionByRange(7, "at").sortWithinPartitions("at").drop("at").write.parquet(str(tmp_path / name))
+        got = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / name)), "").collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(ids) and len({(r["sequence_id"], r["offset"]) for r in got}) == 400
+        held = {}
+        for r in got:
+            held.setdefault(r["sequence_id"], []).append(r)
+        firsts = [min(told[r["doc_id"]] for r in held[s]) for s in range(len(held))]
+        assert firsts == sorted(firsts)
+        # pieces of a length that share a sequence stand near one another in the order
+        for own in held.values():
+            for n in {r["length"] for r in own}:
+                turns = [told[r["doc_id"]] for r in own if r["length"] == n]
+                assert max(turns) - min(turns) <= 60
+    docs = spark.createDataFrame([(d, "one two", "s") for d in ids], "doc_id long, text string, source string")
+    inorder = [r["doc_id"] for r in corpus_pipeline.pack(spark, docs, "").orderBy("sequence_id", "offset").collect()]
+    assert inorder == [r["doc_id"] for r in docs.collect()]
