@@ -201,7 +201,7 @@ def _partial(k: int, threshold: float):
 
 
 def ann_topk(queries: DataFrame, index: VectorIndex, k: int = 4, probes: int = 12, rerank: int = 32, threshold: float = -1.0) -> DataFrame:
-    """Approximate top-k by a stored index: (query_id, doc_id, similarity, rank) of (query_id, vector).
+    """Approximate top-k by a stored index: (query_id, doc_id, similarity, rank) of (query_id, vector), each query_id once.
 
     A query probes its ``probes`` nearest cells; of each it keeps the ``rerank * k`` best by the codes
     (``VectorIndex.candidates``), and the best of all these are ranked by their true cosine. Vectors
@@ -210,7 +210,8 @@ def ann_topk(queries: DataFrame, index: VectorIndex, k: int = 4, probes: int = 1
     near = index.candidates(queries, probes, rerank * k)
     order = Window.partitionBy("query_id").orderBy(F.col("estimate").desc(), "doc_id")
     near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rerank * k)
-    exact = index.with_vectors(near).select("query_id", "doc_id", F.round(cosine(F.col("query"), F.col("vector")), 6).alias("similarity"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("query"))
+    exact = index.with_vectors(near.join(asked, "query_id")).select("query_id", "doc_id", F.round(cosine(F.col("query"), F.col("vector")), 6).alias("similarity"))
     return _best(exact.where(F.col("similarity") >= threshold), k)
 
 

@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 FIT_ROWS = 50_000
 #: Rows of a cell that one task writes or searches, about.
 SLICE_ROWS = 1 << 17
+#: Queries that one task asks of a slice of a cell, about.
+QUERY_ROWS = 4096
+#: Rows that a k-means compares with its centres at a time.
+STEP = 4096
 #: Rounds of a k-means.
 ROUNDS = 12
 
@@ -42,14 +46,17 @@ def k_means(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
         return distinct
     centres = distinct[rng.choice(len(distinct), k, replace=False)]
     for _ in range(ROUNDS):
-        gap = (rows * rows).sum(1)[:, None] - 2 * rows @ centres.T + (centres * centres).sum(1)[None, :]
-        own = gap.argmin(1)
+        own, far = np.empty(len(rows), np.int64), np.empty(len(rows))
+        for at in range(0, len(rows), STEP):  # the table of all gaps would be far larger than the sample
+            part = rows[at : at + STEP]
+            gap = (part * part).sum(1)[:, None] - 2 * part @ centres.T + (centres * centres).sum(1)[None, :]
+            own[at : at + STEP], far[at : at + STEP] = gap.argmin(1), gap.min(1)
         counts = np.bincount(own, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, own, rows)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
         empty = np.flatnonzero(counts == 0)
-        centres[empty] = rows[np.argsort(-gap.min(1))[: empty.size]]
+        centres[empty] = rows[np.argsort(-far)[: empty.size]]
     return centres
 
 
@@ -124,16 +131,23 @@ class VectorIndex:
         return VectorIndex(spark, path, width, centres, books, {c: int(n[0]) for c, n in told.get(-3, [])})
 
     def candidates(self, queries: DataFrame, probes: int, most: int) -> DataFrame:
-        """(query_id, query, doc_id, cell, estimate): for each query and slice of a probed cell the ``most`` of the highest estimates."""
+        """(query_id, doc_id, cell, estimate): for each query and slice of a probed cell the ``most`` of the highest estimates.
+
+        A task holds one slice and one block of queries; vectors of queries do not travel with what is found.
+        """
         kinds = "query_id long, query array<double>, cell int"
         asked = _usable(queries, "query_id", self.width).mapInArrow(_probing(self.centres, self.width, probes), kinds)
-        cells = sorted(r["cell"] for r in asked.select("cell").distinct().collect())  # at most as many as there are cells
+        meets = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # at most as many as there are cells
+        cells = sorted(meets)
         self.probed = {"cells": len(cells), "of_cells": len(self.counts), "rows": sum(self.counts.get(c, 0) for c in cells), "of_rows": sum(self.counts.values())}
         codes = self.spark.read.schema("doc_id long, slice int, code binary, cell int").parquet(f"{self.path}/codes").where(F.col("cell").isin(cells))
         slices = max([1, *(-(-self.counts.get(c, 0) // SLICE_ROWS) for c in cells)])
-        each = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))) if slices > 1 else F.lit(0)
-        asked = asked.withColumn("slice", each.cast("int"))
-        return asked.groupBy("cell", "slice").cogroup(codes.groupBy("cell", "slice")).applyInArrow(_estimated(self.centres, self.words, self.width, most), "query_id long, query array<double>, doc_id long, cell int, estimate double")
+        blocks = max([1, *(-(-n // QUERY_ROWS) for n in meets.values())])
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+        asked = asked.withColumn("slice", each(slices)).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        codes = codes.withColumn("block", each(blocks))
+        keys = ["cell", "slice", "block"]
+        return asked.groupBy(*keys).cogroup(codes.groupBy(*keys)).applyInArrow(_estimated(self.centres, self.words, self.width, most), "query_id long, doc_id long, cell int, estimate double")
 
     def with_vectors(self, near: DataFrame) -> DataFrame:
         """``near`` with the stored vectors; only the directories of cells with candidates are read."""
@@ -213,6 +227,6 @@ def _estimated(centres: np.ndarray, books: list[np.ndarray], width: int, most: i
                     column.append(values)
         row, doc, value = (np.concatenate(c) if c else np.empty(0, np.int64) for c in out)
         at = pa.array(row.astype(np.int64))
-        return pa.table({"query_id": asked.column("query_id").take(at), "query": asked.column("query").take(at), "doc_id": pa.array(doc.astype(np.int64)), "cell": asked.column("cell").take(at), "estimate": pa.array(value.astype(np.float64))})
+        return pa.table({"query_id": asked.column("query_id").take(at), "doc_id": pa.array(doc.astype(np.int64)), "cell": asked.column("cell").take(at), "estimate": pa.array(value.astype(np.float64))})
 
     return run

@@ -135,3 +135,17 @@ def test_hot_cells_copies_and_odd_rows(spark, tmp_path, monkeypatch):
     assert [(r.query_id, r.doc_id) for r in got] == [(7, 0), (7, 1), (7, 2), (7, 3)]
     none = VectorIndex.build(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"))
     assert retrieval.ann_topk(asked, none, 4).count() == 0
+
+
+def test_candidates_come_in_blocks_without_the_queries_vectors(spark, tmp_path, monkeypatch):
+    from estatelens.operators import vector_index
+
+    docs = spark.createDataFrame(clustered(600, 8, 4), SCHEMA)
+    index = VectorIndex.build(docs, str(tmp_path / "ivf"), cells=4, parts=4, words=32)
+    asked = docs.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "query_id")
+    found = lambda: sorted(map(tuple, retrieval.ann_topk(asked, index, 4, probes=4).collect()))
+    whole = found()
+    monkeypatch.setattr(vector_index, "QUERY_ROWS", 20)
+    monkeypatch.setattr(vector_index, "SLICE_ROWS", 100)
+    assert index.candidates(asked, 4, 16).columns == ["query_id", "doc_id", "cell", "estimate"]
+    assert len({r[0] for r in whole}) == asked.count() and [r[:2] for r in found()] == [r[:2] for r in whole]
