@@ -398,9 +398,12 @@ def crawl_errors(spark, d):
 
 
 def _chunk_rows(spark, d, name):
-    """Chunks of a snapshot as rows of the index; every second length has a vector."""
+    """Chunks of a snapshot as rows of the index, one for each chunk id; every second length has a vector.
+
+    A url stands for one page, the latest, as in ``index.refresh``; its time is the last of the url, so no text is worked out for it.
+    """
     pages = index.page_table(table(spark, d, name))
-    rows = index.chunk_table(pages, CHUNK_TOKENS, OVERLAP_TOKENS).join(pages.select("url", "crawled_at"), "url")
+    rows = index.chunk_table(index.latest_per_url(pages), CHUNK_TOKENS, OVERLAP_TOKENS).join(pages.groupBy("url").agg(F.max("crawled_at").alias("crawled_at")), "url")
     return rows.select("chunk_id", "url", "chunk_index", "content", "content_hash", "crawled_at", F.col("crawled_at").alias("created_at"), F.when(F.length("content") % 2 == 0, F.array(F.length("content").cast("float"))).alias("embedding"))
 
 
