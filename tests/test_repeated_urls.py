@@ -32,16 +32,15 @@ def test_a_url_stored_twice_does_not_double_its_page(spark):
     assert sorted(r["content"] for r in again.collect()) == ["new", "three"]
 
 
-@pytest.mark.parametrize("name", ["chunk_merge"])
+@pytest.mark.parametrize("name", ["chunk_merge", "stale_and_orphans"])
 def test_a_shared_url_has_one_row_for_each_chunk(spark, tmp_path, name):
     long = lambda word, n: f"<h1>{word}</h1>" + "".join(f"<p>{word} {k} {'text ' * 60}</p>" for k in range(n))
-    rows = [(2, "u", long("two", 5)), (3, "v", long("three", 4)), (6, "w", long("six", 3)), (12, "u", long("twelve", 9)), (22, "x", long("later", 2))]
+    rows = [(2, "u", long("two", 5)), (3, "v", long("three", 4)), (6, "w", long("six", 3)), (12, "u", long("twelve", 9)), (22, "x", long("later", 2)), (None, "y", long("none", 3))]
     found = {}
-    for kind, kept in {"shared": rows, "single": [r for r in rows if r[0] != 12]}.items():
-        (tmp_path / kind).mkdir()
-        spark.createDataFrame(kept, "page_id long, url string, html string").toPandas().to_parquet(tmp_path / kind / "pages.parquet")
+    for kind, kept in {"shared": rows, "copied": [*rows, *rows], "single": [r for r in rows if r[0] != 12]}.items():
+        spark.createDataFrame(kept, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / kind / "pages.parquet"))
         found[kind] = Counter(map(tuple, queries.QUERIES[name](spark, str(tmp_path / kind)).collect()))
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/single/pages.parquet'")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/single/pages.parquet/*.parquet'")
     assert found["single"] == Counter(con.execute(queries.ORACLES[name]).fetchall())
-    assert found["shared"] == found["single"]
+    assert found["shared"] == found["copied"] == found["single"]
