@@ -263,6 +263,40 @@ def test_near_copies_link_from_four_fifths_on(spark, monkeypatch, rows):
     assert {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(docs).collect()} == set(got.values())
 
 
+def test_copies_whose_sketches_are_far_apart_link(spark):
+    """Four of five shingles in common: similarity 0.8, and for one pair of texts in some thousands a SimHash that differs in more than 24 bits."""
+    rng = random.Random(5)
+    texts = []
+    while len(texts) < 6:
+        long = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        a, b = (np.unique(simhash_dedup.shingle_hashes(" ".join(t), 5)) for t in (long, long[:8]))
+        if ((simhash_dedup.simhash(a) ^ simhash_dedup.simhash(b)) % 2**64).bit_count() > simhash_dedup.SIMILAR_BITS:
+            texts += [" ".join(long), " ".join(long[:8])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash_dedup.drop_near_duplicates(docs).collect()) == [0, 2, 4]
+
+
+@pytest.mark.parametrize("cell", [8192, 3])
+def test_prefixes_miss_no_pair(spark, monkeypatch, cell):
+    """With no candidate from the sketches, every link comes from the prefixes; a line that all texts have changes nothing."""
+    monkeypatch.setattr(simhash_dedup, "SIMILAR_BITS", -1)
+    monkeypatch.setattr(simhash_dedup, "CELL_ROWS", cell)
+    texts = near_copies(random.Random(9), 60)
+    texts = [*texts, *(f"{t} one line that all of these texts have at their end" for t in texts)]
+    sets = [set(simhash_dedup.shingle_hashes(t, 5).tolist()) for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_components(docs).collect()}
+    assert got == components_by_hand(range(len(texts)), edges) and len(set(got.values())) < len(texts)
+
+
+def test_texts_of_one_id_and_texts_without_one_are_judged_by_what_they_say(spark):
+    say = lambda word, n=30: " ".join(f"{word}{k}" for k in range(n))
+    rows = [(5, say("a")), (5, say("b")), (3, say("a", 31)), (None, say("c")), (None, say("c", 31)), (None, say("c")), (None, say("b", 31)), (None, say("d")), (9, say("e")), (9, say("e"))]
+    kept = [(r["doc_id"], r["text"][0]) for r in simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(kept) == Counter([(3, "a"), (5, "b"), (None, "c"), (None, "d"), (9, "e")])
+
+
 # --- 4
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
