@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,18 +34,29 @@ def _marked(mark: str):
     return lambda c: F.concat(F.lit(f"\n{mark} "), trimmed(F.regexp_replace(c, "<[^>]+>", "")), F.lit("\n"))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it: Spark repeats what stands in higher-order functions."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _replaced(text: Column, parts: str, inner: str, by: Callable[[Column], Column]) -> Column:
+    """``text`` with ``by`` of group 1 of ``inner`` in place of each match of ``parts``."""
+
+    def put(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(inner), F.lit(1)), by)
+        pieces = F.zip_with(F.split(t, parts, -1), found, lambda g, f: F.concat(F.coalesce(g, F.lit("")), F.coalesce(f, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    return _once(text, put)
+
+
 def page_text(html: Column) -> Column:
     """Plain text with fenced code, marked headings and list items. Script and style text stays."""
     untagged = lambda c: F.regexp_replace(c, "<[^>]+>", "")
-    code = F.regexp_extract_all(html, F.lit(r"(?is)<pre[^>]*>(.*?)</pre>"), F.lit(1))
-    gaps = F.split(html, r"(?is)<pre[^>]*>.*?</pre>", -1)
-    fenced = F.transform(code, lambda c: F.concat(F.lit("\n```\n"), trimmed(untagged(c)), F.lit("\n```\n")))
-    text = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), fenced.alias("f")), lambda x: F.filter(F.array(x["g"], x["f"]), lambda y: y.isNotNull()))), "")
+    fenced = lambda c: F.concat(F.lit("\n```\n"), trimmed(untagged(c)), F.lit("\n```\n"))
+    text = _replaced(html, r"(?is)<pre[^>]*>.*?</pre>", r"(?is)<pre[^>]*>(.*?)</pre>", fenced)
     for level in range(1, 5):
-        found = F.regexp_extract_all(text, F.lit(rf"(?i)<h{level}[^>]*>(.*?)</h{level}>"), F.lit(1))
-        between = F.split(text, rf"(?i)<h{level}[^>]*>.*?</h{level}>", -1)
-        marked = F.transform(found, _marked("#" * level))
-        text = F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("g"), marked.alias("f")), lambda x: F.filter(F.array(x["g"], x["f"]), lambda y: y.isNotNull()))), "")
+        text = _replaced(text, rf"(?i)<h{level}[^>]*>.*?</h{level}>", rf"(?i)<h{level}[^>]*>(.*?)</h{level}>", _marked("#" * level))
     text = F.regexp_replace(F.regexp_replace(text, "(?i)</p>", "\n\n"), "(?i)<li[^>]*>", "\n- ")
     text = untagged(text)
     for entity, plain in ENTITIES:

@@ -126,16 +126,17 @@ def embed(chunks: DataFrame, embed_fn: Callable, batch: str = "content") -> Data
     return chunks.where("embedding IS NOT NULL").unionByName(todo)
 
 
-def refresh(current: DataFrame, stored_pages: DataFrame, snapshot: DataFrame, as_of: str, embed_fn: Callable | None = None, max_tokens: int = 500, overlap: int = 50) -> tuple[DataFrame, DataFrame]:
+def refresh(current: DataFrame, stored_pages: DataFrame, snapshot: DataFrame, as_of: str, embed_fn: Callable | None = None, max_tokens: int = 500, overlap: int = 50, read: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new version of the chunks, report): changed pages are cut and merged, orphans and stale rows go.
 
     A url stands for one page on both sides, the latest. Unchanged pages get the new crawl time, so what is live never expires. A page that has become
-    empty loses its chunks. The cut is written once, in the shared folder, for all that need it.
+    empty loses its chunks. Pages with what to do and the cut are written once each, in the shared
+    folder, for all that need them. ``read`` is the page table of the snapshot, where there is one already.
     """
-    fresh = latest_per_url(page_table(snapshot))
-    marked = changed_pages(fresh, latest_per_url(stored_pages))  # a url stored twice would double its page
+    fresh = latest_per_url(page_table(snapshot) if read is None else read)
+    marked = kept_table(changed_pages(fresh, latest_per_url(stored_pages)), "marked")  # a url stored twice would double its page
     process = marked.where("action = 'process'")
-    cut = chunk_table(process, max_tokens, overlap, cutter=cut_documents).join(fresh.select("url", "crawled_at"), "url")
+    cut = chunk_table(process, max_tokens, overlap, cutter=cut_documents).join(process.select("url", "crawled_at"), "url")
     cut = kept_table(cut, "cut").withColumn("embedding", F.lit(None).cast("array<float>"))
     gone = orphans(current, cut, process).select("chunk_id")
     seen = marked.where("action = 'skip'").select("url", F.col("crawled_at").alias("seen_at"))

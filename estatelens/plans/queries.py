@@ -334,8 +334,8 @@ NO_CHUNKS = "chunk_id string, url string, chunk_index int, content string, conte
 
 def _refreshed(spark, d):
     """A second snapshot over the chunks of the first: (chunks, report)."""
-    pages = index.page_table(table(spark, d, "snapshot_1"))
-    first, _ = index.refresh(spark.createDataFrame([], NO_CHUNKS), pages.limit(0), table(spark, d, "snapshot_1"), AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS)
+    pages = kept(index.page_table(table(spark, d, "snapshot_1")), "pages")
+    first, _ = index.refresh(spark.createDataFrame([], NO_CHUNKS), pages.limit(0), table(spark, d, "snapshot_1"), AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS, pages)
     return index.refresh(kept(first, "chunks"), pages, table(spark, d, "snapshot_2"), AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS)
 
 
@@ -358,8 +358,8 @@ def crawl_run_log(spark, d):
     """Two runs, the second of which is written twice, as a replayed batch is."""
     path = new_path(spark, "runs")
     one, two = table(spark, d, "snapshot_1"), table(spark, d, "snapshot_2")
-    pages = index.page_table(one)
-    first, report = index.refresh(spark.createDataFrame([], NO_CHUNKS), pages.limit(0), one, AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS)
+    pages = kept(index.page_table(one), "pages")
+    first, report = index.refresh(spark.createDataFrame([], NO_CHUNKS), pages.limit(0), one, AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS, pages)
     runs.write_crawl_run(path, "first", 0, report, io.split_snapshots(one)[1])
     _, report = index.refresh(kept(first, "chunks"), pages, two, AS_OF, hashed_vector(), CHUNK_TOKENS, OVERLAP_TOKENS)
     for _ in range(2):

@@ -44,3 +44,18 @@ def test_a_shared_url_has_one_row_for_each_chunk(spark, tmp_path, name):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/single/pages.parquet/*.parquet'")
     assert found["single"] == Counter(con.execute(queries.ORACLES[name]).fetchall())
     assert found["shared"] == found["copied"] == found["single"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_text_of_a_page_is_worked_out_once(spark):
+    rows = [(1, "u", "<h1>a <b>b</b></h1><pre>x</pre><h2>c</h2><p>d</p><h4> e</h4>", 200, "2024-01-01"), (2, "v", None, 200, "2024-01-01")]
+    pages = index.page_table(snapshot(spark, rows))
+    told = plan_of(pages)
+    assert [told.count(f"(?i)<h{level}[^>]*>.*?</h{level}>") for level in range(1, 5)] == [1] * 4 and told.count("(?is)<pre[^>]*>.*?</pre>") == 1
+    assert {r["url"]: r["text"] for r in pages.collect()} == {"u": "# a b\n\n```\nx\n```\n\n## c\nd\n\n#### e", "v": None}
+    empty = spark.createDataFrame([], queries.NO_CHUNKS)
+    chunks, report = index.refresh(empty, pages.limit(0), snapshot(spark, rows), "2024-01-01 00:00:00")
+    assert not any("<pre" in plan_of(df) for df in (chunks, report))
