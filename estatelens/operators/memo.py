@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fingerprint
 from ..plans import rulepacks as packs
 from ..sources import commits
+from ..sources.tables import kept
 from . import readiness
 
 KEY = ["content_hash", "extension"]
@@ -53,7 +54,7 @@ class Memo:
         """
         spark = scripts.sparkSession
         first = scripts.groupBy(*KEY).agg(F.min("script_id").alias("script_id"))
-        new = first.join(self._known(scripts).select(*KEY), KEY, "left_anti")
+        new = kept(first.join(self._known(scripts).select(*KEY), KEY, "left_anti"), "new")  # else each use would hash all contents again
         told = new.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*KEY)), F.lit(0)).alias("digest")).first()
         self.scanned = told["n"]
         if not told["n"]:
@@ -92,6 +93,7 @@ def changed_cells(old_cells: DataFrame, memo: Memo, old: DataFrame, new: DataFra
     a = keyed(old).select("script_id", F.struct(*KEY).alias("was"))
     b = keyed(new).select("script_id", F.struct(*KEY).alias("now"))
     differ = a.join(b, "script_id", "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select("script_id")
+    differ = kept(differ, "differ")
     of = lambda scripts: memo.verdicts(scripts.join(differ, "script_id", "left_semi"))
     gone = _signed(of(old), -1)
     came = _signed(of(new), 1)

@@ -38,6 +38,15 @@ def test_a_change_of_few_scripts_costs_few_scans(spark, sf, tmp_path):
     assert none.count() == 0  # what nothing is left of goes
 
 
+def test_contents_are_hashed_once_for_each_version(spark, tmp_path):
+    spark.createDataFrame([(1, "a.groovy", "def x = 1"), (2, "b.groovy", "def y = 1")], SCHEMA).write.parquet(str(tmp_path / "old"))
+    spark.createDataFrame([(1, "a.groovy", "def x = 1"), (2, "b.groovy", "def y = 1")], SCHEMA).write.parquet(str(tmp_path / "new"))
+    old, new = (spark.read.parquet(str(tmp_path / n)) for n in ("old", "new"))
+    cells = spark.createDataFrame([], "language string, module string, level string, n_scripts long, score long, consultant_hours double, assisted_hours double")
+    told = memo.changed_cells(cells, Memo(str(tmp_path / "memo")), old, new)
+    assert told.count() == 0 and told._jdf.queryExecution().analyzed().toString().count("sha2(") == 2
+
+
 def test_a_commit_counts_once(spark, tmp_path):
     path = str(tmp_path / "log")
     batch = lambda k: spark.range(k).select(F.col("id").alias("x"))
